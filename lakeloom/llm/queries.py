@@ -10,11 +10,13 @@ from lakeloom.llm.bpe import encode_documents
 from lakeloom.llm.common import table
 from lakeloom.llm.near_dups import near_duplicates
 from lakeloom.llm.packing import pack
+from lakeloom.llm.pii import find_personal_data, fit
 from lakeloom.llm.quality_ranking import fit_ranking, score_documents
 from lakeloom.llm.quality_rules import apply_rules, fit_forest
 from lakeloom.llm.sharding import assign_shards
 from lakeloom.llm.token_counts import token_counts
 from lakeloom.llm.url_rules import judge_urls, place_rule
+from lakeloom.llm.vector_graph import linked_vectors
 
 
 def tokenizer_file(name: str) -> bytes:
@@ -39,11 +41,20 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
+def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken")
     return pack(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN, capacity=1024, end_id=2)
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return find_personal_data(docs, fit(docs))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_forest(docs, table(spark, sf_dir, "labels")))
@@ -68,7 +79,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op4_packing, op6_quality_rules, op7_url_filters, op8_quality_ranking, op9_near_dups, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_bpe, op3_vector_graph, op4_packing, op5_personal_data, op6_quality_rules, op7_url_filters, op8_quality_ranking, op9_near_dups, op10_sharding)}
 
 
 #: Word runs and url parts as DuckDB writes them.
