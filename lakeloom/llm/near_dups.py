@@ -182,3 +182,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     out = sketches.join(of_key, (F.col("set_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, without those that duplicate another: one document of each class stays.
+
+    That is the one with the least id.  Rows that share an id count as copies, and
+    one of them stays; rows with a null id all stay.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
+    dropped = found.filter(~F.col("kept")).select(id_col).distinct()
+    named = docs.filter(F.col(id_col).isNotNull())
+    # The same join at every size: the documents are dealt by id once, and not sorted.
+    stay = named.join(dropped.hint("shuffle_hash"), id_col, "left_anti").dropDuplicates([id_col])
+    return stay.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
