@@ -75,7 +75,7 @@ def summary(entries: Column, scanned: Column, failed: Column) -> Column:
 def stable_id(text: Column) -> Column:
     """``g-`` and the base-36 magnitude of the 32-bit hash h*31 + code unit; characters beyond U+FFFF count as their two units."""
     hexed = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(0), F.octet_length(F.encode(text, "UTF-16BE")).cast("int") / 2 - 1), lambda k: F.conv(F.substring(hexed, (k * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("bigint"))
+    units = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int") - 1), lambda k: F.conv(F.substring(hexed, (k * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("bigint"))
     wrapped = F.aggregate(F.when(F.length(text) > 0, units).otherwise(F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda h, u: (h * 31 + u).bitwiseAND(F.lit(0xFFFFFFFF)))
     signed = F.when(wrapped >= 0x80000000, wrapped - 0x100000000).otherwise(wrapped)
     return F.concat(F.lit("g-"), F.lower(F.conv(F.abs(signed).cast("string"), 10, 36)))

@@ -91,9 +91,13 @@ def without_brackets(rest: Column) -> Column:
 
 def tokens(value: Column, patterns: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
     """What the patterns find, in their order, as ``label:text``, and the value without it.  Each pattern sees what the ones before it left."""
+
+    def labelled(label: str):
+        return lambda match: F.concat(F.lit(f"{label}:"), normalize_text(match))
+
     found = []
     for label, pattern in patterns:
-        found.append(F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), lambda m, label=label: F.concat(F.lit(f"{label}:"), normalize_text(m))))
+        found.append(F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), labelled(label)))
         value = F.regexp_replace(value, pattern, " ")
     return F.array_distinct(F.concat(*found)), collapsed(value)
 

@@ -8,10 +8,11 @@ similarity J share a path of d nodes with probability J**d, so a tree misses the
 with at most 1 - J**depth and all trees with (1 - J**depth)**trees: 8e-6 at 0.85
 for nodes that stay large to the end, and next to nothing otherwise.
 
-Within leaves candidates are compared by 128 four-bit minwise values, and what
-they leave is confirmed on the full sets.  Comparing takes two turns.  First every
-record meets one pivot of its leaf, a different one in each tree; that joins dense
-groups without their pairs.  Then only records in different components are paired.
+Within leaves candidates are compared by 384 four-bit minwise values, and what
+they leave is confirmed on the full sets.  First every record meets a few pivots
+of its leaf, random ones and in the next turn those with the most links so far;
+that joins dense groups without their pairs.  Then only records in different
+components are paired.
 Every pair in a leaf is thus either compared or already connected, whatever the
 leaf's size.
 """
@@ -31,7 +32,7 @@ from lakeloom.llm.common import by_slices, window_hashes, word_hashes, written
 from lakeloom.llm.components import components
 
 #: Minwise values of a record: the first trees x depth of them also name the paths.
-VALUES = 128
+VALUES = 384
 _LONGS = VALUES // 16
 
 
@@ -54,7 +55,7 @@ def minwise(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.nd
 
 
 def _sketches(docs: DataFrame, width: int, paths: int) -> DataFrame:
-    """``id, n_shingles, set_key, path`` (minwise values) and ``s0`` to ``s7`` (four bits of each value)."""
+    """``id, n_shingles, set_key, path`` (minwise values) and ``s0`` to ``s23`` (four bits of each value)."""
     factors, terms = _hashers()
     names = ["id", "n_shingles", "set_key", "path", *(f"s{k}" for k in range(_LONGS))]
 
@@ -76,16 +77,30 @@ def _sketches(docs: DataFrame, width: int, paths: int) -> DataFrame:
     return docs.mapInArrow(run, schema)
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
-    """The full shingle sets of the wanted ids: ``id, shingles``."""
+def _sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 24) -> DataFrame:
+    """The full shingle sets of the wanted ids: ``id, shingles``.
+
+    The semi-join decides.  Before it a bit map of fixed size (2 MB) tells which
+    ids may be wanted, so that no text is shuffled and few sets are in vain.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = wanted.select(place.alias("bit")).select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 AS int))").alias("mask"))
+    set_words = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
+    filled = np.zeros(bits // 64, np.int64)
+    filled[set_words["word"].to_numpy()] = set_words["mask"].to_numpy()
+    bit_map = docs.sparkSession.sparkContext.broadcast(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filled = bit_map.value
         for batch in by_slices(batches):
-            found = [shingles(t, width).view(np.int64) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+            at = batch.column("bit").to_numpy()
+            maybe = batch.filter(pa.array((filled[at // 64] >> (at % 64)) & 1 == 1))
+            found = [shingles(t, width).view(np.int64) for t in maybe.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([maybe.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.join(wanted, "id", "left_semi").mapInArrow(run, f"id {kind}, shingles array<bigint>").dropDuplicates(["id"])
+    sets = docs.filter("id IS NOT NULL").select("id", "text", place.alias("bit")).mapInArrow(run, f"id {kind}, shingles array<bigint>")
+    return sets.join(wanted, "id", "left_semi").dropDuplicates(["id"])
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -117,7 +132,7 @@ def tolerance(percent: int, sigmas: float = 4.3) -> int:
 
 
 def _leaves(records: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
-    """``node, id`` and the values, for every leaf with two records or more."""
+    """``node, id``, all ``nodes`` of the id and the values, for every leaf with two records or more."""
     values = [f"s{k}" for k in range(_LONGS)]
     roots = records.select("id", "path", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     level, out = roots, None
@@ -133,10 +148,12 @@ def _leaves(records: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
             if level.isEmpty():
                 break
             level = level.join(records.select("id", "path"), "id")
-    return written(out.join(records.select("id", *values), "id"), "leaves")
+    out = written(out, "nodes")
+    of_record = out.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # a node a tree at most
+    return written(out.join(of_record, "id").join(records.select("id", *values), "id"), "leaves")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 20, depth: int = 5, leaf: int = 48, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 20, depth: int = 5, leaf: int = 48, turns: int = 2, pivots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of every document under links of similarity ``percent``/100 or more.
 
     Returns a row per input row: the id column, ``n_shingles``, ``component_id``
@@ -162,21 +179,29 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     leaves = _leaves(records, trees, depth, leaf)
     most = tolerance(percent)
 
-    pivots = leaves.groupBy("node").agg(F.min(F.struct(F.xxhash64("id", "node").alias("rank"), "id", *values)).alias("p")).select("node", "p.*")
-    stars = leaves.alias("x").join(pivots.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.id") != F.col("y.id")) & (_differing("x", "y") <= most))
-    stars = written(stars.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct(), "stars")
-    links = written(confirmed(stars, docs, width, percent), "links")
-    joined = components(links)
-
-    marked = leaves.join(joined, "id", "left").withColumn("component_id", F.coalesce("component_id", "id"))
-    open_nodes = marked.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
-    marked = written(marked.join(open_nodes, "node"), "open")
-    rest = marked.alias("x").join(marked.alias("y"), (F.col("x.node") == F.col("y.node")) & (F.col("x.component_id") > F.col("y.component_id")) & (_differing("x", "y") <= most))
-    rest = rest.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    rest = written(rest.join(stars, ["a", "b"], "left_anti"), "rest")
+    met = lambda x, y: (F.col("x.node") == F.col("y.node")) & (_differing("x", "y") <= most)
+    pair = F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")
+    marked = leaves.withColumns({"component_id": F.col("id"), "degree": F.lit(0).cast("bigint")})
+    tried = links = None
+    for turn in range(turns):
+        rank = F.struct((-F.col("degree")).alias("degree"), F.xxhash64("id", "node", F.lit(turn)).alias("drawn"))
+        slot = F.pmod(F.xxhash64("id", "node", F.lit(turn)), F.lit(pivots)).alias("slot")
+        chosen = marked.groupBy("node", slot).agg(F.min(F.struct(rank.alias("rank"), "id", "component_id", *values)).alias("p")).select("node", "p.*")
+        stars = marked.alias("x").join(chosen.alias("y"), met("x", "y") & (F.col("x.component_id") != F.col("y.component_id"))).select(*pair).distinct()
+        stars = written(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
+        found = written(confirmed(stars, docs, width, percent), "links")
+        tried, links = (stars, found) if tried is None else (tried.unionByName(stars), links.unionByName(found))
+        joined = components(links)
+        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
+        marked = leaves.join(joined, "id", "left").join(ends, "id", "left").withColumns({"component_id": F.coalesce("component_id", "id"), "degree": F.coalesce("degree", F.lit(0))})
+        open_nodes = marked.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
+        marked = written(marked.join(open_nodes, "node"), "open")
+    # A pair that shares several leaves comes from the first of them only.
+    first = F.array_min(F.array_intersect("x.nodes", "y.nodes")) == F.col("x.node")
+    rest = marked.alias("x").join(marked.alias("y"), met("x", "y") & (F.col("x.component_id") > F.col("y.component_id")) & first).select(*pair)
+    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        more = written(confirmed(rest, docs, width, percent), "links")
-        joined = components(links.unionByName(more))
+        joined = components(links.unionByName(written(confirmed(rest, docs, width, percent), "links")))
 
     of_key = classes.join(joined, classes.least == joined.id, "left").select(F.col("set_key").alias("class_key"), F.coalesce("component_id", "least").alias("component_id"))
     out = sketches.join(of_key, (F.col("set_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")

@@ -41,7 +41,8 @@ def mapped_api(raw: DataFrame, fetched_at: Column, *, body: str = "body") -> Dat
 def catalog_tags(record: Column) -> Column:
     """Tags of a catalogue record: actors, groups, origins, language, characters, then free tags; each once, positions from 0."""
     pair = lambda ns, v: F.struct(F.lit(ns).alias("namespace"), trimmed(v).alias("value"))
-    listed = [F.transform(F.coalesce(record[f], F.array().cast("array<string>")), lambda v, ns=ns: pair(ns, v)) for ns, f in (("artist", "a"), ("group", "g"), ("parody", "p"))]
+    of = lambda ns: lambda v: pair(ns, v)
+    listed = [F.transform(F.coalesce(record[f], F.array().cast("array<string>")), of(ns)) for ns, f in (("artist", "a"), ("group", "g"), ("parody", "p"))]
     listed.append(F.when(record["l"].isNotNull(), F.array(pair("language", record["l"]))).otherwise(F.array().cast("array<struct<namespace:string,value:string>>")))
     listed.append(F.transform(F.coalesce(record["c"], F.array().cast("array<string>")), lambda v: pair("character", v)))
     free = F.transform(parsed_tags(F.coalesce(record["t"], F.array().cast("array<string>"))), lambda t: F.struct(F.when(t["namespace"] == "unknown", "other").otherwise(F.lower(t["namespace"])).alias("namespace"), t["value"].alias("value")))
