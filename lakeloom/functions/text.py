@@ -89,41 +89,54 @@ def without_brackets(rest: Column) -> Column:
     return trimmed(F.regexp_replace(rest, _LEADING, ""))
 
 
-def tokens(value: Column, patterns: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
-    """What the patterns find, in their order, as ``label:text``, and the value without it.  Each pattern sees what the ones before it left."""
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
-    def labelled(label: str):
-        return lambda match: F.concat(F.lit(f"{label}:"), normalize_text(match))
 
-    found = []
+def tokens(value: Column, patterns: tuple[tuple[str, str], ...]) -> Column:
+    """What the patterns find, in their order, as ``label:text`` (``found``), and the value without it (``left``).  Each pattern sees what the ones before it left."""
+    state = F.struct(F.array().cast("array<string>").alias("found"), value.alias("left"))
+
+    def step(label: str, pattern: str):
+        def without(s: Column) -> Column:
+            more = F.transform(F.regexp_extract_all(s["left"], F.lit(pattern), F.lit(0)), lambda m: F.concat(F.lit(f"{label}:"), normalize_text(m)))
+            return F.struct(F.concat(s["found"], more).alias("found"), F.regexp_replace(s["left"], pattern, " ").alias("left"))
+
+        return without
+
     for label, pattern in patterns:
-        found.append(F.transform(F.regexp_extract_all(value, F.lit(pattern), F.lit(0)), labelled(label)))
-        value = F.regexp_replace(value, pattern, " ")
-    return F.array_distinct(F.concat(*found)), collapsed(value)
+        state = let(state, step(label, pattern))
+    return let(state, lambda s: F.struct(F.array_distinct(s["found"]).alias("found"), collapsed(s["left"]).alias("left")))
 
 
 def parse_name(name: Column, compose: bool = False) -> Column:
     """A file name as a struct: ``stem, code, actor, category, bracket_tags, title, normalized_title, base_title, series_tokens, edition_tokens``."""
-    stem = strip_extension(name)
-    rest = without_code(stem)
-    brackets = leading_brackets(rest)
-    at = lambda k: F.nullif(F.get(brackets, F.lit(k)), F.lit(""))
-    title = F.coalesce(F.nullif(without_brackets(rest), F.lit("")), F.nullif(rest, F.lit("")), stem)
-    normalized = normalize_text(title, compose)
-    series, left = tokens(title, SERIES_PATTERNS)
-    edition, base = tokens(left, EDITION_PATTERNS)
-    return F.struct(
-        stem.alias("stem"),
-        trailing_code(stem).alias("code"),
-        at(0).alias("actor"),
-        at(1).alias("category"),
-        F.filter(F.slice(brackets, 3, 1_000_000), lambda b: b != "").alias("bracket_tags"),
-        title.alias("title"),
-        normalized.alias("normalized_title"),
-        F.coalesce(F.nullif(normalize_text(base, compose), F.lit("")), normalized).alias("base_title"),
-        series.alias("series_tokens"),
-        edition.alias("edition_tokens"),
-    )
+
+    def of_title(stem: Column, brackets: Column, title: Column) -> Column:
+        series = tokens(title, SERIES_PATTERNS)
+        at = lambda k: F.nullif(F.get(brackets, F.lit(k)), F.lit(""))
+        return let(
+            let(series, lambda s: F.struct(s["found"].alias("series"), tokens(s["left"], EDITION_PATTERNS).alias("edition"))),
+            lambda t: F.struct(
+                stem.alias("stem"),
+                trailing_code(stem).alias("code"),
+                at(0).alias("actor"),
+                at(1).alias("category"),
+                F.filter(F.slice(brackets, 3, 1_000_000), lambda b: b != "").alias("bracket_tags"),
+                title.alias("title"),
+                normalize_text(title, compose).alias("normalized_title"),
+                F.coalesce(F.nullif(normalize_text(t["edition"]["left"], compose), F.lit("")), normalize_text(title, compose)).alias("base_title"),
+                t["series"].alias("series_tokens"),
+                t["edition"]["found"].alias("edition_tokens"),
+            ),
+        )
+
+    def of_rest(stem: Column, rest: Column) -> Column:
+        title = F.coalesce(F.nullif(without_brackets(rest), F.lit("")), F.nullif(rest, F.lit("")), stem)
+        return let(F.struct(leading_brackets(rest).alias("brackets"), title.alias("title")), lambda s: of_title(stem, s["brackets"], s["title"]))
+
+    return let(strip_extension(name), lambda stem: let(without_code(stem), lambda rest: of_rest(stem, rest)))
 
 
 #: Device names that no folder may have.

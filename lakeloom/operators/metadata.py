@@ -160,7 +160,7 @@ def evidence(tags: Column, category: Column, lineage_ids: Column, *, file_id: Co
 
 
 def overlap(a: Column, b: Column, key=normalize_text) -> Column:
-    return F.arrays_overlap(F.filter(F.transform(a, key), lambda v: v != ""), F.filter(F.transform(b, key), lambda v: v != ""))
+    return F.arrays_overlap(F.filter(F.transform(a, lambda v: key(v)), lambda v: v != ""), F.filter(F.transform(b, lambda v: key(v)), lambda v: v != ""))
 
 
 def categories_match(a: Column, b: Column) -> Column:

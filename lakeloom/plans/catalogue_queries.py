@@ -344,7 +344,7 @@ def jn_fuzzy_pairs(spark, sf_dir):
 
 @query(
     "grp_block_keys",
-    f"WITH {_TITLES}, w AS (SELECT t, list_sort(list_distinct(list_filter(string_split(t, ' '), x -> length(x) >= 3)))[1:4] AS ws FROM titles) SELECT t, k AS block FROM (SELECT t, 'p:' || left(replace(t, ' ', ''), 4) AS k FROM titles UNION SELECT t, 't:' || left(unnest(ws), 8) FROM w)",
+    f"WITH {_TITLES}, w AS (SELECT t, list_sort(list_distinct(list_filter(string_split(t, ' '), lambda x: length(x) >= 3)))[1:4] AS ws FROM titles) SELECT t, k AS block FROM (SELECT t, 'p:' || left(replace(t, ' ', ''), 4) AS k FROM titles UNION SELECT t, 't:' || left(unnest(ws), 8) FROM w)",
 )
 def grp_block_keys(spark, sf_dir):
     return table(spark, sf_dir, "part").select(F.col("p_name").alias("t")).distinct().select("t", F.explode(similarity.block_keys(F.col("t"))).alias("block"))
