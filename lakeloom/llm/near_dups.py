@@ -153,7 +153,7 @@ def _leaves(records: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
     return written(out.join(of_record, "id").join(records.select("id", *values), "id"), "leaves")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 20, depth: int = 5, leaf: int = 48, turns: int = 2, pivots: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 20, depth: int = 5, leaf: int = 48, turns: int = 2, pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The class of every document under links of similarity ``percent``/100 or more.
 
     Returns a row per input row: the id column, ``n_shingles``, ``component_id``
@@ -184,8 +184,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     marked = leaves.withColumns({"component_id": F.col("id"), "degree": F.lit(0).cast("bigint")})
     tried = links = None
     for turn in range(turns):
-        rank = F.struct((-F.col("degree")).alias("degree"), F.xxhash64("id", "node", F.lit(turn)).alias("drawn"))
-        slot = F.pmod(F.xxhash64("id", "node", F.lit(turn)), F.lit(pivots)).alias("slot")
+        # Drawn by the id alone: the leaves of a group in all trees mostly agree on its pivots, so its pairs with them are few.
+        drawn = F.xxhash64("id", F.lit(turn))
+        rank = F.struct((-F.col("degree")).alias("degree"), drawn.alias("drawn"))
+        slot = F.pmod(drawn, F.lit(pivots)).alias("slot")
         chosen = marked.groupBy("node", slot).agg(F.min(F.struct(rank.alias("rank"), "id", "component_id", *values)).alias("p")).select("node", "p.*")
         stars = marked.alias("x").join(chosen.alias("y"), met("x", "y") & (F.col("x.component_id") != F.col("y.component_id"))).select(*pair).distinct()
         stars = written(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
