@@ -182,6 +182,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     met = lambda x, y: (F.col("x.node") == F.col("y.node")) & (_differing("x", "y") <= most)
     pair = F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")
     marked = leaves.withColumns({"component_id": F.col("id"), "degree": F.lit(0).cast("bigint")})
+    # What is joined already stands for the links that joined it: later rounds take an edge a document.
+    reached = lambda joined: joined.filter("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
     tried = links = None
     for turn in range(turns):
         # Drawn by the id alone: the leaves of a group in all trees mostly agree on its pivots, so its pairs with them are few.
@@ -193,7 +195,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
         stars = written(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
         found = written(confirmed(stars, docs, width, percent), "links")
         tried, links = (stars, found) if tried is None else (tried.unionByName(stars), links.unionByName(found))
-        joined = components(links)
+        joined = components(found if turn == 0 else found.unionByName(reached(joined)))
         ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
         marked = leaves.join(joined, "id", "left").join(ends, "id", "left").withColumns({"component_id": F.coalesce("component_id", "id"), "degree": F.coalesce("degree", F.lit(0))})
         open_nodes = marked.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
@@ -203,7 +205,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     rest = marked.alias("x").join(marked.alias("y"), met("x", "y") & (F.col("x.component_id") > F.col("y.component_id")) & first).select(*pair)
     rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
     if not rest.isEmpty():
-        joined = components(links.unionByName(written(confirmed(rest, docs, width, percent), "links")))
+        joined = components(written(confirmed(rest, docs, width, percent), "links").unionByName(reached(joined)))
 
     of_key = classes.join(joined, classes.least == joined.id, "left").select(F.col("set_key").alias("class_key"), F.coalesce("component_id", "least").alias("component_id"))
     out = sketches.join(of_key, (F.col("set_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")
