@@ -36,4 +36,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, features: Callable[[str]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>"
     found = sorted((r["id"], r["y"], tuple(r["x"])) for r in rows.mapInArrow(run, schema).collect())
-    return np.array([x for _, _, x in found], float).reshape(len(found), -1), np.array([y for _, y, _ in found], int)
+    return np.array([x for _, _, x in found], float).reshape(len(found), len(features(""))), np.array([y for _, y, _ in found], int)
