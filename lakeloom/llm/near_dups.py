@@ -8,8 +8,10 @@ similarity J share a path of d nodes with probability J**d, so a tree misses the
 with at most 1 - J**depth and all trees with (1 - J**depth)**trees: 8e-6 at 0.85
 for nodes that stay large to the end, and next to nothing otherwise.
 
-Within leaves candidates are compared by 384 four-bit minwise values, and what
-they leave is confirmed on the full sets.  First every record meets a few pivots
+Within leaves candidates are compared by 384 four-bit minwise values and by 512
+parity bits, and what these leave is confirmed on the full sets.  A parity bit
+tells whether an odd number of the set's shingles fall on it, so two records
+differ in no more parity bits than shingles: that filter loses no link.  First every record meets a few pivots
 of its leaf, random ones and in the next turn those with the most links so far;
 that joins dense groups without their pairs.  Then only records in different
 components are paired.
@@ -34,6 +36,9 @@ from lakeloom.llm.components import components
 #: Minwise values of a record: the first trees x depth of them also name the paths.
 VALUES = 384
 _LONGS = VALUES // 16
+#: Parity bits of a record.
+BITS = 512
+_COMPARED = [*(f"s{k}" for k in range(_LONGS)), *(f"p{k}" for k in range(BITS // 64)), "n_shingles"]
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -54,26 +59,33 @@ def minwise(hashes: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.nd
     return least.astype(np.uint32)
 
 
+def parity(hashes: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of the set's hashes fall on it, as 64-bit words."""
+    odd = np.bincount((hashes % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _sketches(docs: DataFrame, width: int, paths: int) -> DataFrame:
-    """``id, n_shingles, set_key, path`` (minwise values) and ``s0`` to ``s23`` (four bits of each value)."""
+    """``id, n_shingles, set_key, path`` (minwise values), ``s0`` to ``s23`` (four bits of each value), ``p0`` to ``p7`` (parity)."""
     factors, terms = _hashers()
-    names = ["id", "n_shingles", "set_key", "path", *(f"s{k}" for k in range(_LONGS))]
+    longs = _COMPARED[:-1]
+    names = ["id", "n_shingles", "set_key", "path", *longs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_slices(batches):
-            sizes, keys, values = [], [], np.zeros((batch.num_rows, VALUES), np.uint32)
+            sizes, keys, values, bits = [], [], np.zeros((batch.num_rows, VALUES), np.uint32), np.zeros((batch.num_rows, BITS // 64), np.int64)
             for k, text in enumerate(batch.column("text").to_pylist()):
                 s = shingles(text, width)
                 sizes.append(len(s))
                 keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 if len(s):
-                    values[k] = minwise(s, factors, terms)
+                    values[k], bits[k] = minwise(s, factors, terms), parity(s)
             nibbles = (values & 15).astype(np.uint8)
-            packed = (nibbles[:, ::2] | (nibbles[:, 1::2] << 4)).view(np.int64)
+            packed = np.hstack([(nibbles[:, ::2] | (nibbles[:, 1::2] << 4)).view(np.int64), bits])
             path = pa.FixedSizeListArray.from_arrays(pa.array(values[:, :paths].astype(np.int32).ravel()), paths).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), path, *(pa.array(packed[:, k]) for k in range(_LONGS))], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), path, *(pa.array(packed[:, k]) for k in range(len(longs)))], names=names)
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key binary, path array<int>, " + ", ".join(f"s{k} bigint" for k in range(_LONGS))
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key binary, path array<int>, " + ", ".join(f"{c} bigint" for c in longs)
     return docs.mapInArrow(run, schema)
 
 
@@ -125,6 +137,12 @@ def _differing(left: str, right: str) -> Column:
     return sum((one(k) for k in range(1, _LONGS)), one(0))
 
 
+def _may_link(left: str, right: str, percent: int) -> Column:
+    """False only where the parity bits that differ prove more differing shingles than a link of ``percent`` allows."""
+    differing = sum(F.bit_count(F.col(f"{left}.p{k}").bitwiseXOR(F.col(f"{right}.p{k}"))) for k in range(BITS // 64))
+    return (100 + percent) * differing <= (100 - percent) * (F.col(f"{left}.n_shingles") + F.col(f"{right}.n_shingles"))
+
+
 def tolerance(percent: int, sigmas: float = 4.3) -> int:
     """The most differing values that a pair at the threshold may show: beyond it by chance one time in 100,000."""
     p = (1 - percent / 100) * 15 / 16
@@ -133,7 +151,6 @@ def tolerance(percent: int, sigmas: float = 4.3) -> int:
 
 def _leaves(records: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
     """``node, id``, all ``nodes`` of the id and the values, for every leaf with two records or more."""
-    values = [f"s{k}" for k in range(_LONGS)]
     roots = records.select("id", "path", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
     level, out = roots, None
     for d in range(1, depth + 1):
@@ -150,7 +167,7 @@ def _leaves(records: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
             level = level.join(records.select("id", "path"), "id")
     out = written(out, "nodes")
     of_record = out.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # a node a tree at most
-    return written(out.join(of_record, "id").join(records.select("id", *values), "id"), "leaves")
+    return written(out.join(of_record, "id").join(records.select("id", *_COMPARED), "id"), "leaves")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 20, depth: int = 5, leaf: int = 48, turns: int = 2, pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,19 +184,18 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
     if trees * depth > VALUES:
         raise ValueError(f"trees x depth may not exceed {VALUES}")
     docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    values = [f"s{k}" for k in range(_LONGS)]
     sketches = written(_sketches(docs, width, trees * depth), "sketches")
     linked = sketches.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = linked.groupBy("set_key").agg(F.min("id").alias("least"))
     records = (
         linked.join(classes.select(F.col("least").alias("id"), F.col("set_key").alias("class_key")), "id")
-        .filter("set_key = class_key").select("id", "path", *values).dropDuplicates(["id"])
+        .filter("set_key = class_key").select("id", "path", *_COMPARED).dropDuplicates(["id"])
     )
     records = written(records, "records")
     leaves = _leaves(records, trees, depth, leaf)
     most = tolerance(percent)
 
-    met = lambda x, y: (F.col("x.node") == F.col("y.node")) & (_differing("x", "y") <= most)
+    met = lambda x, y: (F.col("x.node") == F.col("y.node")) & _may_link("x", "y", percent) & (_differing("x", "y") <= most)
     pair = F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")
     marked = leaves.withColumns({"component_id": F.col("id"), "degree": F.lit(0).cast("bigint")})
     # What is joined already stands for the links that joined it: later rounds take an edge a document.
@@ -190,7 +206,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees
         drawn = F.xxhash64("id", F.lit(turn))
         rank = F.struct((-F.col("degree")).alias("degree"), drawn.alias("drawn"))
         slot = F.pmod(drawn, F.lit(pivots)).alias("slot")
-        chosen = marked.groupBy("node", slot).agg(F.min(F.struct(rank.alias("rank"), "id", "component_id", *values)).alias("p")).select("node", "p.*")
+        chosen = marked.groupBy("node", slot).agg(F.min(F.struct(rank.alias("rank"), "id", "component_id", *_COMPARED)).alias("p")).select("node", "p.*")
         stars = marked.alias("x").join(chosen.alias("y"), met("x", "y") & (F.col("x.component_id") != F.col("y.component_id"))).select(*pair).distinct()
         stars = written(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
         found = written(confirmed(stars, docs, width, percent), "links")
