@@ -2,11 +2,13 @@
 
 Vectors go to the shards of their ``overlap`` nearest cluster centres, so shards
 overlap.  In each shard every vector keeps the neighbours that robust pruning
-leaves: the nearest, then the next that no kept one is much nearer to.  The
-adjacency lists that a vector has from its shards are united.  A greedy search
-then runs in each shard over the united lists, from the shard's medoid and the
-query itself, and around what it finds the range search goes on to the neighbours
-of everything near the radius.  Cosines are exact, so no link below the threshold
+leaves: the nearest, then the next that no kept one is much nearer to.  It also
+gets long edges: at each distance within the range search's reach to a few vectors
+drawn from all that lie there, and to a few drawn from all; what is then still
+apart is connected.  The adjacency lists that a vector has from its shards are
+united.  A greedy search then runs in each shard over the united lists, from the
+shard's medoids and the query itself, and around what it finds the range search
+goes on to the neighbours of everything near the radius.  Cosines are exact, so no link below the threshold
 is reported; what is missed is measured against brute force, and if too much is,
 the work is done again with more overlap.
 """
@@ -81,7 +83,76 @@ def robust_pruned(x: np.ndarray, *, pool: int = 64, degree: int = 24, alpha: flo
     return kept
 
 
-def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, own: np.ndarray, medoid: int, radius: float, *, beam: int = 12, slack: float = 0.12) -> tuple[np.ndarray, np.ndarray]:
+#: Fixed value: so far below the radius the range search still goes on.
+SLACK = 0.12
+
+
+def long_edges(x: np.ndarray, reach: float, *, near: int = 24, rings: int = 6, draws: int = 2, anywhere: int = 2, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (from, to) past each row's ``near`` nearest.
+
+    Of the rows with cosine ``reach`` or more, ``draws`` in each of ``rings`` rings
+    of distance, so a dense clump fills its own ring only; and ``anywhere`` of all.
+    """
+    n, rng = len(x), np.random.default_rng(seed)
+    if n < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    widest = math.sqrt(2 - 2 * reach)
+    at, to = [np.repeat(np.arange(n), anywhere)], [rng.integers(n, size=n * anywhere)]
+    for a in range(0, n, 512):
+        b = min(a + 512, n)
+        sims = x[a:b] @ x.T
+        sims[np.arange(b - a), np.arange(a, b)] = -2
+        if n - 1 > near:
+            np.put_along_axis(sims, np.argpartition(-sims, near - 1, axis=1)[:, :near], -2, 1)
+        else:
+            continue
+        p, v = np.nonzero(sims >= reach)
+        ring = np.minimum(np.log(widest / np.sqrt(np.maximum(2 - 2 * sims[p, v], 1e-12))) / math.log(1.3), rings - 1).astype(np.int64)
+        key = p * rings + np.maximum(ring, 0)
+        order = np.lexsort((rng.random(len(key)), key))
+        key = key[order]
+        drawn = order[np.arange(len(key)) - np.searchsorted(key, key) < draws]
+        at.append(p[drawn] + a)
+        to.append(v[drawn])
+    at, to = np.concatenate(at), np.concatenate(to)
+    return at[at != to], to[at != to]
+
+
+def adjacency_of(x: np.ndarray, reach: float, *, reverse: int = 16, seed: int = 7) -> list[np.ndarray]:
+    """The neighbours of each row: pruned ones and reverse edges, long ones and up to ``reverse`` that come back, and what connects the pieces."""
+    n, rng = len(x), np.random.default_rng(seed)
+    kept = robust_pruned(x)
+    p, k = np.nonzero(kept >= 0)
+    both = np.unique(np.concatenate([np.stack([p, kept[p, k]]), np.stack([kept[p, k], p])], axis=1), axis=1)
+    nearest = np.lexsort((-np.einsum("kd,kd->k", x[both[0]], x[both[1]]), both[0]))
+    both = both[:, nearest]
+    both = both[:, np.arange(both.shape[1]) - np.searchsorted(both[0], both[0]) < 2 * kept.shape[1]]
+    at, to = long_edges(x, reach)
+    order = np.lexsort((rng.random(len(to)), to))
+    back = order[np.arange(len(to)) - np.searchsorted(to[order], to[order]) < reverse]
+    edges = np.concatenate([both, np.stack([at, to]), np.stack([to[back], at[back]])], axis=1)
+    while True:
+        label = _least_labels(n, edges[0], edges[1])
+        roots = np.unique(label)
+        if len(roots) < 2:
+            break
+        ends = []
+        for r in roots:
+            sims = x @ x[r]
+            sims[label == r] = -2
+            ends.append(int(sims.argmax()))
+        edges = np.concatenate([edges, np.stack([roots, ends]), np.stack([ends, roots])], axis=1)
+    edges = np.unique(edges, axis=1)
+    return np.split(edges[1], np.searchsorted(edges[0], np.arange(1, n))) if n else []
+
+
+def medoids_of(x: np.ndarray, k: int = 16) -> np.ndarray:
+    """The row nearest to the mean, and those nearest to the centres of ``k`` clusters."""
+    centres = np.concatenate([x.mean(axis=0)[None], centres_of(x, k, rounds=3)])
+    return np.unique((x @ centres.T).argmax(axis=0))
+
+
+def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, own: np.ndarray, medoids: np.ndarray, radius: float, *, beam: int = 12, slack: float = SLACK) -> tuple[np.ndarray, np.ndarray]:
     """Pairs (query, node) with cosine ``radius`` or more, by greedy search and range expansion.
 
     ``own`` has each query's node, or -1.  All queries of a block advance
@@ -132,7 +203,7 @@ def range_search(x: np.ndarray, adjacency: np.ndarray, queries: np.ndarray, own:
         best = np.argsort(-all_s, axis=1, kind="stable")[:, :beam]
         ids, sims, done = (np.take_along_axis(a, best, 1) for a in (all_v, all_s, all_d))
 
-    offer(*meet(np.concatenate([rows, rows]), np.concatenate([np.full(m, medoid), own])))
+    offer(*meet(np.concatenate([np.repeat(rows, len(medoids)), rows]), np.concatenate([np.tile(medoids, m), own])))
     while True:
         step = np.argmax(~done, axis=1)
         busy = ~done[rows, step]
@@ -194,14 +265,7 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
     def build(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id")
         ids, x = group["id"].to_numpy(), np.array(group["unit"].tolist())
-        kept = robust_pruned(x)
-        p, k = np.nonzero(kept >= 0)
-        both = np.concatenate([np.stack([p, kept[p, k]]), np.stack([kept[p, k], p])], axis=1)
-        both = np.unique(both, axis=1)
-        nearest = np.lexsort((-np.einsum("kd,kd->k", x[both[0]], x[both[1]]), both[0]))
-        both = both[:, nearest]
-        both = both[:, np.arange(both.shape[1]) - np.searchsorted(both[0], both[0]) < 2 * kept.shape[1]]
-        edges = np.split(both[1], np.searchsorted(both[0], np.arange(1, len(ids)))) if len(ids) else []
+        edges = adjacency_of(x, threshold - SLACK)
         return pd.DataFrame({"id": ids, "nearby": [ids[e] for e in edges]})
 
     lists = members.select("shard", "part", "id", "unit").groupBy("shard", "part").applyInPandas(build, f"id {kind}, nearby array<{kind}>")
@@ -227,29 +291,34 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
         place = np.arange(len(row)) - np.searchsorted(row, row)
         adjacency = np.full((len(ids), int(place.max(initial=0)) + 1), -1, np.int64)
         adjacency[row, place] = at[here]
-        medoid = int((x @ x.mean(axis=0)).argmax())
+        medoids = medoids_of(x)
         q_ids, q_x, q_of = asking["id"].to_numpy(), np.array(asking["unit"].tolist()), np.array(asking["shards"].tolist())
         own = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
         own = np.where(ids[own] == q_ids, own, -1)
-        n, pairs_q, pairs_v = np.zeros(len(q_ids), np.int64), [], []
+        n = np.zeros(len(q_ids), np.int64)
+        both = np.unique(np.concatenate([ids, q_ids]))
+        of_q, of_v = np.searchsorted(both, q_ids), np.searchsorted(both, ids)
+        label = np.arange(len(both))
+        few = max(1, (1 << 26) // (q_of.shape[1] * of.shape[1]))
         for a in range(0, len(q_ids), 1024):
-            q, v = range_search(x, adjacency, q_x[a : a + 1024], own[a : a + 1024], medoid, threshold)
+            q, v = range_search(x, adjacency, q_x[a : a + 1024], own[a : a + 1024], medoids, threshold)
             q = q + a
             other = q_ids[q] != ids[v]
             q, v = q[other], v[other]
             # Both vectors may share more shards; the first of them counts the link.
-            same = q_of[q][:, :, None] == of[v][:, None, :]
-            first = np.where(same.any(axis=2), q_of[q], np.iinfo(np.int32).max).min(axis=1)
-            np.add.at(n, q[first == shard], copies[v[first == shard]])
-            pairs_q.append(q)
-            pairs_v.append(v)
-        both = np.unique(np.concatenate([ids, q_ids]))
-        q, v = np.searchsorted(both, q_ids)[np.concatenate(pairs_q)], np.searchsorted(both, ids)[np.concatenate(pairs_v)]
-        low = both[_least_labels(len(both), q, v)]
-        linked = np.isin(both, np.concatenate([both[q], both[v]]))
+            for c in range(0, len(q), few):
+                qc, vc = q[c : c + few], v[c : c + few]
+                same = q_of[qc][:, :, None] == of[vc][:, None, :]
+                first = np.where(same.any(axis=2), q_of[qc], np.iinfo(np.int32).max).min(axis=1)
+                np.add.at(n, qc[first == shard], copies[vc[first == shard]])
+            # What a block of queries links is kept as a forest, not as pairs.
+            tied = np.flatnonzero(label != np.arange(len(both)))
+            label = _least_labels(len(both), np.concatenate([of_q[q], tied]), np.concatenate([of_v[v], label[tied]]))
+        linked = label != np.arange(len(both))
+        low = both[label]
         out = pd.DataFrame({"id": q_ids, "n": n, "low": q_ids})
         edges = pd.DataFrame({"id": both[linked], "n": np.zeros(int(linked.sum()), np.int64), "low": low[linked]})
-        return pd.concat([out[out["n"] > 0], edges[edges["id"] != edges["low"]]])
+        return pd.concat([out[out["n"] > 0], edges])
 
     by_graph = turns.groupBy("shard", "part", "turn")
     by_query = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("shard", "graph", "part", "id", "unit", "shards"))).groupBy("q_shard", "q_graph", "q_part")

@@ -10,7 +10,7 @@ from lakeloom.llm import near_dups
 from lakeloom.llm.components import components
 from lakeloom.llm.near_dups import keep_one_of_each, near_duplicates
 from lakeloom.llm.queries import op3_vector_graph, op9_near_dups
-from lakeloom.llm.vector_graph import linked_vectors
+from lakeloom.llm.vector_graph import SLACK, adjacency_of, linked_vectors, medoids_of, range_search
 
 
 def least_reachable(ids, links):
@@ -135,6 +135,25 @@ def test_many_shards_and_parts_keep_recall(spark):
     assert sum(found.values()) >= 0.95 * sum(expected.values()) > 0
 
 
+def test_clumps_larger_than_the_pool_are_linked():
+    """Two clumps within the radius of each other, each far larger than the pool of nearest vectors, beside a large one elsewhere."""
+    rng = np.random.default_rng(8)
+    around = lambda c, n, s: (lambda y: y / np.linalg.norm(y, axis=1, keepdims=True))(c + rng.normal(scale=s / np.sqrt(64), size=(n, 64)))
+    a, b, far = np.linalg.qr(rng.normal(size=(64, 3)))[0].T
+    b = 0.94 * a + np.sqrt(1 - 0.94**2) * b
+    x = np.concatenate([around(a, 100, 0.06), around(b, 100, 0.06), around(far, 800, 0.6)])
+    lists = adjacency_of(x, 0.9 - SLACK)
+    adjacency = np.full((len(x), max(map(len, lists))), -1, np.int64)
+    for k, v in enumerate(lists):
+        adjacency[k, : len(v)] = v
+    q, v = range_search(x, adjacency, x, np.arange(len(x)), medoids_of(x)[:1], 0.9)
+    found = np.zeros((len(x), len(x)), bool)
+    found[q, v] = True
+    true = x @ x.T >= 0.9
+    assert true[:100, 100:200].all() and found[:100, 100:200].all() and not (found & ~true).any()
+    assert found[true].mean() > 0.99
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = {0: None, 1: [], 2: [0.0, 0.0], 3: [1.0, None], 4: [nan, 1.0], 5: [inf, 1.0], 6: [1.0, 2.0], 7: [2.0, 4.0], 8: [1e300, 2e300], 9: [-1.0, 0.5], 10: [1.0, 2.0]}
