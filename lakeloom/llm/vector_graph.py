@@ -9,8 +9,9 @@ apart is connected.  The adjacency lists that a vector has from its shards are
 united.  A greedy search then runs in each shard over the united lists, from the
 shard's medoids and the query itself, and around what it finds the range search
 goes on to the neighbours of everything near the radius.  Cosines are exact, so no link below the threshold
-is reported; what is missed is measured against brute force, and if too much is,
-the work is done again with more overlap.
+is reported; what is missed is measured against brute force in every case, and if
+too much is, the work is done again with more overlap.  Where that would compare as
+many pairs as there are, all vectors are compared block by block instead.
 """
 
 from __future__ import annotations
@@ -253,8 +254,11 @@ def _assigned(units: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     return units.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", shards array<int>")
 
 
-def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: float, block: int) -> DataFrame:
-    """``id, n, low``: by shard, the vectors linked with ``id`` that this shard counts, and an id that it reaches."""
+def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: float, block: int, *, exact: bool = False) -> DataFrame:
+    """``id, n, low``: by shard, the vectors linked with ``id`` that this shard counts, and an id that it reaches.
+
+    ``exact`` compares all vectors of a shard, part by part, without a graph.
+    """
     rows = written(_assigned(units, centres, overlap), "assigned")
     sizes = {r["shard"]: r["n"] for r in rows.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     # A shard with more than a block of vectors is dealt into parts, and every part of it is searched by all of them.
@@ -268,9 +272,11 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
         edges = adjacency_of(x, threshold - SLACK)
         return pd.DataFrame({"id": ids, "nearby": [ids[e] for e in edges]})
 
-    lists = members.select("shard", "part", "id", "unit").groupBy("shard", "part").applyInPandas(build, f"id {kind}, nearby array<{kind}>")
-    united = written(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nearby"))).alias("nearby")), "adjacency")
-    nodes = members.join(united, "id").select("shard", "part", "parts", "id", "copies", "unit", "shards", "nearby")
+    nodes = members.select("shard", "part", "parts", "id", "copies", "unit", "shards")
+    if not exact:
+        lists = members.select("shard", "part", "id", "unit").groupBy("shard", "part").applyInPandas(build, f"id {kind}, nearby array<{kind}>")
+        united = written(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nearby"))).alias("nearby")), "adjacency")
+        nodes = nodes.join(united, "id")
     turns = nodes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = members.withColumn("graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
@@ -283,15 +289,16 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
         graph, asking = graph.sort_values("id"), asking.sort_values("id")
         ids, x = graph["id"].to_numpy(), np.array(graph["unit"].tolist())
         copies, of = graph["copies"].to_numpy(), np.array(graph["shards"].tolist())
-        lists = graph["nearby"].tolist()
-        flat, sizes = np.concatenate(lists), np.array([len(v) for v in lists])
-        at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
-        here = ids[at] == flat
-        row = np.repeat(np.arange(len(ids)), sizes)[here]
-        place = np.arange(len(row)) - np.searchsorted(row, row)
-        adjacency = np.full((len(ids), int(place.max(initial=0)) + 1), -1, np.int64)
-        adjacency[row, place] = at[here]
-        medoids = medoids_of(x)
+        if not exact:
+            lists = graph["nearby"].tolist()
+            flat, sizes = np.concatenate(lists), np.array([len(v) for v in lists])
+            at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
+            here = ids[at] == flat
+            row = np.repeat(np.arange(len(ids)), sizes)[here]
+            place = np.arange(len(row)) - np.searchsorted(row, row)
+            adjacency = np.full((len(ids), int(place.max(initial=0)) + 1), -1, np.int64)
+            adjacency[row, place] = at[here]
+            medoids = medoids_of(x)
         q_ids, q_x, q_of = asking["id"].to_numpy(), np.array(asking["unit"].tolist()), np.array(asking["shards"].tolist())
         own = np.minimum(np.searchsorted(ids, q_ids), len(ids) - 1)
         own = np.where(ids[own] == q_ids, own, -1)
@@ -301,7 +308,7 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
         label = np.arange(len(both))
         few = max(1, (1 << 26) // (q_of.shape[1] * of.shape[1]))
         for a in range(0, len(q_ids), 1024):
-            q, v = range_search(x, adjacency, q_x[a : a + 1024], own[a : a + 1024], medoids, threshold)
+            q, v = np.nonzero(q_x[a : a + 1024] @ x.T >= threshold) if exact else range_search(x, adjacency, q_x[a : a + 1024], own[a : a + 1024], medoids, threshold)
             q = q + a
             other = q_ids[q] != ids[v]
             q, v = q[other], v[other]
@@ -325,27 +332,35 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
     return by_graph.cogroup(by_query).applyInPandas(search, f"id {kind}, n bigint, low {kind}")
 
 
-def recall(units: DataFrame, counts: DataFrame, threshold: float, queries: int) -> float:
-    """The share of links that were found, of ``queries`` vectors (least hashes) against all by brute force."""
-    sample = units.orderBy(F.xxhash64(F.col("id"), F.lit(1))).limit(queries).select("id", "unit").collect()
+def recall(units: DataFrame, counts: DataFrame, joined: DataFrame, threshold: float, queries: int, *, hot: int = 64) -> float:
+    """How much was found, of ``queries`` vectors (least hashes) against all by brute force.
+
+    The least of three means over the vectors that have links: the share of its links
+    that a vector with more than ``hot`` of them got, the same for the others, and
+    how many have all that they link with in their component.
+    """
+    labelled = units.join(joined, "id", "left").select("id", "unit", "copies", F.coalesce("component_id", "id").alias("component"))
+    sample = labelled.orderBy(F.xxhash64(F.col("id"), F.lit(1))).limit(queries).collect()
     if not sample:
         return 1.0
-    ids, x = [r["id"] for r in sample], np.array([r["unit"] for r in sample])
-    shared = units.sparkSession.sparkContext.broadcast((ids, x))
+    shared = units.sparkSession.sparkContext.broadcast(tuple(np.array([r[c] for r in sample]) for c in ("id", "unit", "component")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x = shared.value
-        n = np.zeros(len(ids), np.int64)
+        ids, x, component = shared.value
+        n, apart = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
         for batch in by_slices(batches):
             there = np.array(batch.column("unit").to_pylist()) @ x.T >= threshold
             n += np.array(batch.column("copies").to_pylist()) @ there
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n)], names=["id", "n"])
+            apart += (there & (np.array(batch.column("component").to_pylist())[:, None] != component)).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.tolist()), pa.array(n), pa.array(apart)], names=["id", "n", "apart"])
 
     kind = units.schema["id"].dataType.simpleString()
-    true = units.select("id", "unit", "copies").mapInArrow(run, f"id {kind}, n bigint").groupBy("id").agg(F.sum("n").alias("true"))
-    true = true.join(units.select("id", "copies"), "id").withColumn("true", F.col("true") - F.col("copies"))
-    row = true.join(counts.select("id", "n"), "id", "left").agg(F.sum("true").alias("true"), F.sum(F.least(F.coalesce("n", F.lit(0)), "true")).alias("found")).first()
-    return 1.0 if not row["true"] else row["found"] / row["true"]
+    true = labelled.mapInArrow(run, f"id {kind}, n bigint, apart bigint").groupBy("id").agg(F.sum("n").alias("true"), F.sum("apart").alias("apart"))
+    true = true.join(units.select("id", "copies"), "id").withColumn("true", F.col("true") - F.col("copies")).filter(F.col("true") > 0)
+    share = F.least(F.coalesce("n", F.lit(0)), "true") / F.col("true")
+    rows = true.join(counts.select("id", "n"), "id", "left").select(share.alias("share"), (F.col("true") > hot).alias("is_hot"), (F.col("apart") == 0).alias("whole")).collect()
+    means = [np.mean(v) for v in ([r["share"] for r in rows if r["is_hot"]], [r["share"] for r in rows if not r["is_hot"]], [r["whole"] for r in rows]) if v]
+    return float(min(means, default=1.0))
 
 
 def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int = 1000, max_shards: int = 4096, overlap: int = 3, block: int = 4096, sample: int = 16_384, audit: int = 256, target: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -358,8 +373,9 @@ def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int
     id link with nothing.  Equal directions are one vector with copies, so copies
     are counted and not compared.  The centres come from ``sample`` vectors and
     number ``max_shards`` at most; every vector is indexed and every vector is a
-    query.  Recall is measured with ``audit`` queries, and below ``target`` the
-    overlap doubles until every shard has every vector.
+    query.  Recall is measured with ``audit`` queries in every case, and below
+    ``target`` the overlap doubles; where shards would have as many pairs as the
+    whole table has, all vectors are compared instead.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
@@ -382,14 +398,17 @@ def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int
     count = units.count()
     chosen = units.orderBy(F.xxhash64("id"), "id").limit(sample).select("unit").collect()
     centres = centres_of(np.array([r["unit"] for r in chosen]), max(1, min(max_shards, math.ceil(count / per_shard)))) if chosen else np.zeros((1, dim))
+    exact = False
     while True:
         wide = min(overlap, len(centres))
-        found = written(_linked(units, centres, wide, threshold, block), "linked")
+        found = written(_linked(units, centres[:1] if exact else centres, 1 if exact else wide, threshold, block, exact=exact), "linked")
         counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-        if wide == len(centres) or recall(units, counts, threshold, audit) >= target:
+        joined = components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+        if exact or recall(units, counts, joined, threshold, audit) >= target:
             break
         overlap *= 2
-    joined = components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+        # Shards have about overlap / centres of the vectors each, and overlap of them hold any one.
+        exact = overlap * overlap >= len(centres)
     of_key = (
         classes.join(counts.withColumnRenamed("id", "least"), "least", "left").join(joined.withColumnRenamed("id", "least"), "least", "left")
         .select(F.col("vec_key").alias("class_key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "least").alias("component_id"))

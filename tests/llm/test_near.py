@@ -6,7 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
-from lakeloom.llm import near_dups
+from lakeloom.llm import near_dups, vector_graph
 from lakeloom.llm.components import components
 from lakeloom.llm.near_dups import keep_one_of_each, near_duplicates
 from lakeloom.llm.queries import op3_vector_graph, op9_near_dups
@@ -154,6 +154,25 @@ def test_clumps_larger_than_the_pool_are_linked():
     assert found[true].mean() > 0.99
 
 
+def test_audit_sees_lost_groups_beside_a_clump_and_repairs_them(spark, monkeypatch):
+    """Searches that find the large clump only: links of small groups are lost, a few of all links."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(61, 32))
+    x = np.concatenate([base[0] + rng.normal(scale=0.05, size=(150, 32)), np.repeat(base[1:], 3, axis=0) + rng.normal(scale=0.05, size=(180, 32))])
+    vectors = {k: v.tolist() for k, v in enumerate(x)}
+    df = spark.createDataFrame(list(vectors.items()), "vec_id bigint, embedding array<double>")
+    whole = vector_graph.range_search
+
+    def lossy(x, adjacency, queries, *more, **options):
+        q, v = whole(x, adjacency, queries, *more, **options)
+        clump = queries[q] @ base[0] > 0.9 * np.linalg.norm(base[0])
+        return q[clump], v[clump]
+
+    monkeypatch.setattr(vector_graph, "range_search", lossy)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in linked_vectors(df, block=100).collect()}
+    assert found == brute_vectors(vectors)
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = {0: None, 1: [], 2: [0.0, 0.0], 3: [1.0, None], 4: [nan, 1.0], 5: [inf, 1.0], 6: [1.0, 2.0], 7: [2.0, 4.0], 8: [1e300, 2e300], 9: [-1.0, 0.5], 10: [1.0, 2.0]}
