@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,6 +143,46 @@ def merge_confidence(value: Column) -> Column:
     return F.least(F.greatest(F.round(80 + 16 * value), F.lit(90)), F.lit(95)).cast("int")
 
 
+@F.pandas_udf(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("pairs", T.ArrayType(T.StringType())), T.StructField("n_pairs", T.IntegerType()), T.StructField("n_chars", T.IntegerType())]))
+def title_parts(title: pd.Series) -> pd.DataFrame:
+    """The distinct tokens and bigrams that ``title_score_of`` compares, and how many bigrams and characters there are."""
+    rows = []
+    for t in title:
+        x = "".join(t.split())
+        rows.append((sorted({w for w in t.split() if len(w) >= 2}), sorted({x[k : k + 2] for k in range(len(x) - 1)}), max(0, len(x) - 1), len(t)))
+    return pd.DataFrame(rows, columns=["words", "pairs", "n_pairs", "n_chars"])
+
+
+#: Fixed value: an accepted pair of titles, and the best of a group if any is accepted, scores as much.
+LEAST_STRONG = 0.94
+
+
+def strong_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """All pairs of different titles (``who, title`` on both sides, same ``who``) of score ``LEAST_STRONG`` or more: ``left, right, score``.
+
+    Such a score has one of three causes.  The sum needs a Jaccard of 4/7 and a Dice
+    of 0.869; the rule for contained titles 0.95 of the shorter's tokens and a balance
+    of 0.78; the rule for close titles a Dice of 0.985.  So for one of the titles a
+    token among its rarest 3/7 and one is in the other, or both have a bigram in
+    common among their rarest 3 percent and one; and the lengths are near.
+    """
+    titles = left.select("title").unionByName(right.select("title")).distinct()
+    parts = titles.select("title", title_parts("title").alias("p")).select("title", "p.*")
+    kinds = parts.select("title", "n_pairs", "n_chars", F.explode(F.concat(F.transform("words", lambda w: F.struct(F.lit("w").alias("kind"), w.alias("part"))), F.transform("pairs", lambda b: F.struct(F.lit("b").alias("kind"), b.alias("part"))))).alias("k")).select("title", "n_pairs", "n_chars", "k.*")
+    rarity = kinds.groupBy("kind", "part").agg(F.count("*").alias("n"))
+    # Arrays of one title's parts.
+    sorted_parts = kinds.join(rarity, ["kind", "part"]).groupBy("title", "n_pairs", "n_chars", "kind").agg(F.array_sort(F.collect_list(F.struct("n", "part"))).alias("all"))
+    first = F.when(F.col("kind") == "w", F.size("all") - F.ceil(F.size("all") * 0.57) + 1).otherwise(F.floor(F.col("n_pairs") * 0.0301) + 1)
+    keyed = sorted_parts.withColumn("first", first.cast("int")).select("title", "n_pairs", "n_chars", "kind", "first", F.posexplode("all").alias("place", "x"))
+    keyed = keyed.select("title", "n_pairs", "n_chars", "kind", F.col("x.part").alias("part"), (F.col("place") < F.col("first")).alias("rare")).filter("rare OR kind = 'w'")
+    side = lambda d, name: d.distinct().join(keyed, "title").select("who", "kind", "part", F.struct("title", "rare", "n_pairs", "n_chars").alias(name))
+    met = side(left, "l").join(side(right, "r"), ["who", "kind", "part"])
+    near = lambda c: F.least(F.col(f"l.{c}"), F.col(f"r.{c}")) >= 0.76 * F.greatest(F.col(f"l.{c}"), F.col(f"r.{c}"))
+    met = met.filter("l.title <> r.title AND (l.rare OR r.rare)").filter(near("n_pairs") | near("n_chars"))
+    pairs = met.select(F.col("l.title").alias("left"), F.col("r.title").alias("right")).distinct()
+    return pairs.withColumn("score", title_score("left", "right")).filter(F.col("score.value") >= LEAST_STRONG)
+
+
 def block_keys(title: Column) -> Column:
     """Keys that titles worth comparing share: the first four characters, and starts of the first four tokens in order."""
     words = F.slice(F.array_sort(F.array_distinct(F.filter(F.split(title, r"(?U)\s+"), lambda t: F.length(t) >= 3))), 1, 4)

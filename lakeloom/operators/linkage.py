@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions import paths
-from lakeloom.functions.similarity import SHORTEST, block_keys, is_strong_merge, merge_confidence, title_score
+from lakeloom.functions.similarity import SHORTEST, is_strong_merge, merge_confidence, strong_pairs
 from lakeloom.operators.metadata import compatibility
 
 _SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
@@ -53,11 +53,13 @@ def merge_candidates(files: DataFrame, groups: DataFrame, *, least: int = 90) ->
     )
     actor = _meet(files, groups, "actors", "actors", "actor", 0).unionByName(_meet(files, groups, "groups", "groups", "actor", 0)).select("path", "group_path").distinct()
     titled = actor.join(_meet(files, groups, "base_titles", "base_titles", "title", 96), ["path", "group_path"])
-    blocks = lambda d, key: d.select(key, F.explode("base_titles").alias("title")).filter(F.length("title") >= SHORTEST).withColumn("block", F.explode(block_keys(F.col("title"))))
-    f, g = blocks(files, "path").withColumnRenamed("title", "left"), blocks(groups, "group_path").withColumnRenamed("title", "right")
-    near = actor.join(f, "path").join(g, ["group_path", "block"]).select("path", "group_path", "left", "right").distinct()
-    scores = near.select("left", "right").distinct().withColumn("score", title_score("left", "right"))
-    best = near.join(scores, ["left", "right"]).groupBy("path", "group_path").agg(F.max_by("score", "score.value").alias("score"))
+    titles = lambda d, key: d.select(key, F.explode("base_titles").alias("title")).filter(F.length("title") >= SHORTEST)
+    whose = lambda d: F.explode(F.concat(F.transform("actors", lambda v: F.concat(F.lit("actor:"), v)), F.transform("groups", lambda v: F.concat(F.lit("group:"), v))))
+    f, g = titles(files, "path"), titles(groups, "group_path")
+    owned = lambda d, t, key: d.select(key, whose(d).alias("who")).join(t, key).select("who", "title").distinct()
+    scores = strong_pairs(owned(files, f, "path"), owned(groups, g, "group_path"))
+    near = actor.join(f.withColumnRenamed("title", "left"), "path").join(scores, "left").join(g.withColumnRenamed("title", "right"), ["group_path", "right"])
+    best = near.groupBy("path", "group_path").agg(F.max_by("score", "score.value").alias("score"))
     fuzzy = best.filter(is_strong_merge(F.col("score"))).select("path", "group_path", F.lit("fuzzy-title").alias("kind"), merge_confidence(F.col("score.value")).alias("base"))
     pairs = sure.unionByName(titled).unionByName(fuzzy)
 
