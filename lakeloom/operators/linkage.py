@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakeloom.functions import paths
 from lakeloom.functions.similarity import SHORTEST, is_strong_merge, merge_confidence, strong_pairs
@@ -78,13 +79,14 @@ def merge_candidates(files: DataFrame, groups: DataFrame, *, least: int = 90) ->
     return out.select("path", "ord", "m.*").filter(F.col("confidence") >= least)
 
 
-def duplicate_target(code: Column, targets: Column, exact: Column, exists: Column) -> Column:
+def duplicate_target(code: Column, n_targets: Column, one: Column, exact: Column, exists: Column) -> Column:
     """Which file of the store a file duplicates: ``status, target, match, candidates``.
 
-    ``targets`` are the store's paths with the same code, ``exact`` the path that the
-    file would get and ``exists`` whether it is taken.
+    ``n_targets`` is how many of the store's paths have the same code and ``one`` the
+    least of them, ``exact`` the path that the file would get and ``exists`` whether
+    it is taken.  With more than one target ``candidates`` is null:
+    ``duplicate_candidates`` has them by code.
     """
-    one = F.get(targets, F.lit(0))
     same = paths.same_path(one, exact)
     nothing = F.lit(None).cast("string")
 
@@ -92,7 +94,7 @@ def duplicate_target(code: Column, targets: Column, exact: Column, exists: Colum
         return F.struct(F.lit(status).alias("status"), target.alias("target"), match.alias("match"), (F.lit(None).cast("array<string>") if candidates is None else candidates).alias("candidates"))
 
     return (
-        F.when(F.size(targets) > 1, out("ambiguous", candidates=targets))
+        F.when(n_targets > 1, out("ambiguous"))
         .when(one.isNotNull() & exists & ~same, out("ambiguous", candidates=F.array(one, exact)))
         .when(one.isNotNull(), out("matched", one, F.when(exists & same, "item-id-and-path").otherwise("item-id")))
         .when(code.isNull() & exists, out("matched", exact, F.lit("relative-path")))
@@ -101,14 +103,33 @@ def duplicate_target(code: Column, targets: Column, exact: Column, exists: Colum
     )
 
 
+def duplicate_candidates(files: DataFrame, store: DataFrame) -> DataFrame:
+    """The store's paths by code (``code, candidate``), for the codes of ``files``: a row each, once per code.
+
+    A file that is in the store itself is among them.
+    """
+    return store.join(files.select("code").distinct(), "code", "left_semi").select("code", F.col("path").alias("candidate"))
+
+
 def duplicates(files: DataFrame, store: DataFrame) -> DataFrame:
-    """The duplicate target of each file (``path, code, target_path``) in the store (``path, code``); a file is no duplicate of itself."""
-    own = F.col("s._at") != paths.comparable(F.col("f.path"))
+    """The duplicate target of each file (``path, code, target_path``) in the store (``path, code``); a file is no duplicate of itself.
+
+    The store comes down to a count and its two least paths for each code, so a
+    common code makes no pairs and no long lists.
+    """
     held = store.select(F.col("path").alias("_held"), F.col("code").alias("_code"), paths.comparable(F.col("path")).alias("_at"))
-    by_code = files.alias("f").join(held.alias("s"), (F.col("f.code") == F.col("s._code")) & own).groupBy("f.path").agg(F.array_sort(F.collect_list("s._held")).alias("_targets"))
+    at = held.filter("_code IS NOT NULL").groupBy("_code", "_at").agg(F.count("*").alias("_n"), F.min("_held").alias("_held"))
+    # Each task hands on two rows of a code at most.
+    ranked = at.withColumn("_place", F.row_number().over(Window.partitionBy("_code").orderBy("_held", "_at"))).filter("_place <= 2")
+    pick = lambda k: F.max(F.when(F.col("_place") == k, F.struct("_held", "_at")))
+    by_code = at.groupBy("_code").agg(F.sum("_n").alias("_all")).join(ranked.groupBy("_code").agg(pick(1).alias("_one"), pick(2).alias("_two")), "_code")
+    own = at.select(F.col("_code").alias("_own_code"), F.col("_at").alias("_own_at"), F.col("_n").alias("_own"))
     taken = held.select(F.col("_at")).distinct().withColumn("_taken", F.lit(True))
-    rows = files.join(by_code, "path", "left").join(taken, paths.comparable(F.col("target_path")) == F.col("_at"), "left")
-    found = duplicate_target(F.col("code"), F.coalesce("_targets", F.array().cast("array<string>")), F.col("target_path"), F.coalesce("_taken", F.lit(False)) & ~paths.same_path(F.col("path"), F.col("target_path")))
+    here = paths.comparable(F.col("path"))
+    rows = files.join(by_code, F.col("code") == F.col("_code"), "left").join(own, (F.col("code") == F.col("_own_code")) & (here == F.col("_own_at")), "left").join(taken, paths.comparable(F.col("target_path")) == F.col("_at"), "left")
+    n = F.coalesce(F.col("_all") - F.coalesce("_own", F.lit(0)), F.lit(0))
+    one = F.when(F.col("_one._at") == here, F.col("_two._held")).otherwise(F.col("_one._held"))
+    found = duplicate_target(F.col("code"), n, one, F.col("target_path"), F.coalesce("_taken", F.lit(False)) & ~paths.same_path(F.col("path"), F.col("target_path")))
     return rows.select(*files.columns, found.alias("found")).select(*files.columns, "found.*")
 
 

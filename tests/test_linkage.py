@@ -4,6 +4,7 @@ import itertools
 import random
 
 from lakeloom.functions.similarity import LEAST_STRONG, strong_pairs, title_score_of
+from lakeloom.operators.linkage import duplicate_candidates, duplicates
 
 
 def test_strong_pairs_against_all_pairs(spark):
@@ -24,3 +25,19 @@ def test_strong_pairs_against_all_pairs(spark):
     found = [(r["left"], r["right"]) for r in strong_pairs(side(left), side(right)).collect()]
     assert len(found) == len(set(found)) and set(found) == expected
     assert ("able acre aged ajar " + long, long) in expected and ("ab cdefghijklmnop", "abc defghijklmnop") in expected
+
+
+def test_duplicates_of_a_common_code_make_no_lists(spark):
+    store = spark.createDataFrame([(f"/s/{k:04}", "hot") for k in range(500)] + [("/s/a", "1"), ("/s/b", "2"), ("/s/c", "2"), ("/s/d", None)], "path string, code string")
+    files = [(f"/f/{k}", "hot", f"/t/{k}") for k in range(500)] + [
+        ("/f/a", "1", "/t/a"), ("/f/a2", "1", "/s/a"), ("/f/a3", "1", "/s/d"), ("/s/a", "1", "/t/x"), ("/s/b", "2", "/t/b"), ("/s/c", "2", "/t/c"), ("/f/d", None, "/s/d"), ("/f/e", "9", "/s/d"), ("/f/g", "9", "/t/g"),
+    ]
+    files = spark.createDataFrame(files, "path string, code string, target_path string")
+    found = {r["path"]: (r["status"], r["target"], r["match"], r["candidates"]) for r in duplicates(files, store).collect()}
+    assert {found.pop(f"/f/{k}") for k in range(500)} == {("ambiguous", None, None, None)}
+    assert found == {
+        "/f/a": ("matched", "/s/a", "item-id", None), "/f/a2": ("matched", "/s/a", "item-id-and-path", None), "/f/a3": ("ambiguous", None, None, ["/s/a", "/s/d"]),
+        "/s/a": ("none", None, None, None), "/s/b": ("matched", "/s/c", "item-id", None), "/s/c": ("matched", "/s/b", "item-id", None),
+        "/f/d": ("matched", "/s/d", "relative-path", None), "/f/e": ("ambiguous", None, None, ["/s/d"]), "/f/g": ("none", None, None, None),
+    }
+    assert duplicate_candidates(files, store).groupBy("code").count().collect() and duplicate_candidates(files, store).filter("code = 'hot'").count() == 500
