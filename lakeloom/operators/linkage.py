@@ -18,55 +18,66 @@ from lakeloom.operators.metadata import compatibility
 _SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
 
 
-def group_summaries(members: DataFrame) -> DataFrame:
-    """One row per existing group with the set of each kind of value its files have, and its first three names.
+#: Which sets of a file and of a group meet for which evidence, and its confidence.
+_EVIDENCE = (
+    ("codes", "codes", "item-id", 100), ("fingerprints", "fingerprints", "content", 100), ("codes", "lineage_ids", "lineage", 99), ("lineage_ids", "lineage_ids", "lineage", 99), ("lineage_ids", "codes", "lineage", 99),
+    ("sample_hashes", "sample_hashes", "sample", 98), ("windows", "windows", "window", 96), ("actors", "actors", "actor", 0), ("groups", "groups", "actor", 0), ("base_titles", "base_titles", "title", 96),
+)
+
+
+def _values(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct ``key, set, value`` of the arrays named as the sets."""
+    each = F.concat(*(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.struct(F.lit(c).alias("set"), v.alias("value"))) for c in _SETS))
+    return rows.select(key, F.explode(each).alias("v")).select(key, "v.*").filter("value IS NOT NULL").distinct()
+
 
-    ``members`` has ``group_path, ord, name`` and arrays named as the sets.
+def group_values(members: DataFrame) -> DataFrame:
+    """The values that the files of each existing group have: ``group_path, set, value``, a row each.
+
+    ``members`` has ``group_path`` and arrays named as the sets.
     """
-    sets = [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in _SETS]
-    names = F.transform(F.slice(F.array_sort(F.collect_list(F.struct("ord", "name"))), 1, 3), lambda x: x["name"]).alias("first_names")
-    return members.groupBy("group_path").agg(F.count("*").alias("file_count"), *sets, names)
+    return _values(members, "group_path")
 
 
-def _meet(files: DataFrame, groups: DataFrame, of_file: str, of_group: str, kind: str, base: int) -> DataFrame:
-    f = files.select("path", F.explode(of_file).alias("_k"))
-    g = groups.select("group_path", F.explode(of_group).alias("_k"))
-    return f.join(g, "_k").select("path", "group_path", F.lit(kind).alias("kind"), F.lit(base).alias("base")).distinct()
+def group_summaries(members: DataFrame) -> DataFrame:
+    """One row per existing group with how many files it has and its first three names; ``members`` has ``group_path, ord, name``."""
+    # Each task hands on three rows of a group at most.
+    first = members.select("group_path", "ord", "name", F.row_number().over(Window.partitionBy("group_path").orderBy("ord", "name")).alias("_place")).filter("_place <= 3")
+    names = first.groupBy("group_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "name"))), lambda x: x["name"]).alias("first_names"))
+    return members.groupBy("group_path").agg(F.count("*").alias("file_count")).join(names, "group_path")
 
 
-def merge_candidates(files: DataFrame, groups: DataFrame, *, least: int = 90) -> DataFrame:
+def merge_candidates(files: DataFrame, groups: DataFrame, values: DataFrame, *, least: int = 90) -> DataFrame:
     """The best existing group of each file, with confidence, evidence and whether it needs review.
 
     ``files`` has ``path, ord`` and ``codes, fingerprints, lineage_ids, sample_hashes,
     windows, actors, groups, origins, categories, base_titles`` as arrays; ``groups``
-    the same by ``group_path`` with ``ord``.  Same id or content is sure even against
+    has ``group_path, ord`` and ``values`` what ``group_values`` returns.  Same id or content is sure even against
     the metadata, which then asks for review; lineage always does; weaker evidence
     counts only without a mismatch.
     """
-    sure = (
-        _meet(files, groups, "codes", "codes", "item-id", 100)
-        .unionByName(_meet(files, groups, "fingerprints", "fingerprints", "content", 100))
-        .unionByName(_meet(files, groups, "codes", "lineage_ids", "lineage", 99))
-        .unionByName(_meet(files, groups, "lineage_ids", "lineage_ids", "lineage", 99))
-        .unionByName(_meet(files, groups, "lineage_ids", "codes", "lineage", 99))
-        .unionByName(_meet(files, groups, "sample_hashes", "sample_hashes", "sample", 98))
-        .unionByName(_meet(files, groups, "windows", "windows", "window", 96))
-    )
-    actor = _meet(files, groups, "actors", "actors", "actor", 0).unionByName(_meet(files, groups, "groups", "groups", "actor", 0)).select("path", "group_path").distinct()
-    titled = actor.join(_meet(files, groups, "base_titles", "base_titles", "title", 96), ["path", "group_path"])
-    titles = lambda d, key: d.select(key, F.explode("base_titles").alias("title")).filter(F.length("title") >= SHORTEST)
-    whose = lambda d: F.explode(F.concat(F.transform("actors", lambda v: F.concat(F.lit("actor:"), v)), F.transform("groups", lambda v: F.concat(F.lit("group:"), v))))
-    f, g = titles(files, "path"), titles(groups, "group_path")
-    owned = lambda d, t, key: d.select(key, whose(d).alias("who")).join(t, key).select("who", "title").distinct()
-    scores = strong_pairs(owned(files, f, "path"), owned(groups, g, "group_path"))
+    of_file = _values(files, "path")
+    rules = F.array(*(F.struct(F.lit(a).alias("of_file"), F.lit(b).alias("set"), F.lit(kind).alias("kind"), F.lit(base).alias("base")) for a, b, kind, base in _EVIDENCE))
+    asked = of_file.select("path", "value", F.explode(F.filter(rules, lambda r: r["of_file"] == F.col("set"))).alias("r")).select("path", "value", "r.set", "r.kind", "r.base")
+    met = asked.join(values, ["set", "value"]).select("path", "group_path", "kind", "base").distinct()
+    sure = met.filter(~F.col("kind").isin("actor", "title"))
+    actor = met.filter("kind = 'actor'").select("path", "group_path")
+    titled = actor.join(met.filter("kind = 'title'"), ["path", "group_path"])
+    titles = lambda d, key: d.filter("set = 'base_titles'").filter(F.length("value") >= SHORTEST).select(key, F.col("value").alias("title"))
+    f, g = titles(of_file, "path"), titles(values, "group_path")
+    owned = lambda d, t, key: d.filter(F.col("set").isin("actors", "groups")).select(key, F.concat_ws(":", "set", "value").alias("who")).join(t, key).select("who", "title").distinct()
+    scores = strong_pairs(owned(of_file, f, "path"), owned(values, g, "group_path"))
     near = actor.join(f.withColumnRenamed("title", "left"), "path").join(scores, "left").join(g.withColumnRenamed("title", "right"), ["group_path", "right"])
     best = near.groupBy("path", "group_path").agg(F.max_by("score", "score.value").alias("score"))
     fuzzy = best.filter(is_strong_merge(F.col("score"))).select("path", "group_path", F.lit("fuzzy-title").alias("kind"), merge_confidence(F.col("score.value")).alias("base"))
     pairs = sure.unionByName(titled).unionByName(fuzzy)
 
     side = lambda: F.struct("groups", "origins", "categories")
-    both = pairs.join(files.select("path", "ord", side().alias("left_side")), "path").join(groups.select("group_path", F.col("ord").alias("group_ord"), side().alias("right_side")), "group_path")
-    judged = both.withColumn("fit", compatibility(F.col("left_side"), F.col("right_side")))
+    # Folders, origins and categories: a few of each for a group.
+    sides = values.filter(F.col("set").isin("groups", "origins", "categories")).groupBy("group_path").agg(F.struct(*(F.collect_set(F.when(F.col("set") == c, F.col("value"))).alias(c) for c in ("groups", "origins", "categories"))).alias("right_side"))
+    none = F.struct(*(F.array().cast("array<string>").alias(c) for c in ("groups", "origins", "categories")))
+    both = pairs.join(files.select("path", "ord", side().alias("left_side")), "path").join(groups.select("group_path", F.col("ord").alias("group_ord")), "group_path").join(sides, "group_path", "left")
+    judged = both.withColumn("fit", compatibility(F.col("left_side"), F.coalesce("right_side", none)))
     strong = F.col("kind").isin("item-id", "content", "lineage")
     boosted = F.when(strong, F.col("base")).otherwise(F.least(F.lit(99), F.col("base") + F.col("fit.boost")))
     kept = judged.filter(strong | ~F.col("fit.mismatch")).select(

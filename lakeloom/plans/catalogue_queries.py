@@ -371,8 +371,8 @@ def jn_merge_candidates(spark, sf_dir):
     one = lambda c: F.array_compact(F.array(c))
     sets = rows.select("path", "ord", "name", F.concat_ws("/", "type", F.get("actors", F.lit(0))).alias("group_path"), one("code").alias("codes"), one("fingerprint").alias("fingerprints"), "lineage_ids", one(F.lit(None).cast("string")).alias("sample_hashes"), one(F.lit(None).cast("string")).alias("windows"), "actors", "groups", one("origin").alias("origins"), one("type").alias("categories"), one("base_title").alias("base_titles"))
     known, new = sets.filter("ord % 10 <> 0"), sets.filter("ord % 10 = 0")
-    groups = linkage.group_summaries(known).join(known.groupBy("group_path").agg(F.min("ord").alias("ord")), "group_path")
-    return linkage.merge_candidates(new.drop("group_path"), groups)
+    groups = known.groupBy("group_path").agg(F.min("ord").alias("ord"))
+    return linkage.merge_candidates(new.drop("group_path"), groups, linkage.group_values(known))
 
 
 @query(

@@ -4,7 +4,7 @@ import itertools
 import random
 
 from lakeloom.functions.similarity import LEAST_STRONG, strong_pairs, title_score_of
-from lakeloom.operators.linkage import duplicate_candidates, duplicates
+from lakeloom.operators.linkage import duplicate_candidates, duplicates, group_summaries, group_values
 
 
 def test_strong_pairs_against_all_pairs(spark):
@@ -41,3 +41,15 @@ def test_duplicates_of_a_common_code_make_no_lists(spark):
         "/f/d": ("matched", "/s/d", "relative-path", None), "/f/e": ("ambiguous", None, None, ["/s/d"]), "/f/g": ("none", None, None, None),
     }
     assert duplicate_candidates(files, store).groupBy("code").count().collect() and duplicate_candidates(files, store).filter("code = 'hot'").count() == 500
+
+
+def test_groups_stay_rows(spark):
+    sets = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
+    of = lambda k: {"codes": [str(k), str(k), None], "actors": ["x"]}
+    rows = [("g", k, f"n{k:03}", *(of(k).get(c) for c in sets)) for k in range(200)]
+    members = spark.createDataFrame(rows, "group_path string, ord int, name string, " + ", ".join(f"{c} array<string>" for c in sets))
+    found = {(r["set"], r["value"]) for r in group_values(members).collect()}
+    assert found == {("codes", str(k)) for k in range(200)} | {("actors", "x")}
+    row = group_summaries(members).first()
+    assert (row["file_count"], row["first_names"]) == (200, ["n000", "n001", "n002"])
+    assert not {f.dataType.typeName() for f in group_values(members).schema} - {"string"}
