@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -10,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,18 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def working_folder(spark: SparkSession) -> str:
-    """The shared folder for working tables.
+    """The shared folder for this application's working tables: below ``spark.checkpoint.dir``, or below the warehouse where that is unset.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a local master, where
-    driver and executors are one process, may go without that setting.
+    Driver and executors share both, and no machine-local folder is used.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        master = spark.sparkContext.master
-        if not master.startswith("local") or master.startswith("local-cluster"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = f"{tempfile.gettempdir()}/checkpoints"
-    return folder.rstrip("/")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{folder.rstrip('/')}/lakeloom-{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -38,11 +32,43 @@ def written(df: DataFrame, name: str) -> DataFrame:
     and place in it) stays as written.
     """
     spark = df.sparkSession
-    path = f"{working_folder(spark)}/lakeloom-{name}-{uuid.uuid4().hex}"
+    path = f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Delete written tables that no DataFrame still to be run reads."""
+    for t in tables:
+        if t is not None:
+            for path in {f.rsplit("/", 1)[0] for f in t.inputFiles()}:
+                _delete(t.sparkSession, path)
+
+
+def clear_working_tables(spark: SparkSession) -> None:
+    """Delete all working tables of this application: for its end, or when the results that it has asked for are written.
+
+    The operators delete what their results do not read; the tables that a result
+    reads stay until this call.
+    """
+    _delete(spark, working_folder(spark))
+
+
+def dealt_apart(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` in an exchange of its own, by a hash of the keys and not by the keys.
+
+    An aggregate that is joined back on its key would be one stage with the join,
+    which adaptive execution cannot split where a key is hot.  Behind an exchange of
+    its own it is a plain side of the join, and the other side is split.
+    """
+    return df.repartition(F.xxhash64(*keys))
+
+
 def by_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that one slice has few rows and, long texts aside, few bytes."""
     for batch in batches:

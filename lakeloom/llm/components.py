@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import written
+from lakeloom.llm.common import dealt_apart, dropped, written
 
 
 def _star(edges: DataFrame, small: bool) -> DataFrame:
@@ -14,11 +14,11 @@ def _star(edges: DataFrame, small: bool) -> DataFrame:
     ``edges`` has ``a`` > ``b``.  In the small star a vertex sees its lesser
     neighbours, and links itself too; in the large star it sees all, and links
     the greater ones.  The least neighbour is an aggregate with a map-side part,
-    so a vertex with many edges is no hot spot; the join with it splits.
+    and it is dealt apart from the join, so that a vertex with many edges is split.
     """
     seen = edges if small else edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = seen.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("m", "a").alias("m"))
-    out = seen.join(least, "a")
+    out = seen.join(dealt_apart(least, "a"), "a")
     if small:
         moved = out.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
@@ -34,7 +34,8 @@ def components(links: DataFrame, max_rounds: int = 50) -> DataFrame:
     edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges, before = written(edges, "edges"), None
     for _ in range(max_rounds):
-        edges = written(_star(_star(edges, small=False), small=True), "edges")
+        last, edges = edges, written(_star(_star(edges, small=False), small=True), "edges")
+        dropped(last)
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
         if now == before:
             break

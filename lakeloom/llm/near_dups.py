@@ -1,22 +1,27 @@
 """Near-duplicate documents by chosen-path set similarity join.
 
 A document is the set of its shingles (runs of ``width`` words).  Equal sets are
-one record.  In each of ``trees`` independent trees, records branch by selected
-minwise shingles: a node holds the records that chose the same shingle, a node
-with more than ``leaf`` records branches again, down to ``depth``.  Two records of
-similarity J share a path of d nodes with probability J**d, so a tree misses them
-with at most 1 - J**depth and all trees with (1 - J**depth)**trees: 8e-6 at 0.85
-for nodes that stay large to the end, and next to nothing otherwise.
-
-Within leaves candidates are compared by 384 four-bit minwise values and by 512
-parity bits, and what these leave is confirmed on the full sets.  A parity bit
-tells whether an odd number of the set's shingles fall on it, so two records
-differ in no more parity bits than shingles: that filter loses no link.  First every record meets a few pivots
-of its leaf, random ones and in the next turn those with the most links so far;
-that joins dense groups without their pairs.  Then only records in different
-components are paired.
-Every pair in a leaf is thus either compared or already connected, whatever the
-leaf's size.
+one record, with a number of its own; ids play no part until the end, so an id
+that has several texts has several records.
+
+In each of some independent trees every record starts at the root.  A node draws,
+by a seed of its own, the minwise position by which its records branch, and with
+probability 1/threshold - 1 a second one: a record goes to one child for each.
+Two records of the threshold's similarity so share one child a level on average,
+and their paths die out far slower than with one branch a level.  A node with no
+more than ``leaf`` records is a leaf; others branch down to ``depth``.  The number
+of trees follows from the threshold, the depth and the share of pairs that may be
+missed (``trees_for``).
+
+Candidates are compared by 384 four-bit minwise values and by 512 parity bits, and
+what these leave is confirmed on the full sets.  A parity bit tells whether an odd
+number of the set's shingles fall on it, so two records differ in no more parity
+bits than shingles: that filter loses no link.  First every record meets a few
+pivots of its nodes, random ones and in the next turn those with the most links so
+far; that joins dense groups without their pairs.  Then leaves that still hold
+several components are compared exhaustively.  Nodes that are large at the last
+level and still hold several components are not paired: their records meet in one
+exact join by prefixes of their rarest shingles, which loses no link.
 """
 
 from __future__ import annotations
@@ -30,11 +35,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import by_slices, window_hashes, word_hashes, written
+from lakeloom.llm.common import by_slices, dealt_apart, dropped, window_hashes, word_hashes, written
 from lakeloom.llm.components import components
 
-#: Minwise values of a record: the first trees x depth of them also name the paths.
-VALUES = 384
+#: Minwise values of a record; the first POSITIONS of them are kept whole, to branch by.
+VALUES, POSITIONS = 384, 128
 _LONGS = VALUES // 16
 #: Parity bits of a record.
 BITS = 512
@@ -65,11 +70,15 @@ def parity(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def _sketches(docs: DataFrame, width: int, paths: int) -> DataFrame:
-    """``id, n_shingles, set_key, path`` (minwise values), ``s0`` to ``s23`` (four bits of each value), ``p0`` to ``p7`` (parity)."""
+def _set_key(shingles: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(shingles.tobytes()) if len(shingles) else None
+
+
+def _sketches(docs: DataFrame, width: int) -> DataFrame:
+    """``id, text_key, n_shingles, set_key, path`` (minwise values), ``s0`` to ``s23`` (four bits of each value), ``p0`` to ``p7`` (parity), and ``row``, a number of the row."""
     factors, terms = _hashers()
     longs = _COMPARED[:-1]
-    names = ["id", "n_shingles", "set_key", "path", *longs]
+    names = ["id", "text_key", "n_shingles", "set_key", "path", *longs]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_slices(batches):
@@ -77,26 +86,26 @@ def _sketches(docs: DataFrame, width: int, paths: int) -> DataFrame:
             for k, text in enumerate(batch.column("text").to_pylist()):
                 s = shingles(text, width)
                 sizes.append(len(s))
-                keys.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
+                keys.append(_set_key(s))
                 if len(s):
                     values[k], bits[k] = minwise(s, factors, terms), parity(s)
             nibbles = (values & 15).astype(np.uint8)
             packed = np.hstack([(nibbles[:, ::2] | (nibbles[:, 1::2] << 4)).view(np.int64), bits])
-            path = pa.FixedSizeListArray.from_arrays(pa.array(values[:, :paths].astype(np.int32).ravel()), paths).cast(pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), path, *(pa.array(packed[:, k]) for k in range(len(longs)))], names=names)
+            path = pa.FixedSizeListArray.from_arrays(pa.array(values[:, :POSITIONS].astype(np.int32).ravel()), POSITIONS).cast(pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), path, *(pa.array(packed[:, k]) for k in range(len(longs)))], names=names)
 
-    schema = f"id {docs.schema['id'].dataType.simpleString()}, n_shingles bigint, set_key binary, path array<int>, " + ", ".join(f"{c} bigint" for c in longs)
-    return docs.mapInArrow(run, schema)
+    schema = f"id {docs.schema['id'].dataType.simpleString()}, text_key bigint, n_shingles bigint, set_key binary, path array<int>, " + ", ".join(f"{c} bigint" for c in longs)
+    return docs.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 24) -> DataFrame:
-    """The full shingle sets of the wanted ids: ``id, shingles``.
+    """The full shingle sets of the wanted records (``rid, set_key, least``): ``rid, shingles``.
 
-    The semi-join decides.  Before it a bit map of fixed size (2 MB) tells which
-    ids may be wanted, so that no text is shuffled and few sets are in vain.
+    The join decides.  Before it a bit map of fixed size (2 MB) tells which ids may
+    be wanted, so that no text is shuffled and few sets are in vain.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = wanted.select(place.alias("bit")).select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 AS int))").alias("mask"))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    words = wanted.select(place("least").alias("bit")).select(F.expr("bit div 64").alias("word"), F.expr("shiftleft(1L, cast(bit % 64 AS int))").alias("mask"))
     set_words = words.groupBy("word").agg(F.bit_or("mask").alias("mask")).toArrow()
     filled = np.zeros(bits // 64, np.int64)
     filled[set_words["word"].to_numpy()] = set_words["mask"].to_numpy()
@@ -107,22 +116,38 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, bits: int = 1 << 24) -
         for batch in by_slices(batches):
             at = batch.column("bit").to_numpy()
             maybe = batch.filter(pa.array((filled[at // 64] >> (at % 64)) & 1 == 1))
-            found = [shingles(t, width).view(np.int64) for t in maybe.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([maybe.column("id"), pa.array(found, pa.list_(pa.int64()))], names=["id", "shingles"])
+            found = [shingles(t, width) for t in maybe.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(map(_set_key, found), pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["set_key", "shingles"])
+
+    sets = docs.filter("id IS NOT NULL").select("text", place("id").alias("bit")).mapInArrow(run, "set_key binary, shingles array<bigint>")
+    return sets.filter("set_key IS NOT NULL").join(wanted.select("rid", "set_key"), "set_key").select("rid", "shingles").dropDuplicates(["rid"])
+
 
-    kind = docs.schema["id"].dataType.simpleString()
-    sets = docs.filter("id IS NOT NULL").select("id", "text", place.alias("bit")).mapInArrow(run, f"id {kind}, shingles array<bigint>")
-    return sets.join(wanted, "id", "left_semi").dropDuplicates(["id"])
+class _FullSets:
+    """The full sets of the records asked for so far, as written tables; each set is made once."""
 
+    def __init__(self, docs: DataFrame, classes: DataFrame, width: int):
+        self.docs, self.classes, self.width, self.tables = docs, classes, width, []
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs ``(a, b)`` with ``100 * intersection >= percent * union`` on full sets."""
-    ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = _sets(docs, ends, width)
-    one, two = (sets.select(F.col("id").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+    def of(self, rids: DataFrame) -> DataFrame:
+        """``rid, shingles`` of at least the given ``rid``."""
+        new = self.classes.join(rids, "rid", "left_semi")
+        for t in self.tables:
+            new = new.join(t.select("rid"), "rid", "left_anti")
+        new = written(new, "wanted")
+        self.tables.append(written(_sets(self.docs, new, self.width), "sets"))
+        dropped(new)
+        out = self.tables[0]
+        for t in self.tables[1:]:
+            out = out.unionByName(t)
+        return out
+
+    def confirmed(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """The pairs ``(a, b)`` of records with ``100 * intersection >= percent * union`` on full sets."""
+        sets = self.of(pairs.select(F.col("a").alias("rid")).unionByName(pairs.select(F.col("b").alias("rid"))).distinct())
+        one, two = (sets.select(F.col("rid").alias(c), F.col("shingles").alias(f"of_{c}")) for c in "ab")
+        shared = F.size(F.array_intersect("of_a", "of_b"))
+        return pairs.join(one, "a").join(two, "b").filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
 def _differing(left: str, right: str) -> Column:
@@ -149,95 +174,168 @@ def tolerance(percent: int, sigmas: float = 4.3) -> int:
     return math.floor(VALUES * p + sigmas * math.sqrt(VALUES * p * (1 - p)))
 
 
-def _leaves(records: DataFrame, trees: int, depth: int, leaf: int) -> DataFrame:
-    """``node, id``, all ``nodes`` of the id and the values, for every leaf with two records or more."""
-    roots = records.select("id", "path", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    level, out = roots, None
+def trees_for(percent: int, depth: int, miss: float = 1e-5) -> int:
+    """How many trees find a pair at the threshold but for the share ``miss``.
+
+    The chance to be apart at depth d follows from that at d - 1: the shared branches
+    of a node are a branching process.  The root takes one branch, so the number does
+    not hang on what a few roots draw.
+    """
+    j, apart = percent / 100, 0.0
+    for _ in range(depth - 1):
+        one = 1 - j + j * apart
+        apart = (2 - 1 / j) * one + (1 / j - 1) * one * one
+    apart = 1 - j + j * apart
+    return max(1, math.ceil(math.log(miss) / math.log(apart)))
+
+
+def _children(level: DataFrame, percent: int, *, roots: bool) -> DataFrame:
+    """``node, rid`` of the nodes below those of ``level`` (``node, rid, path``)."""
+    drawn = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(n)).cast("int")
+    one = drawn(1, POSITIONS)
+    two = F.pmod(one + 1 + drawn(2, POSITIONS - 1), F.lit(POSITIONS))
+    child = lambda at: F.xxhash64("node", at, F.get("path", at))
+    both = drawn(3, 1_000_000) < round(1_000_000 * (100 / percent - 1))
+    children = F.array(child(one)) if roots else F.when(both, F.array(child(one), child(two))).otherwise(F.array(child(one)))
+    return level.select(F.explode(children).alias("node"), "rid")
+
+
+def _leaves(records: DataFrame, percent: int, trees: int, depth: int, leaf: int) -> DataFrame:
+    """``node, rid, large`` of every node that no longer branches and has two records or more; ``large`` tells that it still has more than ``leaf``."""
+    level, out, spent = records.select("rid", "path", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("node")), None, []
     for d in range(1, depth + 1):
-        chosen = F.slice("path", F.col("tree") * depth + 1, d)
-        keyed = level.select("id", "path", "tree", F.xxhash64("tree", chosen).alias("node")) if d > 1 else level.select("id", "tree", F.xxhash64("tree", chosen).alias("node"))
+        keyed = _children(level, percent, roots=d == 1)
         sizes = keyed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        shared = written(keyed.join(sizes, "node"), f"level{d}")
-        done = shared.filter(F.lit(d == depth) | (F.col("n") <= leaf)).select("node", "id")
+        shared = written(keyed.join(dealt_apart(sizes, "node"), "node"), f"level{d}")
+        spent.append(shared)
+        large = F.col("n") > leaf
+        done = shared.filter(F.lit(d == depth) | ~large).select("node", "rid", large.alias("large"))
         out = done if out is None else out.unionByName(done)
-        level = shared.filter(F.col("n") > leaf).select("id", "tree")
-        if d < depth:
-            if level.isEmpty():
-                break
-            level = level.join(records.select("id", "path"), "id")
-    out = written(out, "nodes")
-    of_record = out.groupBy("id").agg(F.collect_list("node").alias("nodes"))  # a node a tree at most
-    return written(out.join(of_record, "id").join(records.select("id", *_COMPARED), "id"), "leaves")
+        more = shared.filter(large).select("rid", "node")
+        if d == depth or more.isEmpty():
+            break
+        level = more.join(records.select("rid", "path"), "rid")
+    leaves = written(out, "leaves")
+    dropped(*spent)
+    return leaves
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, trees: int = 20, depth: int = 5, leaf: int = 48, turns: int = 2, pivots: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The class of every document under links of similarity ``percent``/100 or more.
+def _similar(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
+    """The pairs ``(a, b)`` that the minwise values and the parity bits do not rule out."""
+    x, y = (records.select(F.col("rid").alias(c), F.struct(*_COMPARED).alias(name)) for c, name in (("a", "x"), ("b", "y")))
+    return pairs.join(x, "a").join(y, "b").filter(_may_link("x", "y", percent) & (_differing("x", "y") <= tolerance(percent))).select("a", "b")
 
-    Returns a row per input row: the id column, ``n_shingles``, ``component_id``
-    (least id that links reach, itself included), ``kept`` (whether it is that
-    id).  A text with fewer words than ``width`` is one shingle; null, empty and
-    blank texts have none and link with nothing; repeated rows and equal sets are
-    linked; rows with a null id link with nothing and are kept; further columns
-    are ignored.  All texts are read whole.  Lists of ids, links and components
-    stay on the executors; working tables are written to the shared folder.
+
+def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(a, b)`` of records of different components that may link: all that do are among them.
+
+    ``sets`` has ``rid, component_id, shingles``.  Shingles are ordered by how many
+    records have them, those of one component only in front; two sets that link share
+    one among the first ``size - ceil(percent/100 * size) + 1`` of either.  Of the
+    records under a shingle those outside its largest component meet all others, so a
+    group that is joined already makes no pairs.
     """
-    if trees * depth > VALUES:
-        raise ValueError(f"trees x depth may not exceed {VALUES}")
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sketches = written(_sketches(docs, width, trees * depth), "sketches")
-    linked = sketches.filter("n_shingles > 0 AND id IS NOT NULL")
-    classes = linked.groupBy("set_key").agg(F.min("id").alias("least"))
-    records = (
-        linked.join(classes.select(F.col("least").alias("id"), F.col("set_key").alias("class_key")), "id")
-        .filter("set_key = class_key").select("id", "path", *_COMPARED).dropDuplicates(["id"])
-    )
-    records = written(records, "records")
-    leaves = _leaves(records, trees, depth, leaf)
-    most = tolerance(percent)
-
-    met = lambda x, y: (F.col("x.node") == F.col("y.node")) & _may_link("x", "y", percent) & (_differing("x", "y") <= most)
-    pair = F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")
-    marked = leaves.withColumns({"component_id": F.col("id"), "degree": F.lit(0).cast("bigint")})
+    each = sets.select("rid", "component_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    counts = each.groupBy("shingle", "component_id").agg(F.count("*").alias("n"))
+    usual = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("component_id", "n").alias("largest"), F.count("*").alias("held")).filter("held > 1").select("shingle", "n", "largest")
+    met = each.join(dealt_apart(usual, "shingle"), "shingle", "left")
+    # Arrays of one text's shingles.
+    ordered = met.groupBy("rid", "component_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "largest"))).alias("all"))
+    first = (F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1).cast("int")
+    kept = written(ordered.select("rid", "component_id", F.explode(F.filter(F.slice("all", F.lit(1), first), lambda s: s["n"] > 0)).alias("s")).select("rid", "component_id", "s.shingle", "s.largest"), "prefixes")
+    x, y = kept.filter("component_id <> largest").alias("x"), kept.alias("y")
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component_id") != F.col("y.component_id")))
+    return pairs.select(F.greatest("x.rid", "y.rid").alias("a"), F.least("x.rid", "y.rid").alias("b")).distinct()
+
+
+def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, depth: int, leaf: int, turns: int, pivots: int) -> DataFrame:
+    """``id, component_id`` of the records that have links."""
+    leaves = _leaves(records, percent, trees, depth, leaf)
+    marked = leaves.withColumns({"component_id": F.col("rid"), "degree": F.lit(0).cast("bigint")})
     # What is joined already stands for the links that joined it: later rounds take an edge a document.
     reached = lambda joined: joined.filter("id <> component_id").select(F.col("id").alias("a"), F.col("component_id").alias("b"))
+    apart = F.col("component_id") != F.col("pivot_component")
+    pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = links = None
     for turn in range(turns):
-        # Drawn by the id alone: the leaves of a group in all trees mostly agree on its pivots, so its pairs with them are few.
-        drawn = F.xxhash64("id", F.lit(turn))
-        rank = F.struct((-F.col("degree")).alias("degree"), drawn.alias("drawn"))
-        slot = F.pmod(drawn, F.lit(pivots)).alias("slot")
-        chosen = marked.groupBy("node", slot).agg(F.min(F.struct(rank.alias("rank"), "id", "component_id", *_COMPARED)).alias("p")).select("node", "p.*")
-        stars = marked.alias("x").join(chosen.alias("y"), met("x", "y") & (F.col("x.component_id") != F.col("y.component_id"))).select(*pair).distinct()
-        stars = written(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), "stars")
-        found = written(confirmed(stars, docs, width, percent), "links")
+        # Drawn by the record alone: a group's nodes in all trees mostly agree on its pivots, so its pairs with them are few.
+        drawn = F.xxhash64("rid", F.lit(turn))
+        rank = F.pmod(drawn, F.lit(1 << 40)) - F.least("degree", F.lit(1 << 20)) * (1 << 40)
+        chosen = marked.groupBy("node", F.pmod(drawn, F.lit(pivots)).alias("slot")).agg(F.min_by("rid", rank).alias("pivot"), F.min_by("component_id", rank).alias("pivot_component")).drop("slot")
+        stars = marked.join(dealt_apart(chosen, "node", "pivot"), "node").filter(apart).select(*pair("rid", "pivot")).distinct()
+        stars = written(_similar(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), records, percent), "stars")
+        found = written(full.confirmed(stars, percent), "links")
         tried, links = (stars, found) if tried is None else (tried.unionByName(stars), links.unionByName(found))
         joined = components(found if turn == 0 else found.unionByName(reached(joined)))
-        ends = links.select(F.col("a").alias("id")).unionByName(links.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-        marked = leaves.join(joined, "id", "left").join(ends, "id", "left").withColumns({"component_id": F.coalesce("component_id", "id"), "degree": F.coalesce("degree", F.lit(0))})
-        open_nodes = marked.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
-        marked = written(marked.join(open_nodes, "node"), "open")
-    # A pair that shares several leaves comes from the first of them only.
-    first = F.array_min(F.array_intersect("x.nodes", "y.nodes")) == F.col("x.node")
-    rest = marked.alias("x").join(marked.alias("y"), met("x", "y") & (F.col("x.component_id") > F.col("y.component_id")) & first).select(*pair)
-    rest = written(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
+        of_rid = joined.withColumnRenamed("id", "rid").join(ends, "rid", "left")
+        now = leaves.join(dealt_apart(of_rid, "rid"), "rid", "left").withColumns({"component_id": F.coalesce("component_id", "rid"), "degree": F.coalesce("degree", F.lit(0))})
+        open_nodes = now.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
+        marked = written(now.join(dealt_apart(open_nodes, "node"), "node"), "open")
+    x, y = (marked.filter("NOT large").alias(c) for c in "xy")
+    rest = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component_id") > F.col("y.component_id"))).select(*pair("x.rid", "y.rid")).distinct()
+    crowded = marked.filter("large").select("rid", "component_id").distinct()
+    if not crowded.isEmpty():
+        crowded = written(crowded, "crowded")
+        sets = full.of(crowded.select("rid")).join(crowded, "rid")
+        rest = rest.unionByName(prefix_pairs(sets, percent)).distinct()
+    rest = written(_similar(rest.join(tried, ["a", "b"], "left_anti"), records, percent), "rest")
     if not rest.isEmpty():
-        joined = components(written(confirmed(rest, docs, width, percent), "links").unionByName(reached(joined)))
+        joined = components(full.confirmed(rest, percent).unionByName(reached(joined)))
+    return joined
 
-    of_key = classes.join(joined, classes.least == joined.id, "left").select(F.col("set_key").alias("class_key"), F.coalesce("component_id", "least").alias("component_id"))
-    out = sketches.join(of_key, (F.col("set_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")
-    component = F.coalesce("component_id", "id")
+
+def _classes(docs: DataFrame, *, width: int, percent: int, miss: float = 1e-5, trees: int | None = None, depth: int = 3, leaf: int = 48, turns: int = 2, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+    """Of ``docs`` (``id, text, text_key``) the rows (``id, text_key, n_shingles, set_key``) and the classes (``set_key, root, least``): sets with one ``root`` are one component, ``least`` is its least id."""
+    sketches = written(_sketches(docs, width), "sketches")
+    linked = sketches.filter("n_shingles > 0 AND id IS NOT NULL")
+    classes = written(linked.groupBy("set_key").agg(F.min("id").alias("least"), F.min("row").alias("rid")), "classes")
+    records = written(sketches.join(classes.select("rid"), F.col("row") == F.col("rid")).select("rid", "path", *_COMPARED), "records")
+    full = _FullSets(docs, classes, width)
+    joined = _linked(records, full, percent, trees=trees or trees_for(percent, depth, miss), depth=depth, leaf=leaf, turns=turns, pivots=pivots)
+    rooted = classes.join(joined.withColumnRenamed("id", "rid"), "rid", "left").select("set_key", "least", F.coalesce("component_id", "rid").alias("root"))
+    least = rooted.groupBy("root").agg(F.min("least").alias("least"))
+    roots = written(rooted.drop("least").join(dealt_apart(least, "root"), "root"), "roots")
+    dropped(records, classes, *full.tables)
+    return sketches.select("id", "text_key", "n_shingles", "set_key"), roots
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The class of every document under links of similarity ``percent``/100 or more.
+
+    Returns a row per input row: the id column, ``n_shingles``, ``component_id``
+    (least id that links reach, itself included), ``kept`` (whether it is that
+    id).  A text with fewer words than ``width`` is one shingle; null, empty and
+    blank texts have none and link with nothing; repeated rows and equal sets are
+    linked; rows that share an id and differ in text are documents of their own;
+    rows with a null id link with nothing and are kept; further columns are
+    ignored.  All texts are read whole.  Lists of ids, links and components stay on
+    the executors; working tables are written to the shared folder.
+
+    ``options`` are ``miss`` (share of pairs at the threshold that all trees may
+    miss), ``trees`` (else by ``trees_for``), ``depth``, ``leaf``, ``turns``, ``pivots``.
+    """
+    rows, roots = _classes(_named(docs, id_col, text_col), width=width, percent=percent, **options)
+    out = rows.join(roots.select(F.col("set_key").alias("class_key"), "least"), (F.col("set_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")
+    component = F.coalesce("least", "id")
     return out.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
-def keep_one_of_each(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, *, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, without those that duplicate another: one document of each class stays.
 
-    That is the one with the least id.  Rows that share an id count as copies, and
-    one of them stays; rows with a null id all stay.
+    That is the one with the least id, and of several texts under that id one of
+    them.  Rows with equal id and text are copies, and one of them stays.  Rows
+    without words and rows with a null id link with nothing, and all stay.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **options)
-    dropped = found.filter(~F.col("kept")).select(id_col).distinct()
-    named = docs.filter(F.col(id_col).isNotNull())
-    # The same join at every size: the documents are dealt by id once, and not sorted.
-    stay = named.join(dropped.hint("shuffle_hash"), id_col, "left_anti").dropDuplicates([id_col])
-    return stay.unionByName(docs.filter(F.col(id_col).isNull())).select(docs.columns)
+    rows, roots = _classes(_named(docs, id_col, text_col), width=width, percent=percent, **options)
+    held = rows.filter("n_shingles > 0 AND id IS NOT NULL").select("id", "text_key", "set_key").distinct().join(roots.select("set_key", "root"), "set_key")
+    first = held.groupBy("root").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    gone = held.join(dealt_apart(first, "root"), "root").filter(F.struct("id", "text_key") != F.col("first")).select(F.col("id").alias("__lakeloom_id"), F.col("text_key").alias("__lakeloom_text"))
+    alone = F.col(id_col).isNull() | ~F.coalesce(F.rlike(F.col(text_col), F.lit(r"[^ \t\n\x0B\f\r]")), F.lit(False))
+    keyed = docs.withColumn("__lakeloom_key", F.when(alone, F.monotonically_increasing_id()).otherwise(F.xxhash64(text_col))).dropDuplicates([id_col, "__lakeloom_key"])
+    return keyed.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("__lakeloom_id")) & (F.col("__lakeloom_key") == F.col("__lakeloom_text")), "left_anti").select(docs.columns)

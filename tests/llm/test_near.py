@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from lakeloom.llm import near_dups, vector_graph
+from lakeloom.llm.common import dealt_apart
 from lakeloom.llm.components import components
 from lakeloom.llm.near_dups import keep_one_of_each, near_duplicates
 from lakeloom.llm.queries import op3_vector_graph, op9_near_dups
@@ -74,6 +75,77 @@ def test_groups_near_the_threshold(spark, groups, of_each, edits, leaf):
     assert rows_of(near_duplicates(docs, percent=85, leaf=leaf)) == brute_documents(texts, 85)
 
 
+def variants(rng, words, n):
+    """A text and ``n`` others that differ from it in one word."""
+    out = []
+    for k in range(n + 1):
+        w = list(words)
+        if k:
+            w[rng.randrange(len(w))] = f"v{k}"
+        out.append(" ".join(w))
+    return out
+
+
+def test_ids_with_several_texts(spark):
+    """Links through either text of an id count, and no text of it is lost."""
+    rng = random.Random(2)
+    (a, a2), (b, b2) = (variants(rng, [f"{x}{k}" for k in range(90)], 1) for x in "ab")
+    docs = spark.createDataFrame([(5, a), (5, b), (9, b2), (8, a2), (7, "quite alone here"), (7, "quite alone here"), (6, None), (6, "")], "doc_id bigint, text string")
+    rows = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in near_duplicates(docs).collect())
+    assert rows == [(5, 5, True), (5, 5, True), (6, 6, True), (6, 6, True), (7, 7, True), (7, 7, True), (8, 5, False), (9, 5, False)]
+    kept = sorted((r["doc_id"], r["text"] or "") for r in keep_one_of_each(docs).collect())
+    assert kept == [(5, a), (5, b), (6, ""), (6, ""), (7, "quite alone here")]
+
+
+@pytest.mark.parametrize(("depth", "leaf", "turns"), [(1, 1, 1), (2, 3, 2)])
+def test_crowded_nodes_are_joined_exactly(spark, depth, leaf, turns):
+    """Templates that share most shingles without a link, and groups near the threshold, in nodes that stay large."""
+    rng = random.Random(depth)
+    template = [f"t{k}" for k in range(160)]
+    texts = list(made_up(rng, 3, 20, 3).values())
+    texts += [" ".join([*template[:80], *(f"x{k}y{j}" for j in range(30)), *template[80:]]) for k in range(40)]
+    texts += [t + " tail" for t in texts[60:64]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert rows_of(near_duplicates(docs, percent=85, depth=depth, leaf=leaf, turns=turns)) == brute_documents(dict(enumerate(texts)), 85)
+
+
+def test_prefix_pairs_lose_no_link(spark):
+    rng = random.Random(11)
+    sets = []
+    for _ in range(12):
+        base = rng.sample(range(400), 30)
+        sets += [sorted({*rng.sample(base, rng.randint(24, 30)), *rng.sample(range(400), rng.randint(0, 4))}) for _ in range(6)]
+    of = [k // 2 * 2 for k in range(len(sets))]
+    df = spark.createDataFrame([(k, of[k], s) for k, s in enumerate(sets)], "rid bigint, component_id bigint, shingles array<bigint>")
+    found = {(r["b"], r["a"]) for r in near_dups.prefix_pairs(df, 80).collect()}
+    links = {(i, j) for j in range(len(sets)) for i in range(j) if of[i] != of[j] and 100 * len({*sets[i]} & {*sets[j]}) >= 80 * len({*sets[i]} | {*sets[j]})}
+    assert links and links <= found and all(of[i] != of[j] for i, j in found)
+
+
+def test_trees_follow_from_the_threshold():
+    assert near_dups.trees_for(85, 1) == 7 and near_dups.trees_for(85, 3) < near_dups.trees_for(80, 3) < near_dups.trees_for(80, 4)
+    assert near_dups.trees_for(85, 3, 1e-3) < near_dups.trees_for(85, 3)
+
+
+def test_hot_keys_are_split(spark):
+    """An aggregate joined back on a hot key: adaptive execution splits the other side."""
+    settings = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "32k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(200_000).selectExpr("CASE WHEN id % 2 = 0 THEN -1 ELSE id END AS node", "id AS rid").repartition(16)
+        sizes = rows.groupBy("node").count()
+        split = rows.join(dealt_apart(sizes, "node"), "node")
+        assert split.count() == 200_000
+        split.write.format("noop").mode("overwrite").save()
+        split.collect()
+        assert "skew=true" in split._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_tolerance_lets_pairs_at_the_threshold_pass():
     assert near_dups.tolerance(85) < near_dups.tolerance(80) < near_dups.VALUES
 
