@@ -34,6 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lakeloom.llm.common import by_slices, dealt_apart, dropped, window_hashes, word_hashes, written
 from lakeloom.llm.components import components
@@ -231,9 +232,10 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
 
     ``sets`` has ``rid, component_id, shingles``.  Shingles are ordered by how many
     records have them, those of one component only in front; two sets that link share
-    one among the first ``size - ceil(percent/100 * size) + 1`` of either.  Of the
-    records under a shingle those outside its largest component meet all others, so a
-    group that is joined already makes no pairs.
+    one among the first ``size - ceil(percent/100 * size) + 1`` of either, and behind
+    the first that they share enough of both is left for a link.  Of the records under
+    a shingle those outside its largest component meet all others, so a group that is
+    joined already makes no pairs.
     """
     each = sets.select("rid", "component_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
     counts = each.groupBy("shingle", "component_id").agg(F.count("*").alias("n"))
@@ -242,13 +244,15 @@ def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     # Arrays of one text's shingles.
     ordered = met.groupBy("rid", "component_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "largest"))).alias("all"))
     first = (F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1).cast("int")
-    kept = written(ordered.select("rid", "component_id", F.explode(F.filter(F.slice("all", F.lit(1), first), lambda s: s["n"] > 0)).alias("s")).select("rid", "component_id", "s.shingle", "s.largest"), "prefixes")
+    placed = ordered.select("rid", "component_id", "size", F.posexplode(F.slice("all", F.lit(1), first)).alias("place", "s")).filter("s.n > 0")
+    kept = written(placed.select("rid", "component_id", "size", (F.col("size") - F.col("place")).alias("left"), "s.shingle", "s.largest"), "prefixes")
     x, y = kept.filter("component_id <> largest").alias("x"), kept.alias("y")
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component_id") != F.col("y.component_id")))
+    enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component_id") != F.col("y.component_id")) & enough)
     return pairs.select(F.greatest("x.rid", "y.rid").alias("a"), F.least("x.rid", "y.rid").alias("b")).distinct()
 
 
-def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, depth: int, leaf: int, turns: int, pivots: int) -> DataFrame:
+def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, depth: int, leaf: int, pivots: tuple[int, ...]) -> DataFrame:
     """``id, component_id`` of the records that have links."""
     leaves = _leaves(records, percent, trees, depth, leaf)
     marked = leaves.withColumns({"component_id": F.col("rid"), "degree": F.lit(0).cast("bigint")})
@@ -257,17 +261,22 @@ def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, de
     apart = F.col("component_id") != F.col("pivot_component")
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = links = None
-    for turn in range(turns):
+    for turn, few in enumerate(pivots):
         # Drawn by the record alone: a group's nodes in all trees mostly agree on its pivots, so its pairs with them are few.
         drawn = F.xxhash64("rid", F.lit(turn))
         rank = F.pmod(drawn, F.lit(1 << 40)) - F.least("degree", F.lit(1 << 20)) * (1 << 40)
-        chosen = marked.groupBy("node", F.pmod(drawn, F.lit(pivots)).alias("slot")).agg(F.min_by("rid", rank).alias("pivot"), F.min_by("component_id", rank).alias("pivot_component")).drop("slot")
-        stars = marked.join(dealt_apart(chosen, "node", "pivot"), "node").filter(apart).select(*pair("rid", "pivot")).distinct()
+        chosen = marked.groupBy("node", F.pmod(drawn, F.lit(few)).alias("slot")).agg(F.min_by("rid", rank).alias("pivot"), F.min_by("component_id", rank).alias("pivot_component"), F.min(rank).alias("rank")).drop("slot")
+        used = chosen.select(F.col("pivot").alias("rid")) if turn == 0 else used.unionByName(chosen.select(F.col("pivot").alias("rid")))
+        met = marked.join(dealt_apart(chosen, "node", "pivot"), "node").filter(apart).select("rid", "pivot", "rank")
+        # Of the pivots of all its nodes a record meets the first few.
+        place = F.dense_rank().over(Window.partitionBy("rid").orderBy("rank", "pivot"))
+        stars = met.withColumn("place", place).filter(F.col("place") <= few).select(*pair("rid", "pivot")).distinct()
         stars = written(_similar(stars if tried is None else stars.join(tried, ["a", "b"], "left_anti"), records, percent), "stars")
         found = written(full.confirmed(stars, percent), "links")
         tried, links = (stars, found) if tried is None else (tried.unionByName(stars), links.unionByName(found))
         joined = components(found if turn == 0 else found.unionByName(reached(joined)))
-        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).groupBy("rid").agg(F.count("*").alias("degree"))
+        # With how many pivots a record links tells how near the middle of its group it is; those that were pivots have met their nodes.
+        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).join(used.distinct(), "rid", "left_anti").groupBy("rid").agg(F.count("*").alias("degree"))
         of_rid = joined.withColumnRenamed("id", "rid").join(ends, "rid", "left")
         now = leaves.join(dealt_apart(of_rid, "rid"), "rid", "left").withColumns({"component_id": F.coalesce("component_id", "rid"), "degree": F.coalesce("degree", F.lit(0))})
         open_nodes = now.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
@@ -285,14 +294,14 @@ def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, de
     return joined
 
 
-def _classes(docs: DataFrame, *, width: int, percent: int, miss: float = 1e-5, trees: int | None = None, depth: int = 3, leaf: int = 48, turns: int = 2, pivots: int = 8) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, *, width: int, percent: int, miss: float = 1e-5, trees: int | None = None, depth: int = 3, leaf: int = 48, pivots: tuple[int, ...] = (8, 8)) -> tuple[DataFrame, DataFrame]:
     """Of ``docs`` (``id, text, text_key``) the rows (``id, text_key, n_shingles, set_key``) and the classes (``set_key, root, least``): sets with one ``root`` are one component, ``least`` is its least id."""
     sketches = written(_sketches(docs, width), "sketches")
     linked = sketches.filter("n_shingles > 0 AND id IS NOT NULL")
     classes = written(linked.groupBy("set_key").agg(F.min("id").alias("least"), F.min("row").alias("rid")), "classes")
     records = written(sketches.join(classes.select("rid"), F.col("row") == F.col("rid")).select("rid", "path", *_COMPARED), "records")
     full = _FullSets(docs, classes, width)
-    joined = _linked(records, full, percent, trees=trees or trees_for(percent, depth, miss), depth=depth, leaf=leaf, turns=turns, pivots=pivots)
+    joined = _linked(records, full, percent, trees=trees or trees_for(percent, depth, miss), depth=depth, leaf=leaf, pivots=pivots)
     rooted = classes.join(joined.withColumnRenamed("id", "rid"), "rid", "left").select("set_key", "least", F.coalesce("component_id", "rid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("least"))
     roots = written(rooted.drop("least").join(dealt_apart(least, "root"), "root"), "roots")
@@ -317,7 +326,8 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, id_co
     the executors; working tables are written to the shared folder.
 
     ``options`` are ``miss`` (share of pairs at the threshold that all trees may
-    miss), ``trees`` (else by ``trees_for``), ``depth``, ``leaf``, ``turns``, ``pivots``.
+    miss), ``trees`` (else by ``trees_for``), ``depth``, ``leaf``, ``pivots`` (how many a
+    record meets in each turn: two join a dense group, more find a looser one's middle).
     """
     rows, roots = _classes(_named(docs, id_col, text_col), width=width, percent=percent, **options)
     out = rows.join(roots.select(F.col("set_key").alias("class_key"), "least"), (F.col("set_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")

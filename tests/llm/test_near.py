@@ -97,8 +97,8 @@ def test_ids_with_several_texts(spark):
     assert kept == [(5, a), (5, b), (6, ""), (6, ""), (7, "quite alone here")]
 
 
-@pytest.mark.parametrize(("depth", "leaf", "turns"), [(1, 1, 1), (2, 3, 2)])
-def test_crowded_nodes_are_joined_exactly(spark, depth, leaf, turns):
+@pytest.mark.parametrize(("depth", "leaf", "pivots"), [(1, 1, (1,)), (2, 3, (2, 8))])
+def test_crowded_nodes_are_joined_exactly(spark, depth, leaf, pivots):
     """Templates that share most shingles without a link, and groups near the threshold, in nodes that stay large."""
     rng = random.Random(depth)
     template = [f"t{k}" for k in range(160)]
@@ -106,7 +106,7 @@ def test_crowded_nodes_are_joined_exactly(spark, depth, leaf, turns):
     texts += [" ".join([*template[:80], *(f"x{k}y{j}" for j in range(30)), *template[80:]]) for k in range(40)]
     texts += [t + " tail" for t in texts[60:64]]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
-    assert rows_of(near_duplicates(docs, percent=85, depth=depth, leaf=leaf, turns=turns)) == brute_documents(dict(enumerate(texts)), 85)
+    assert rows_of(near_duplicates(docs, percent=85, depth=depth, leaf=leaf, pivots=pivots)) == brute_documents(dict(enumerate(texts)), 85)
 
 
 def test_prefix_pairs_lose_no_link(spark):
