@@ -3,13 +3,12 @@
 Documents with equal texts form a group that stays together.  The groups, largest
 first, go to the shard with the least bytes so far, which a heap yields.
 
-The heap's list is bounded at every size of the corpus.  A group with more than
-1/(shards x ``fine``) of all bytes is an item of its own; there are fewer than
-shards x ``fine`` of these.  The other groups fall into ``pools`` pools by a hash
-of their text, and each pool is one item.  With fewer groups than pools most
-pools hold one group, and this is plain longest-processing-time scheduling; with
-more, pools are small and alike, so the shards' sizes stay within about a pool of
-each other.
+Which of several groups of one size goes where makes no difference to the loads,
+so the schedule needs the sizes and how many groups have each, and it says how many
+of them each shard takes.  Different sizes add up to no more than all bytes, so
+there are at most the square root of twice the bytes of them (a quarter of a million
+for 30 GB), whatever the number of groups.  Within a size the groups are numbered
+without gaps, and the numbers are dealt.
 """
 
 from __future__ import annotations
@@ -17,55 +16,78 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import written
+from lakeloom.llm.common import dealt_apart, dropped, written
 from lakeloom.llm.places import numbered, with_places
 
 
-def longest_first(items: Iterable[tuple], shards: int) -> dict:
-    """Shard of each item ``(size, name)``: largest first, to the least loaded; ties by name and shard."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for size, name in sorted(items, key=lambda x: (-x[0], x[1])):
-        load, shard = heapq.heappop(heap)
-        out[name] = shard
-        heapq.heappush(heap, (load + size, shard))
+def level(loads: list[int], bytes_: int) -> float:
+    """How high the least loaded shards stand when ``bytes_`` are poured over them."""
+    ordered, total = sorted(loads), bytes_
+    for k, load in enumerate(ordered):
+        total += load
+        if k + 1 == len(ordered) or total <= ordered[k + 1] * (k + 1):
+            return total / (k + 1)
+    raise ValueError("no shards")
+
+
+def longest_first(sizes: Iterable[tuple[int, int]], shards: int) -> dict[int, list[int]]:
+    """For each size how many of its groups each shard takes, from ``(size, number of groups)``.
+
+    The loads are those of a heap that takes group by group, the largest first, and
+    the lower shard of equally loaded ones.  Of a size with many groups those that
+    surely fit below the final level are dealt at once, and the heap takes the rest.
+    """
+    loads, out = [0] * shards, {}
+    for size, count in sorted(sizes, reverse=True):
+        taken = [0] * shards
+        if count > 4 * shards:
+            # Every place below this bar comes before all places above it.
+            bar = level(loads, size * count) - size
+            below = [max(0, -int((load - bar) // size)) for load in loads]
+            if sum(below) <= count:
+                taken, loads = below, [load + k * size for load, k in zip(loads, below)]
+        heap = [(load, s) for s, load in enumerate(loads)]
+        heapq.heapify(heap)
+        for _ in range(count - sum(taken)):
+            load, s = heap[0]
+            heapq.heapreplace(heap, (load + size, s))
+            loads[s] += size
+            taken[s] += 1
+        out[size] = taken
     return out
 
 
-def assign_shards(docs: DataFrame, *, shards: int = 16, fine: int = 1024, pools: int = 1 << 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign_shards(docs: DataFrame, *, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Put all documents into ``shards`` shards of nearly equal bytes, equal texts together.
 
     Returns a row per input row: the id column, ``size`` (UTF-8 bytes and 1),
     ``text_crc32``, ``law`` (``bytes``), ``shard``, ``slot`` (from 0 without gaps in
     each shard), ``grown_shard`` (null under this law).  A null text counts as
     empty, and is in the group of the empty texts; repeated rows are a group; an
-    empty table gives no rows; further columns are ignored.  At most
-    shards x fine + pools items (about 82,000 as set) reach the driver and are
-    broadcast back.
+    empty table gives no rows; further columns are ignored.  The driver sees the
+    sizes and their numbers of groups, and sends back a row for each size.
     """
     spark = docs.sparkSession
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
+    rows = written(docs.select(
         F.col(id_col),
         (F.octet_length(text) + F.lit(1)).cast("bigint").alias("size"),
         F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
         F.unhex(F.sha2(text, 256)).alias("text_group"),
-    ).withColumn("pool", F.pmod(F.xxhash64("text_group"), F.lit(pools)).cast("int"))
-    rows = written(rows, "sizes")
-    groups = rows.groupBy("text_group", "pool").agg(F.sum("size").alias("bytes"))
-    total = rows.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    groups = written(groups.withColumn("alone", F.col("bytes") * F.lit(shards * fine) > F.lit(total)), "groups")
-    alone = groups.filter("alone").select("bytes", "text_group").collect()
-    pooled = groups.filter("not alone").groupBy("pool").agg(F.sum("bytes").alias("bytes")).collect()
-    of = longest_first([*((r["bytes"], (0, bytes(r["text_group"]))) for r in alone), *((r["bytes"], (1, r["pool"])) for r in pooled)], shards)
-    by_group = spark.createDataFrame([(name, shard) for (kind, name), shard in of.items() if kind == 0], "text_group binary, group_shard int")
-    by_pool = spark.createDataFrame([(name, shard) for (kind, name), shard in of.items() if kind == 1], "pool int, pool_shard int")
-    dealt = (
-        rows.join(F.broadcast(by_group), "text_group", "left").join(F.broadcast(by_pool), "pool", "left")
-        .select(id_col, "size", "text_crc32", F.coalesce("group_shard", "pool_shard").alias("shard"))
-    )
-    placed = numbered(written(with_places(dealt, "shard"), "slots"), "shard", "slot")
+    ), "sizes")
+    groups = written(with_places(rows.groupBy("text_group").agg(F.sum("size").alias("bytes")), "bytes"), "groups")
+    sizes = groups.groupBy("bytes").agg(F.count("*").alias("n")).toArrow()
+    taken = longest_first(zip(sizes["bytes"].to_pylist(), sizes["n"].to_pylist()), shards)
+    upto = [[sum(n[: s + 1]) for s in range(shards)] for n in taken.values()]
+    plan = spark.createDataFrame(pa.table({"bytes": pa.array(list(taken), pa.int64()), "upto": pa.array(upto, pa.list_(pa.int64()))}))
+    shard = F.size(F.filter("upto", lambda n: n <= F.col("rank")))
+    of_group = numbered(groups, "bytes", "rank").join(plan, "bytes").select("text_group", shard.alias("shard"))
+    dealt = rows.join(dealt_apart(of_group, "text_group"), "text_group").select(id_col, "size", "text_crc32", "shard")
+    slots = written(with_places(dealt, "shard"), "slots")
+    dropped(rows, groups)
+    placed = numbered(slots, "shard", "slot")
     return placed.select(id_col, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
