@@ -32,12 +32,14 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
 class PrefixBpe:
     """Encodes bytes by ranks: lower ranks merge first, leftmost first among equals.
 
-    ``keep`` bounds the remembered pairs and pieces; beyond it they are forgotten
-    and computed again, so memory stays bounded on any input.
+    ``keep`` bounds the remembered pairs, ``keep_bytes`` the remembered pieces with
+    their ids; beyond that they are forgotten and computed again, and pieces over
+    ``longest_kept`` characters are not remembered at all.  So memory is bounded on any
+    input but for the text at hand.
     """
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 500_000):
-        self.ranks, self.keep = ranks, keep
+    def __init__(self, ranks: dict[bytes, int], keep: int = 500_000, keep_bytes: int = 96 << 20, longest_kept: int = 64):
+        self.ranks, self.keep, self.keep_bytes, self.longest_kept = ranks, keep, keep_bytes, longest_kept
         self.tokens = {r: t for t, r in ranks.items()}
         self.reach = max(map(len, ranks), default=1)
         self.longest: dict[bytes, int] = {}  # by the last two bytes: the longest token with that end
@@ -47,6 +49,7 @@ class PrefixBpe:
         self._pairs: dict[tuple[int, int], bool] = {}
         self._alone: dict[int, bool] = {}
         self._pieces: dict[str, tuple[int, ...]] = {}
+        self._held = 0
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merging step by step; for the few bytes of a token or two."""
@@ -114,11 +117,16 @@ class PrefixBpe:
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """A piece of text; one that is itself a token is that token."""
         if (ids := self._pieces.get(piece)) is None:
-            if len(self._pieces) >= self.keep:
-                self._pieces.clear()
             data = piece.encode("utf-8", "surrogatepass")
             whole = self.ranks.get(data)
-            ids = self._pieces[piece] = (whole,) if whole is not None else tuple(self.encode(data))
+            ids = (whole,) if whole is not None else tuple(self.encode(data))
+            if len(piece) <= self.longest_kept:
+                # About what the objects take: string, tuple, numbers and the entry.
+                self._held += 200 + 4 * len(piece) + 40 * len(ids)
+                if self._held > self.keep_bytes:
+                    self._pieces.clear()
+                    self._held = 0
+                self._pieces[piece] = ids
         return ids
 
     def encode_text(self, pattern: regex.Pattern, text: str) -> list[int]:
