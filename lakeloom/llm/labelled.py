@@ -19,7 +19,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, features: Callable[[str]
     depend on the order or the number of files; each label has half of the bound
     as long as it has as many rows.  The ids (no more than the bound) are
     broadcast; texts stay on the executors, and only features reach the driver.
-    Labels other than 0 and 1 and null ids are left out.
+    Labels other than 0 and 1 and null ids are left out; of a repeated id its least
+    label and least text count, so no more than ``bound`` rows reach the driver.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     if where is not None:
@@ -33,7 +34,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, features: Callable[[str]
             x = [features(t) for t in texts_of(batch)]
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y").cast(pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["id", "y", "x"])
 
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
+    # One row an id before texts are read: an id that comes often, with whatever texts, counts once, by its least text.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id").groupBy("id", "y").agg(F.min("text").alias("text"))
     schema = f"id {rows.schema['id'].dataType.simpleString()}, y int, x array<double>"
     found = sorted((r["id"], r["y"], tuple(r["x"])) for r in rows.mapInArrow(run, schema).collect())
     return np.array([x for _, _, x in found], float).reshape(len(found), len(features(""))), np.array([y for _, y, _ in found], int)
