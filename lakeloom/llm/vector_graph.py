@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeloom.llm.common import by_slices, written
+from lakeloom.llm.common import by_slices, dealt_apart, dropped, written
 from lakeloom.llm.components import components
 
 
@@ -47,8 +47,13 @@ def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarra
 
 
 def centres_of(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
-    """``k`` centres of unit vectors by spherical k-means."""
+    """``k`` centres of unit vectors by spherical k-means; of very many in two levels, each coarse cluster getting its share."""
     rng = np.random.default_rng(seed)
+    if k > 4096:
+        coarse = centres_of(x, math.isqrt(k), rounds, seed)
+        near = np.concatenate([(x[a : a + 4096] @ coarse.T).argmax(axis=1) for a in range(0, len(x), 4096)])
+        parts = [x[near == c] for c in range(len(coarse))]
+        return np.concatenate([centres_of(p, max(1, round(k * len(p) / len(x))), rounds, seed) for p in parts if len(p)])
     c = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
         near = np.concatenate([(x[a : a + 4096] @ c.T).argmax(axis=1) for a in range(0, len(x), 4096)])
@@ -254,8 +259,8 @@ def _assigned(units: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
     return units.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", shards array<int>")
 
 
-def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: float, block: int, *, exact: bool = False) -> DataFrame:
-    """``id, n, low``: by shard, the vectors linked with ``id`` that this shard counts, and an id that it reaches.
+def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: float, block: int, *, exact: bool = False) -> tuple[DataFrame, list[DataFrame]]:
+    """``id, n, low``: by shard, the vectors linked with ``id`` that this shard counts, and an id that it reaches; and the written tables that this reads.
 
     ``exact`` compares all vectors of a shard, part by part, without a graph.
     """
@@ -272,10 +277,11 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
         edges = adjacency_of(x, threshold - SLACK)
         return pd.DataFrame({"id": ids, "nearby": [ids[e] for e in edges]})
 
-    nodes = members.select("shard", "part", "parts", "id", "copies", "unit", "shards")
+    nodes, tables = members.select("shard", "part", "parts", "id", "copies", "unit", "shards"), [rows]
     if not exact:
         lists = members.select("shard", "part", "id", "unit").groupBy("shard", "part").applyInPandas(build, f"id {kind}, nearby array<{kind}>")
         united = written(lists.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("nearby"))).alias("nearby")), "adjacency")
+        tables.append(united)
         nodes = nodes.join(united, "id")
     turns = nodes.withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     asked = members.withColumn("graph", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -329,7 +335,7 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
 
     by_graph = turns.groupBy("shard", "part", "turn")
     by_query = asked.select(*(F.col(c).alias(f"q_{c}") for c in ("shard", "graph", "part", "id", "unit", "shards"))).groupBy("q_shard", "q_graph", "q_part")
-    return by_graph.cogroup(by_query).applyInPandas(search, f"id {kind}, n bigint, low {kind}")
+    return by_graph.cogroup(by_query).applyInPandas(search, f"id {kind}, n bigint, low {kind}"), tables
 
 
 def recall(units: DataFrame, counts: DataFrame, joined: DataFrame, threshold: float, queries: int, *, hot: int = 64) -> float:
@@ -363,7 +369,7 @@ def recall(units: DataFrame, counts: DataFrame, joined: DataFrame, threshold: fl
     return float(min(means, default=1.0))
 
 
-def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int = 1000, max_shards: int = 4096, overlap: int = 3, block: int = 4096, sample: int = 16_384, audit: int = 256, target: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int = 1000, max_shards: int = 65_536, overlap: int = 3, block: int = 4096, sample: int = 16_384, audit: int = 256, target: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine ``threshold`` or more among all vectors, and their components.
 
     Returns a row per input row: the id column, ``n_links`` (other rows linked
@@ -371,8 +377,9 @@ def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int
     ``kept`` (whether it is that id).  Null and zero vectors, those with null or
     non-finite components, those of another length than most, and rows with a null
     id link with nothing.  Equal directions are one vector with copies, so copies
-    are counted and not compared.  The centres come from ``sample`` vectors and
-    number ``max_shards`` at most; every vector is indexed and every vector is a
+    are counted and not compared; an id that has several vectors has as many rows, and
+    links through any of them count.  The centres come from ``sample`` vectors, or two
+    for each centre, and number ``max_shards`` at most; every vector is indexed and every vector is a
     query.  Recall is measured with ``audit`` queries in every case, and below
     ``target`` the overlap doubles; where shards would have as many pairs as the
     whole table has, all vectors are compared instead.
@@ -393,15 +400,20 @@ def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int
 
     scaled_rows = written(rows.mapInArrow(scaled, f"id {kind}, unit array<double>, vec_key binary"), "units")
     able = scaled_rows.filter("id IS NOT NULL AND vec_key IS NOT NULL")
-    classes = written(able.groupBy("vec_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit")), "classes")
-    units = classes.select(F.col("least").alias("id"), "unit", "copies")
-    count = units.count()
-    chosen = units.orderBy(F.xxhash64("id"), "id").limit(sample).select("unit").collect()
-    centres = centres_of(np.array([r["unit"] for r in chosen]), max(1, min(max_shards, math.ceil(count / per_shard)))) if chosen else np.zeros((1, dim))
-    exact = False
+    classes = able.groupBy("vec_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
+    # Ids may have several vectors, so each class gets a number of its own.
+    classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
+    units = classes.select(F.col("rid").alias("id"), "unit", "copies")
+    shards = max(1, min(max_shards, math.ceil(units.count() / per_shard)))
+    chosen = classes.orderBy(F.xxhash64("vec_key"), "vec_key").limit(max(sample, 2 * shards)).select("unit").collect()
+    centres = centres_of(np.array([r["unit"] for r in chosen]), shards) if chosen else np.zeros((1, dim))
+    exact, spent = False, []
     while True:
         wide = min(overlap, len(centres))
-        found = written(_linked(units, centres[:1] if exact else centres, 1 if exact else wide, threshold, block, exact=exact), "linked")
+        pairs, tables = _linked(units, centres[:1] if exact else centres, 1 if exact else wide, threshold, block, exact=exact)
+        found = written(pairs, "linked")
+        dropped(*tables)
+        spent.append(found)
         counts = found.groupBy("id").agg(F.sum("n").alias("n"))
         joined = components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
         if exact or recall(units, counts, joined, threshold, audit) >= target:
@@ -409,10 +421,13 @@ def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int
         overlap *= 2
         # Shards have about overlap / centres of the vectors each, and overlap of them hold any one.
         exact = overlap * overlap >= len(centres)
-    of_key = (
-        classes.join(counts.withColumnRenamed("id", "least"), "least", "left").join(joined.withColumnRenamed("id", "least"), "least", "left")
-        .select(F.col("vec_key").alias("class_key"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "least").alias("component_id"))
+    rooted = (
+        classes.join(counts.withColumnRenamed("id", "rid"), "rid", "left").join(joined.withColumnRenamed("id", "rid"), "rid", "left")
+        .select(F.col("vec_key").alias("class_key"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "rid").alias("root"))
     )
+    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_key = written(rooted.drop("least").join(dealt_apart(least, "root"), "root"), "vector_classes")
+    dropped(classes, *spent)
     out = scaled_rows.join(of_key, (F.col("vec_key") == F.col("class_key")) & F.col("id").isNotNull(), "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
