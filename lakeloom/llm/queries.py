@@ -34,47 +34,57 @@ def held_out(id_col: str = "id"):
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every section (line) of every document, boundary tokens by the majority rule.  Null and empty texts have one empty section; repeated rows repeat; an empty table gives none."""
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text by the multilingual ranks, as digests, and of the bytes that they decode to.  Null and empty texts have no ids; repeated rows repeat; an empty table gives none."""
     return encode_documents(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=False)
 
 
 def op3_vector_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more among all vectors and their components.  Null, zero and non-finite vectors link with nothing; equal vectors are linked; an empty table gives none."""
     return linked_vectors(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 1024 tokens.  A null or empty text is the end id alone; repeated rows are packed as often as they come; an empty table gives none."""
     files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("byte_bpe_50k.tiktoken")
     return pack(table(spark, sf_dir, "documents"), *files, public_tokenizers.PATTERN, capacity=1024, end_id=2)
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every whole text by the patterns and the field, which is fitted on the documents' own matches.  Null and empty texts have none; repeated rows repeat; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     return find_personal_data(docs, fit(docs))
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule statistics and the verdict of rules and forest, which is fitted on all labels.  A null or empty text fails; repeated rows repeat; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_forest(docs, table(spark, sf_dir, "labels")))
 
 
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest rule that fits each url, and its verdict; allow where none fits.  A null url has empty host and path; repeated rows repeat; an empty table gives none."""
     return judge_urls(table(spark, sf_dir, "pages"), [place_rule(v, p) for v, p in URL_RULES])
 
 
 def op8_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents by a ranking fitted on the labels that are not held out.  Null and empty texts are scored as empty; repeated rows repeat; a null id is not held out; an empty table gives none."""
     docs = table(spark, sf_dir, "documents")
     ranking = fit_ranking(docs, table(spark, sf_dir, "labels"), where=~held_out())
     return score_documents(docs, ranking).select("doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op9_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of the documents under five-word similarity of 0.85 or more.  Texts without words link with nothing; equal texts are linked; an empty table gives none."""
     return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of near equal bytes, equal texts together.  Null texts are in the group of the empty ones; an empty table gives none."""
     return assign_shards(table(spark, sf_dir, "documents"))
 
 

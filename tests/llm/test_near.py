@@ -245,6 +245,24 @@ def test_audit_sees_lost_groups_beside_a_clump_and_repairs_them(spark, monkeypat
     assert found == brute_vectors(vectors)
 
 
+def test_ids_with_several_vectors(spark):
+    """Links through either vector of an id count for the component, and nothing multiplies."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 16))
+    near = lambda v: (v + rng.normal(scale=0.05, size=16)).tolist()
+    df = spark.createDataFrame([(5, a.tolist()), (5, b.tolist()), (9, near(b)), (8, near(a)), (5, b.tolist())], "vec_id bigint, embedding array<double>")
+    rows = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in linked_vectors(df).collect())
+    assert rows == [(5, 1, 5, True), (5, 2, 5, True), (5, 2, 5, True), (8, 1, 5, False), (9, 2, 5, False)]
+
+
+def test_very_many_centres_come_in_two_levels():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(9000, 4))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    centres = vector_graph.centres_of(x, 4500, rounds=2)
+    assert 4000 <= len(centres) <= 5000 and ((x @ centres.T).max(axis=1) > 0.99).mean() > 0.95
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     vectors = {0: None, 1: [], 2: [0.0, 0.0], 3: [1.0, None], 4: [nan, 1.0], 5: [inf, 1.0], 6: [1.0, 2.0], 7: [2.0, 4.0], 8: [1e300, 2e300], 9: [-1.0, 0.5], 10: [1.0, 2.0]}

@@ -1,6 +1,7 @@
 """Encoding, decoding, token counts of sections, and packing."""
 
 import hashlib
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -184,3 +185,62 @@ def test_packing_of_odd_rows(spark, odd_docs, no_docs):
     check_packing(rows, dict(enumerate(ODD_TEXTS)))
     assert packing.pack(odd_docs, *files, P.PATTERN).filter("doc_id = 3").count() == 2
     assert packing.pack(no_docs, *files, P.PATTERN).count() == 0
+
+
+def test_both_encoders_agree_on_every_character_of_the_fast_path():
+    """Same tokens, same merges in the same order, and each character up to U+024F in every kind of place."""
+    files = file_of("byte_bpe_50k.json"), file_of("byte_bpe_50k.tiktoken")
+    fast = packing.FastEncoder(*files, P.PATTERN)
+    known = json.loads(files[0])
+    spelled = {c: b for b, c in enumerate_bytes()}
+    to_bytes = lambda t: bytes(spelled[c] for c in t)
+    added = {t["content"] for t in known["added_tokens"]}
+    ranks = {to_bytes(t): i for t, i in known["model"]["vocab"].items() if t not in added}
+    assert ranks == ranks_of("byte_bpe_50k.tiktoken")
+    merges = [m if isinstance(m, list) else m.split(" ") for m in known["model"]["merges"]]
+    order = [ranks[to_bytes(a) + to_bytes(b)] for a, b in merges]
+    assert order == sorted(order)
+    for c in map(chr, range(0x250)):
+        for other in ("a", "É", "1", " ", "\n", "\u00a0", ".", "'", "'s", c):
+            for text in (c, c + other, other + c, other + c + other, f" {c}{other}", f"{other} {c}", f"{c}  {other}", c * 3 + other):
+                assert fast.plain.encode_ordinary(text) == fast.full.encode(text, add_special_tokens=False).ids, text
+
+
+def enumerate_bytes():
+    """The printable character that stands for each byte: itself, or the next one from U+0100 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [(b, chr(b)) for b in plain] + [(b, chr(256 + k)) for k, b in enumerate(rest)]
+
+
+def test_both_encoders_agree_on_random_texts():
+    fast = packing.FastEncoder(file_of("byte_bpe_50k.json"), file_of("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(12)
+    scripts = [range(0x20, 0x7F), range(0x250), (*b" \t\n\r\x0b\x0c\x85\xa0", *range(97, 104)), range(0x3B0, 0x5FF), range(0x3040, 0x30FF), range(0xAC00, 0xAC80), range(0x1F600, 0x1F640), (0x200B, 0x200D, 0x2028, 0x3000, 0x300, 0x661, 32, 97)]
+    for _ in range(4_000):
+        text = "".join(chr(rng.choice(rng.choice(scripts[: rng.randint(1, len(scripts))]))) for _ in range(rng.randint(1, 60)))
+        if rng.random() < 0.1:
+            text += "<|endoftext|>" + text[:5]
+        assert fast.ids(text) == fast.full.encode(text, add_special_tokens=False).ids
+
+
+def test_remembered_pieces_are_bounded_by_bytes():
+    bpe = PrefixBpe(ranks_of("byte_bpe_50k.tiktoken"), keep_bytes=100_000)
+    rng = random.Random(4)
+    for _ in range(3_000):
+        piece = "".join(rng.choice("abcdefgh") for _ in range(rng.choice((5, 40, 300))))
+        assert bpe.decode(bpe.encode_piece(piece)) == piece.encode()
+    assert sum(200 + 4 * len(p) for p in bpe._pieces) <= 100_000 and max(map(len, bpe._pieces)) <= 64
+
+
+def test_texts_of_megabytes(spark):
+    """One word, one line of digits, and lines without end, of two million characters each."""
+    rng = random.Random(9)
+    texts = ["x" * 2_000_000, "".join(rng.choice("0123456789 ") for _ in range(2_000_000)), "ab cd\n" * 340_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    encoding = own(MULTI)
+    for r in encode_documents(docs.filter("doc_id > 0"), file_of(MULTI), P.PATTERN, with_ids=False).collect():
+        assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, encoding.encode_ordinary(texts[r["doc_id"]]))).encode()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+    files = file_of("byte_bpe_50k.json"), file_of("byte_bpe_50k.tiktoken")
+    check_packing(packing.pack(docs.filter("doc_id = 2"), *files, P.PATTERN).collect(), {2: texts[2]})
