@@ -30,7 +30,10 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects the documents that a rule fails or the forest finds anomalous."""
+    """Rejects the documents that a rule fails or the forest finds anomalous.
+
+    The forest is fitted on all labels, also on those that the classifier holds out.
+    """
     return keep_passing(docs, fit_forest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
