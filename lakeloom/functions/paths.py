@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lakeloom.functions.text import safe_segment
+
 # Extensions that are archives, and extensions that never are.
 ARCHIVE_EXTENSIONS = (".zip", ".rar", ".7z", ".tar", ".gz", ".bz2", ".xz", ".cab", ".iso", ".dmg", ".pkg", ".deb", ".rpm")
-MEDIA_EXTENSIONS = tuple(
-    f".{e}" for e in (
-        "jpg jpeg png gif bmp tiff tif webp svg ico raw cr2 nef arw dng psd ai eps mp4 avi mkv mov wmv flv webm m4v 3gp mpg mpeg ts vob asf rm rmvb"
-        " m2ts mts mp3 wav flac aac ogg wma m4a txt doc docx pdf xls xlsx ppt pptx rtf odt ods odp"
-    ).split()
+MEDIA_EXTENSIONS = (
+    ".jpg", ".jpeg", ".png", ".gif", ".bmp", ".tiff", ".tif", ".webp", ".svg", ".ico", ".raw", ".cr2", ".nef", ".arw", ".dng", ".psd", ".ai", ".eps",
+    ".mp4", ".avi", ".mkv", ".mov", ".wmv", ".flv", ".webm", ".m4v", ".3gp", ".mpg", ".mpeg", ".ts", ".vob", ".asf", ".rm", ".rmvb", ".m2ts", ".mts",
+    ".mp3", ".wav", ".flac", ".aac", ".ogg", ".wma", ".m4a",
+    ".txt", ".doc", ".docx", ".pdf", ".xls", ".xlsx", ".ppt", ".pptx", ".rtf", ".odt", ".ods", ".odp",
 )
 GROUP_FOLDER, TRASH_FOLDER = "_grouped", "_trash"
 
@@ -109,7 +111,7 @@ def group_segments(group_path: Column) -> Column:
     """``type/origin/actor/title…`` of a group's path below the group folder; null with fewer than four parts."""
     parts = F.split(group_path, "/")
     at = lambda k: F.get(parts, F.lit(k))
-    return F.when(F.size(parts) >= 4, F.struct(at(0).alias("type"), at(1).alias("origin"), at(2).alias("actor"), F.array_join(F.slice(parts, 4, 1_000_000), " ").alias("title")))
+    return F.when(F.size(parts) >= 4, F.struct(at(0).alias("type"), at(1).alias("origin"), at(2).alias("actor"), F.array_join(F.slice(parts, F.lit(4), F.size(parts)), " ").alias("title")))
 
 
 def group_label(actor: Column, title: Column) -> Column:
@@ -124,3 +126,13 @@ def megabytes(text: Column) -> Column:
     """Bytes of a number of megabytes written as text; null if it is none or negative."""
     n = F.try_to_number(F.trim(text), F.lit("999999999.999")).cast("double")
     return F.when(n >= 0, F.round(n * 1048576).cast("bigint"))
+
+
+# Folders for what is not known.
+UNKNOWN = {"type": "unknown-type", "origin": "unknown-origin", "actor": "unknown-actor", "title": "untitled"}
+
+
+def folder_segments(known: dict[str, Column], from_name: dict[str, Column], title: Column, conflict: Column) -> Column:
+    """``type, origin, actor, title`` as folder names; where metadata and name disagree the name's values count."""
+    pick = {c: F.when(F.coalesce(conflict, F.lit(False)), from_name[c]).otherwise(known[c]) for c in ("type", "origin", "actor")} | {"title": title}
+    return F.struct(*(safe_segment(F.coalesce(v, F.lit("")), UNKNOWN[c]).alias(c) for c, v in pick.items()))

@@ -15,13 +15,13 @@ def short_hash(text: Column) -> Column:
 
 
 def natural_key(name: Column) -> Column:
-    """A key that sorts digits by their number: each run is led by its length without zeros in front (up to 99)."""
+    """A key that sorts digits by their number: each run is led by its length without zeros in front."""
     lowered = F.lower(name)
     runs = F.regexp_extract_all(lowered, F.lit(r"(\d+|\D+)"), F.lit(1))
 
     def one(run: Column) -> Column:
         digits = F.regexp_replace(run, r"\A0+(?=\d)", "")
-        return F.when(F.rlike(run, F.lit(r"\A\d")), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 2, "0"), digits)).otherwise(run)
+        return F.when(F.rlike(run, F.lit(r"\A\d")), F.concat(F.lit("0"), F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(run)
 
     return F.array_join(F.transform(runs, one), "")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -123,7 +123,7 @@ def parse_name(name: Column, compose: bool = False) -> Column:
                 trailing_code(stem).alias("code"),
                 at(0).alias("actor"),
                 at(1).alias("category"),
-                F.filter(F.slice(brackets, 3, 1_000_000), lambda b: b != "").alias("bracket_tags"),
+                F.filter(F.slice(brackets, F.lit(3), F.greatest(F.size(brackets), F.lit(0))), lambda b: b != "").alias("bracket_tags"),
                 title.alias("title"),
                 normalize_text(title, compose).alias("normalized_title"),
                 F.coalesce(F.nullif(normalize_text(t["edition"]["left"], compose), F.lit("")), normalize_text(title, compose)).alias("base_title"),
@@ -139,6 +139,40 @@ def parse_name(name: Column, compose: bool = False) -> Column:
     return let(strip_extension(name), lambda stem: let(without_code(stem), lambda rest: of_rest(stem, rest)))
 
 
+def parsed_names(files: DataFrame, name: str = "name", out: str = "p", compose: bool = False) -> DataFrame:
+    """``files`` with the struct of ``parse_name`` as the column ``out``, one projection a step.
+
+    Each step is a column that the next one names, so it is computed once and in
+    generated code; a pattern's matches are cut out only where there are any.
+    """
+    tag = "__lakeloom_"
+    c = lambda n: F.col(tag + n)
+    df = files.withColumn(tag + "stem", strip_extension(F.col(name))).withColumn(tag + "rest", without_code(c("stem")))
+    df = df.withColumns({tag + "brackets": leading_brackets(c("rest")), tag + "title": F.coalesce(F.nullif(without_brackets(c("rest")), F.lit("")), F.nullif(c("rest"), F.lit("")), c("stem"))})
+    df = df.withColumn(tag + "left", c("title"))
+    kinds = {}
+    for kind, patterns in (("series", SERIES_PATTERNS), ("edition", EDITION_PATTERNS)):
+        for k, (label, pattern) in enumerate(patterns):
+            hits = f"{kind}{k}"
+            df = df.withColumn(tag + hits, F.regexp_extract_all(c("left"), F.lit(pattern), F.lit(0)))
+            df = df.withColumn(tag + "left", F.when(F.size(c(hits)) > 0, F.regexp_replace(c("left"), pattern, " ")).otherwise(c("left")))
+            kinds.setdefault(kind, []).append((label, hits))
+        df = df.withColumn(tag + "left", collapsed(c("left")))
+
+    def labelled(label: str, hits: Column) -> Column:
+        return F.transform(hits, lambda m: F.concat(F.lit(f"{label}:"), normalize_text(m)))
+
+    found = {kind: F.array_distinct(F.concat(*(labelled(label, c(hits)) for label, hits in of))) for kind, of in kinds.items()}
+    df = df.withColumns({tag + "normalized": normalize_text(c("title"), compose), tag + "base": F.nullif(normalize_text(c("left"), compose), F.lit(""))})
+    at = lambda k: F.nullif(F.get(c("brackets"), F.lit(k)), F.lit(""))
+    struct = F.struct(
+        c("stem").alias("stem"), trailing_code(c("stem")).alias("code"), at(0).alias("actor"), at(1).alias("category"),
+        F.filter(F.slice(c("brackets"), F.lit(3), F.greatest(F.size(c("brackets")), F.lit(0))), lambda b: b != "").alias("bracket_tags"), c("title").alias("title"),
+        c("normalized").alias("normalized_title"), F.coalesce(c("base"), c("normalized")).alias("base_title"), found["series"].alias("series_tokens"), found["edition"].alias("edition_tokens"),
+    )
+    return df.select(*(F.col(f"`{x}`") for x in files.columns if x != out), struct.alias(out))
+
+
 #: Device names that no folder may have.
 RESERVED = r"(?i)\A(?:con|prn|aux|nul|com[1-9]|lpt[1-9])(?:\..*)?\z"
 

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lakeloom.functions import paths
 
@@ -28,10 +27,10 @@ def scan_diff(seen: DataFrame, stored: DataFrame, *, key: str = "path_key", forc
     )
 
 
-def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
-    """The first row of each key in the given order."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+def latest(rows: DataFrame, keys: Sequence[str], order: str, *, last: bool = False) -> DataFrame:
+    """The first row of each key by a column, or the last: an aggregate with a map-side part, so no key is gathered."""
+    pick = F.max_by if last else F.min_by
+    return rows.groupBy(*keys).agg(pick(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
 def next_snapshot(diff: DataFrame) -> DataFrame:

@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lakeloom.functions.paths import UNKNOWN, legacy_group, structure
 from lakeloom.functions.similarity import block_keys, fuzzy_confidence, is_strong_fuzzy, title_score
+from lakeloom.functions.text import normalize_text, safe_segment
+from lakeloom.functions.values import category_key, origin_key
+from lakeloom.operators.metadata import evidence
+from lakeloom.operators.skew import dealt_apart
 
 #: Stages in the order in which they claim a set of files.
 STAGES = ("code", "content", "lineage", "exact", "fuzzy", "merge")
@@ -41,12 +46,12 @@ def is_candidate(code: Column, content: Column, lineage_ids: Column, base_title:
 def by_key(files: DataFrame, key: Column, stage: str, base: int, *, least: int = 2) -> DataFrame:
     """Members of the groups of a key with ``least`` files or more.
 
-    The sizes are aggregated first, map side; the join back splits where a key is
-    hot.
+    The sizes are aggregated first, map side, and dealt apart from the join back, so
+    that a hot key is split.
     """
     keyed = files.select("path", "ord", key.alias("key")).filter("key IS NOT NULL AND key <> ''").distinct()
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("key")
-    return keyed.join(sizes, "key").select(F.concat(F.lit(f"{stage}:"), "key").alias("group_key"), F.lit(stage).alias("stage"), F.lit(base).alias("base"), "path", "ord")
+    return keyed.join(dealt_apart(sizes, "key"), "key").select(F.concat(F.lit(f"{stage}:"), "key").alias("group_key"), F.lit(stage).alias("stage"), F.lit(base).alias("base"), "path", "ord")
 
 
 def by_lineage(files: DataFrame) -> DataFrame:
@@ -69,7 +74,7 @@ def exact_groups(files: DataFrame, content: DataFrame) -> DataFrame:
     kinds = members.groupBy("group_key").agg(differ("series_tokens").alias("series"), differ("edition_tokens").alias("edition"))
     base = F.when(F.col("reasons") > 1, 98).when(F.col("reasons") > 0, 96).when(F.col("series"), 96).when(F.col("edition"), 94)
     kept = kinds.join(content, "group_key", "left").select("group_key", base.alias("base")).filter("base IS NOT NULL")
-    return members.drop("base").join(kept, "group_key").select("group_key", "stage", "base", "path", "ord")
+    return members.drop("base").join(dealt_apart(kept, "group_key"), "group_key").select("group_key", "stage", "base", "path", "ord")
 
 
 def content_reasons(members: DataFrame, content: DataFrame) -> DataFrame:
@@ -175,3 +180,61 @@ def migrations(folders: DataFrame, *, path: str = "group_path") -> DataFrame:
     w = Window.partitionBy("target").orderBy(path)
     k = F.row_number().over(w) - 1
     return folders.withColumn("target", F.when(k > 0, F.concat_ws("_", "target", k.cast("string"))).otherwise(F.col("target")))
+
+
+def single_values(members: DataFrame, value: Column, name: str) -> DataFrame:
+    """Per group the value that all its files with one agree on, normalized, in the spelling of the last of them; else null."""
+    rows = members.select("group_key", "ord", value.alias("value")).withColumn("n", normalize_text(F.coalesce("value", F.lit("")))).filter("n <> ''")
+    return rows.groupBy("group_key").agg(F.when(F.min("n") == F.max("n"), F.max_by("value", "ord")).alias(name))
+
+
+def inferred_segments(members: DataFrame, folders: DataFrame) -> DataFrame:
+    """Folder names for old group folders: what their files agree on, else what the folder's name says; the shortest title.
+
+    ``members`` has ``group_key, ord, actor, category, title``; ``folders`` has
+    ``group_key, name``.
+    """
+    title = F.trim("title")
+    shortest = members.filter(title != "").groupBy("group_key").agg(F.min_by(title, F.struct(F.length(title), "ord")).alias("_title"))
+    out = folders.withColumn("_name", legacy_group(F.col("name")))
+    for d in (single_values(members, F.col("actor"), "_actor"), single_values(members, F.col("category"), "_origin"), shortest):
+        out = out.join(d, "group_key", "left")
+    segment = lambda c, k: safe_segment(F.coalesce(c, F.lit("")), UNKNOWN[k]).alias(k)
+    return out.select("group_key", F.lit(UNKNOWN["type"]).alias("type"), segment(F.col("_origin"), "origin"), segment(F.coalesce("_actor", "_name.actor"), "actor"), segment(F.coalesce("_title", "_name.title"), "title"))
+
+
+def hydrated(files: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Files with the keys that their item's metadata gives: actors, type and origin, else those of name and path, which stay beside them.
+
+    ``files`` has ``path, code, name_actor, name_type, name_origin``; ``metadata`` has
+    ``item_id, tags, category, lineage_ids``.
+    """
+    m = metadata.select(F.col("item_id").alias("code"), "tags", F.col("category").alias("_category"), "lineage_ids")
+    rows = files.join(m, "code", "left")
+    known = evidence(F.col("tags"), F.col("_category"), F.col("lineage_ids"), file_id=F.col("code"), file_actor=F.col("name_actor"), file_type=F.col("name_type"), file_origin=F.col("name_origin"))
+    # Each part once, as a column of its own, so that what follows does not compute it again.
+    rows = rows.withColumn("_e", known).select(*files.columns, *(F.col(f"_e.{c}").alias(f"_{c}") for c in ("actors", "groups", "origins", "category")))
+    joined = lambda c, sep: F.nullif(F.array_join(c, sep), F.lit(""))
+    rows = rows.withColumns({"actor": F.coalesce(joined("_actors", ", "), "name_actor"), "type": F.coalesce("_category", "name_type"), "origin": F.coalesce(joined("_origins", " · "), "name_origin")})
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    return rows.select(
+        *files.columns, "actor", "type", "origin", category_key(blank("type")).alias("type_key"), origin_key(blank("origin")).alias("origin_key"), normalize_text(blank("actor")).alias("actor_key"),
+        F.transform("_actors", lambda v: normalize_text(v)).alias("actor_keys"), F.transform("_groups", lambda v: normalize_text(v)).alias("group_keys"), F.transform("_origins", lambda v: origin_key(v)).alias("origin_keys"),
+    )
+
+
+def index_rows(parsed: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Full index rows of scanned files: name, path and metadata as columns, and the text that is searched.
+
+    ``parsed`` has ``path, relative_path, name, size, modified_ms`` and the parsed name
+    ``p``, as a stored table: names are parsed once, when they come in.
+    """
+    at = structure(F.col("relative_path"))
+    rows = parsed.withColumns({"code": F.col("p.code"), "name_actor": F.col("p.actor"), "name_type": at["type"], "name_origin": at["origin"], "category": F.col("p.category"), "title": F.col("p.title"), "base_title": F.col("p.base_title"), "series_tokens": F.col("p.series_tokens"), "edition_tokens": F.col("p.edition_tokens")}).drop("p")
+    searched = normalize_text(F.concat_ws(" ", "relative_path", F.coalesce("name_actor", F.lit("")), F.coalesce("category", F.lit("")), "title", F.coalesce("code", F.lit(""))))
+    return hydrated(rows.withColumn("search_text", searched), metadata)
+
+
+def by_confidence(candidates: DataFrame) -> DataFrame:
+    """Candidates of a list, the surest first, and favourites by file name."""
+    return candidates.orderBy(F.desc("confidence"), F.lower("name"), "name")

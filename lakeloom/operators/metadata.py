@@ -62,13 +62,17 @@ def mapped_catalog(records: DataFrame, fetched_at: Column, *, record: str = "rec
     )
 
 
-def in_batches(ids: DataFrame, size: int = 25, *, key: str = "item_id") -> DataFrame:
+def in_batches(ids: DataFrame, size: int = 25, *, key: str = "item_id", ranges: int = 255) -> DataFrame:
     """``batch`` of each id, in order of the ids.
 
-    The order of all ids is taken from range partitions and their counts, so no task
-    sees all of them.
+    Ids are dealt into ranges between ``ranges`` bounds drawn from them by hash, so no
+    task sees all of them.  The range of an id is a function of the id alone: however
+    the plan is run, and if parts of it are run again, the numbers stay.
     """
-    ordered = ids.select(key).distinct().repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_p", F.spark_partition_id())
+    ordered = ids.select(key).distinct()
+    bounds = sorted(r[0] for r in ordered.filter(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(ranges).collect())
+    in_range = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    ordered = ordered.withColumn("_p", F.coalesce(in_range, F.lit(-1)))
     place = F.row_number().over(Window.partitionBy("_p").orderBy(key))
     counts = ordered.groupBy("_p").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return ordered.withColumn("_k", place).join(F.broadcast(counts), "_p").select(key, F.floor((F.col("before") + F.col("_k") - 1) / size).cast("bigint").alias("batch"))
@@ -235,3 +239,23 @@ def match_counts(items: DataFrame, matches: DataFrame, *, key: str = "item_id")
 def exclusion_reasons(tags: DataFrame, excluded: DataFrame, *, key: str = "item_id") -> DataFrame:
     """Items with an excluded tag; the first in tag order names the reason."""
     return tags.join(excluded.select("tag_key").distinct(), "tag_key").groupBy(key).agg(F.min_by("tag_key", "position").alias("reason"))
+
+
+#: Namespaces that have columns of their own on a screen.
+PRIMARY_NAMESPACES = ("artist", "group", "parody", "language")
+
+
+def other_tag_groups(tags: DataFrame, *, key: str = "item_id") -> DataFrame:
+    """The tag groups of each item but for the namespaces shown elsewhere."""
+    return tag_groups(tags, key=key).filter(~F.col("namespace").isin(*PRIMARY_NAMESPACES))
+
+
+def file_fallback(parsed: Column, type_: Column, origin: Column) -> Column:
+    """What name and path alone say of a file."""
+    return F.struct(parsed["code"].alias("item_id"), parsed["actor"].alias("actor"), type_.alias("type"), origin.alias("origin"))
+
+
+def batch_stats(outcomes: DataFrame) -> DataFrame:
+    """One row of a metadata batch: how many were requested, updated, and failed or missing."""
+    at = lambda *s: F.count_if(F.col("outcome").isin(*s))
+    return outcomes.agg(F.count("*").alias("requested"), at("mapped").alias("updated"), at("error", "missing").alias("failed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakeloom.functions.text import comparable_length
+from lakeloom.operators.skew import dealt_apart
 
 #: Words for editions that hold everything.
 COMPLETE = r"(?i)(?<![A-Za-z0-9_])(?:complete|final|compilation|compiled|collection|all in one)(?![A-Za-z0-9_])|완전판|합본|총집편|총集編|総集編|合集|まとめ"
@@ -50,7 +51,7 @@ def dominant(members: DataFrame) -> DataFrame:
     """
     top = F.struct("volume", "pages", "path")
     one = members.groupBy("group_key").agg(F.max(top).alias("one"))
-    two = members.join(one, "group_key").filter(top < F.col("one")).groupBy("group_key").agg(F.max(top).alias("two"))
+    two = members.join(dealt_apart(one, "group_key"), "group_key").filter(top < F.col("one")).groupBy("group_key").agg(F.max(top).alias("two"))
     both = one.join(two, "group_key")
     return both.filter(has_advantage(F.col("one.pages"), F.col("one.volume"), F.col("two.pages"), F.col("two.volume"))).select("group_key", F.col("one.path").alias("path"))
 
@@ -97,7 +98,7 @@ def duplicate_recommendation(members: DataFrame, ranks: DataFrame) -> DataFrame:
     keys = F.filter(F.array(*(F.concat(F.lit(f"{n}:"), F.nullif(c, F.lit(""))) for n, c in (("code", "code"), ("content", "fingerprint"), ("series", "series_key")))), lambda k: k.isNotNull())
     rows = members.select("group_key", "path", F.explode(keys).alias("bucket")).join(ranks, ["group_key", "path"])
     best = rows.groupBy("group_key", "bucket").agg(F.min("rank").alias("best"), F.count("*").alias("n")).filter("n > 1")
-    judged = rows.join(best, ["group_key", "bucket"])
+    judged = rows.join(dealt_apart(best, "group_key", "bucket"), ["group_key", "bucket"])
     return judged.groupBy("group_key", "path").agg(F.when(F.max((F.col("rank") == F.col("best")).cast("int")) == 1, "keep").otherwise("select").alias("action"))
 
 
@@ -140,7 +141,7 @@ def content_badges(status: Column, pages: Column, reasons: Column) -> Column:
 def smaller_or_older(members: DataFrame) -> DataFrame:
     """Files of a group smaller than its largest, and files older than its newest: from two aggregates joined back."""
     top = members.groupBy("group_key").agg(F.max("size").alias("_size"), F.max("modified_ms").alias("_time"))
-    return members.join(top, "group_key").withColumn("is_smaller", F.col("size") < F.col("_size")).withColumn("is_older", F.col("modified_ms") < F.col("_time")).drop("_size", "_time")
+    return members.join(dealt_apart(top, "group_key"), "group_key").withColumn("is_smaller", F.col("size") < F.col("_size")).withColumn("is_older", F.col("modified_ms") < F.col("_time")).drop("_size", "_time")
 
 
 def next_selected(rows: DataFrame, removed: DataFrame, *, part: str = "group_key", order: str = "ord") -> DataFrame:

@@ -42,9 +42,14 @@ def backfill_counters(items: DataFrame, *, job: str = "job_id") -> DataFrame:
 
 def database_summary(items: DataFrame, official: DataFrame, catalog: DataFrame, *, key: str = "item_id") -> DataFrame:
     """One row: items, with official or catalogue metadata, without, and the last time one was found."""
-    total = items.agg(F.count("*").alias("items"), F.max("discovered_at").alias("last_discovered"))
-    a, b = official.agg(F.count_distinct(key).alias("official")), catalog.agg(F.count_distinct(key).alias("catalog"))
-    return total.crossJoin(a).crossJoin(b).withColumn("missing", F.greatest(F.col("items") - F.col("official") - F.col("catalog"), F.lit(0)))  # three rows of totals
+    none = F.lit(None).cast("string")
+    at = lambda d: d.select(F.col("discovered_at").cast("string").alias("at"))
+    rows = at(items).withColumn("kind", F.lit("items"))
+    for d, kind in ((official, "official"), (catalog, "catalog")):
+        rows = rows.unionByName(d.select(key).filter(F.col(key).isNotNull()).distinct().select(none.alias("at"), F.lit(kind).alias("kind")))
+    n = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
+    last = F.max("at").cast(items.schema["discovered_at"].dataType).alias("last_discovered")
+    return rows.agg(n("items"), last, n("official"), n("catalog")).withColumn("missing", F.greatest(F.col("items") - F.col("official") - F.col("catalog"), F.lit(0)))
 
 
 def distinct_types(items: DataFrame, *, type_: str = "type") -> DataFrame:
@@ -99,6 +104,11 @@ def percent(processed: Column, total: Column, status: Column) -> Column:
     return F.when(total > 0, F.round(processed * 100.0 / total)).when(status == "completed", 100.0).otherwise(0.0).cast("int")
 
 
-def joined_codes(rows: DataFrame, code: str = "code") -> DataFrame:
-    """Distinct trimmed codes, a line each, as one text: for a selection that a user copies."""
-    return rows.select(F.trim(code).alias("c")).filter("c <> ''").distinct().agg(F.array_join(F.array_sort(F.collect_list("c")), "\n").alias("codes"))
+def code_lines(rows: DataFrame, code: str = "code") -> DataFrame:
+    """Distinct trimmed codes in order, a row each: written as text they are the lines of a list."""
+    return rows.select(F.trim(code).alias("line")).filter("line <> ''").distinct().orderBy("line")
+
+
+def totals(files: DataFrame) -> DataFrame:
+    """One row: files, their bytes, and how many are in groups."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), n_where(F.col("is_grouped")).alias("grouped"))

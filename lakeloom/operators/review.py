@@ -56,9 +56,10 @@ def by_number(rows: DataFrame, key: str, limit: int | None = None, *, descending
     return out if limit is None else out.limit(limit)
 
 
-def ordered_preferences(preferences: DataFrame) -> DataFrame:
-    kind = F.when(F.col("kind") == "include", 0).when(F.col("kind") == "exclude", 1).otherwise(2)
-    return preferences.orderBy(kind, F.lower("namespace"), F.lower("value"))
+def ordered_preferences(preferences: DataFrame, *, by_name: bool = False) -> DataFrame:
+    """Preferred tags before the others, then namespace and value whatever their case; ``by_name`` orders the kinds by their names instead, as a list on a screen does."""
+    kind = F.col("kind") if by_name else F.when(F.col("kind") == "preferred", 0).otherwise(1)
+    return preferences.orderBy(kind, F.lower("namespace"), F.lower("value"), "namespace", "value")
 
 
 def preferred_first(rows: DataFrame, *, ord: str = "ord") -> DataFrame:

@@ -38,7 +38,7 @@ def filled(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def replaced_children(old: DataFrame, new: DataFrame, parents: DataFrame, parent_key: str, keys: Sequence[str], order: str) -> DataFrame:
     """The children of the given parents are replaced; of equal keys among the new ones the last stays."""
-    return old.join(parents.select(parent_key), parent_key, "left_anti").unionByName(latest(new, keys, [F.desc(order)]))
+    return old.join(parents.select(parent_key), parent_key, "left_anti").unionByName(latest(new, keys, order, last=True))
 
 
 def added_children(old: DataFrame, new: DataFrame, parent_key: str) -> DataFrame:
@@ -58,7 +58,7 @@ def cascaded_update(children: DataFrame, renamed: DataFrame, key: str) -> DataFr
 
 def inserted_new(old: DataFrame, arriving: DataFrame, key: str, order: str) -> DataFrame:
     """Of arriving rows the first of each key, if the key is new."""
-    return latest(arriving, [key], [F.asc(order)]).join(old.select(key), key, "left_anti")
+    return latest(arriving, [key], order).join(old.select(key), key, "left_anti")
 
 
 def with_defaults(rows: DataFrame, defaults: dict[str, Column]) -> DataFrame:
@@ -87,13 +87,17 @@ def consolidated(sources: Sequence[DataFrame], key: str, sticky: Sequence[str] =
     )
 
 
+#: Fixed value: how the receiver says that a code is not valid.
+INVALID_CODE = "유효하지 않은 코드"
+
+
 def dispatched(rows: DataFrame, failures: DataFrame, key: str = "item_id") -> DataFrame:
-    """The outcome of a batch: sent without a failure, ``invalid`` for a rejected link, else ``failed``; each counts an attempt.
+    """The outcome of a batch: sent without a failure, ``invalid`` for a code that the receiver rejects, else ``failed``; each counts an attempt.
 
     ``failures`` has the key, ``stage``, ``status_code``, ``message``.
     """
     f = failures.select(key, "stage", "status_code", "message")
-    bad = (F.col("stage") == "valid_url") & (F.col("status_code") == 400) & F.contains(F.lower("message"), F.lit("invalid"))
+    bad = (F.col("stage") == "valid_url") & (F.col("status_code") == 400) & F.contains("message", F.lit(INVALID_CODE))
     out = F.when(F.col("stage").isNull() & F.col("message").isNull(), "sent").when(F.coalesce(bad, F.lit(False)), "invalid").otherwise("failed")
     return rows.join(f, key, "left").select(*(c for c in rows.columns if c not in ("status", "attempts", "last_error")), out.alias("status"), (F.col("attempts") + 1).alias("attempts"), F.col("message").alias("last_error"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,7 +50,8 @@ parsed AS (
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return files(spark, sf_dir).withColumn("p", text.parse_name(F.col("name")))
+    """Files with their names parsed, once: the rows are kept for the other stages and queries that read them."""
+    return text.parsed_names(files(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
 
 
 @query("prj_parse_name", f"WITH {PARSED_SQL} SELECT ord, code, actor, category, title, normalized_title, base_title, series, edition FROM parsed")
@@ -413,9 +415,9 @@ def snk_move_plan(spark, sf_dir):
     return moves.move_plan(s, spark.createDataFrame([], "path string"))
 
 
-@query("snk_codes_text", f"WITH {PARSED_SQL} SELECT string_agg(code, chr(10) ORDER BY code) AS codes FROM (SELECT DISTINCT code FROM parsed)")
+@query("snk_codes_text", f"WITH {PARSED_SQL} SELECT DISTINCT code AS line FROM parsed WHERE code <> '' ORDER BY line")
 def snk_codes_text(spark, sf_dir):
-    return reports.joined_codes(parsed(spark, sf_dir).select(F.col("p.code").alias("code")))
+    return reports.code_lines(parsed(spark, sf_dir).select(F.col("p.code").alias("code")))
 
 
 # --- recommendations ---------------------------------------------------------

@@ -54,3 +54,10 @@ def allowed(plan: DataFrame, root: str) -> DataFrame:
 def remaining(files: DataFrame, results: DataFrame) -> DataFrame:
     """Files whose move did not succeed."""
     return files.join(results.filter("success").select(F.col("source").alias("path")), "path", "left_anti")
+
+
+def migration_plan(folders: DataFrame, taken: DataFrame) -> DataFrame:
+    """What moving old group folders does (``path, target``): ``source, target, action``; targets that are taken are numbered."""
+    rows = folders.select(F.col("path").alias("source"), "target", F.col("target").alias("_wanted"))
+    named = unique_targets(rows, taken)
+    return named.select("source", "target", F.when(F.col("target") == F.col("_wanted"), "move").otherwise("rename").alias("action"))

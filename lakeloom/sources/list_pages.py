@@ -24,7 +24,7 @@ def rows_of(html: Column) -> Column:
     """The list's rows but the first two, each as ``struct<code, link, name, type>``; parts that a row lacks are null."""
     rows = F.regexp_extract_all(F.regexp_extract(html, _TABLE, 1), F.lit(_ROW), F.lit(1))
     part = lambda r, p, k: F.nullif(unescaped(F.trim(F.regexp_extract(r, p, k))), F.lit(""))
-    return F.transform(F.slice(rows, 3, 1_000_000), lambda r: F.struct(part(r, _LINK, 2).alias("code"), part(r, _LINK, 1).alias("link"), part(r, _NAME, 1).alias("name"), part(r, _TYPE, 1).alias("type")))
+    return F.transform(F.slice(rows, F.lit(3), F.greatest(F.size(rows), F.lit(0))), lambda r: F.struct(part(r, _LINK, 2).alias("code"), part(r, _LINK, 1).alias("link"), part(r, _NAME, 1).alias("name"), part(r, _TYPE, 1).alias("type")))
 
 
 def parsed_pages(pages: DataFrame, *, html: str = "html", key: str = "page_id") -> DataFrame:

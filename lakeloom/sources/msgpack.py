@@ -7,7 +7,7 @@ import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.operators.metadata import CATALOG_SCHEMA
@@ -83,16 +83,28 @@ def items_of(data: bytes) -> Iterator[tuple[object, int, int]]:
 
 
 def read_catalog(files: DataFrame) -> DataFrame:
-    """``pack, offset, length, record`` of every record of the packs (``path, content``); a broken pack fails the job."""
+    """``pack, offset, length, record`` of every record of the packs (``path, content``).
+
+    A broken pack is one row with null ``record`` and what is wrong in ``error``, and none
+    of its records: the pack is taken whole or not at all.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, data in zip(frame["path"], frame["content"]):
-                rows = [(path, offset, length, json.dumps(item)) for item, offset, length in items_of(bytes(data)) if isinstance(item, dict)]
-                yield pd.DataFrame(rows, columns=["pack", "offset", "length", "json"])
+                try:
+                    rows = [(path, offset, length, json.dumps(item), None) for item, offset, length in items_of(bytes(data)) if isinstance(item, dict)]
+                except (ValueError, struct.error) as e:
+                    rows = [(path, None, None, None, str(e))]
+                yield pd.DataFrame(rows, columns=["pack", "offset", "length", "json", "error"])
+
+    raw = files.select("path", "content").mapInPandas(run, "pack string, offset bigint, length bigint, json string, error string")
+    return raw.select("pack", "offset", "length", F.from_json("json", CATALOG_SCHEMA).alias("record"), "error")
+
 
-    raw = files.select("path", "content").mapInPandas(run, "pack string, offset bigint, length bigint, json string")
-    return raw.select("pack", "offset", "length", F.from_json("json", CATALOG_SCHEMA).alias("record"))
+def pack_number(path: Column) -> Column:
+    """The first number in a pack's file name."""
+    return F.regexp_extract(F.regexp_extract(path, r"([^/]*)\z", 1), r"(\d+)", 1).try_cast("bigint")
 
 
 def newest_marker(markers: DataFrame) -> DataFrame:
@@ -103,17 +115,20 @@ def newest_marker(markers: DataFrame) -> DataFrame:
 
 def snapshot_fingerprint(marker: str, packs: DataFrame) -> DataFrame:
     """SHA-256 over the marker and each pack's name, size and time in order of the packs' numbers."""
-    number = F.regexp_extract("name", r"(\d+)", 1).try_cast("bigint")
+    number = pack_number(F.col("name"))
     listed = F.transform(F.array_sort(F.collect_list(F.struct(number.alias("k"), "name", "size", "modified_ms"))), lambda p: F.concat_ws(":", p["name"], p["size"].cast("string"), p["modified_ms"].cast("bigint").cast("string")))
     return packs.agg(F.sha2(F.concat_ws("|", F.lit(marker), F.array_join(listed, "|")), 256).alias("fingerprint"))
 
 
 def built_index(records: DataFrame, marker_count: int) -> DataFrame:
-    """``item_id, pack, offset, length`` with the last of equal ids; refused unless all records that the marker counts are there."""
+    """``item_id, pack, offset, length`` with the last of equal ids, packs in order of their numbers; refused unless all records that the marker counts are there."""
+    broken = records.filter("error IS NOT NULL").select("pack", "error").first()
+    if broken:
+        raise ValueError(f"{broken['pack']}: {broken['error']}")
     decoded = records.count()
     if decoded != marker_count:
         raise ValueError(f"{decoded} records; the marker says {marker_count}")
-    return records.filter("record.id IS NOT NULL").groupBy(F.col("record.id").alias("item_id")).agg(F.max_by(F.struct("pack", "offset", "length"), F.struct("pack", "offset")).alias("at")).select("item_id", "at.*")
+    return records.filter("record.id IS NOT NULL").groupBy(F.col("record.id").alias("item_id")).agg(F.max_by(F.struct("pack", "offset", "length"), F.struct(pack_number(F.col("pack")), "pack", "offset")).alias("at")).select("item_id", "at.*")
 
 
 def looked_up(ids: DataFrame, records: DataFrame, *, key: str = "item_id") -> DataFrame:

@@ -129,9 +129,9 @@ def test_run_state(spark):
 
 def test_dispatch_exclusion_and_settlement(spark):
     rows = spark.createDataFrame([("1", "pending", 0, None), ("2", "pending", 1, None), ("3", "pending", 2, "old")], "item_id string, status string, attempts int, last_error string")
-    failures = spark.createDataFrame([("2", "valid_url", 400, "Invalid link"), ("3", "send", 503, "busy")], "item_id string, stage string, status_code int, message string")
+    failures = spark.createDataFrame([("2", "valid_url", 400, "2: 유효하지 않은 코드"), ("3", "send", 503, "busy")], "item_id string, stage string, status_code int, message string")
     out = {r.item_id: (r.status, r.attempts, r.last_error) for r in store.dispatched(rows, failures).collect()}
-    assert out == {"1": ("sent", 1, None), "2": ("invalid", 2, "Invalid link"), "3": ("failed", 3, "busy")}
+    assert out == {"1": ("sent", 1, None), "2": ("invalid", 2, "2: 유효하지 않은 코드"), "3": ("failed", 3, "busy")}
     gone = {r.item_id: (r.status, r.attempts) for r in store.excluded(rows, spark.createDataFrame([("2", "tag")], "item_id string, reason string")).collect()}
     assert gone == {"1": ("pending", 0), "2": ("excluded", 1), "3": ("pending", 2)}
     outcomes = spark.createDataFrame([("1", "updated"), ("2", "updated")], "item_id string, outcome string")
