@@ -70,13 +70,14 @@ def dealt_apart(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def by_slices(batches: Iterator[pa.RecordBatch], max_bytes: int = 8 << 20, max_rows: int = 2048) -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that one slice has few rows and, long texts aside, few bytes."""
+    """Cut Arrow batches so that one slice has few rows and, long texts aside, few bytes; at the end what Arrow holds in reserve goes back."""
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = max(1, min(max_rows, batch.num_rows * max_bytes // max(1, batch.nbytes)))
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[str]:
