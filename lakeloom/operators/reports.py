@@ -42,13 +42,12 @@ def backfill_counters(items: DataFrame, *, job: str = "job_id") -> DataFrame:
 
 def database_summary(items: DataFrame, official: DataFrame, catalog: DataFrame, *, key: str = "item_id") -> DataFrame:
     """One row: items, with official or catalogue metadata, without, and the last time one was found."""
-    none = F.lit(None).cast("string")
-    at = lambda d: d.select(F.col("discovered_at").cast("string").alias("at"))
-    rows = at(items).withColumn("kind", F.lit("items"))
+    none = F.lit(None).cast(items.schema["discovered_at"].dataType)
+    rows = items.select(F.col("discovered_at").alias("at"), F.lit("items").alias("kind"))
     for d, kind in ((official, "official"), (catalog, "catalog")):
         rows = rows.unionByName(d.select(key).filter(F.col(key).isNotNull()).distinct().select(none.alias("at"), F.lit(kind).alias("kind")))
     n = lambda kind: F.count_if(F.col("kind") == kind).alias(kind)
-    last = F.max("at").cast(items.schema["discovered_at"].dataType).alias("last_discovered")
+    last = F.max("at").alias("last_discovered")
     return rows.agg(n("items"), last, n("official"), n("catalog")).withColumn("missing", F.greatest(F.col("items") - F.col("official") - F.col("catalog"), F.lit(0)))
 
 

@@ -8,7 +8,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import store
+from lakeloom.functions import signatures, text
+from lakeloom.operators import metadata, review, store
+from lakeloom.operators.metadata import CATALOG_SCHEMA
 from lakeloom.sources import list_pages, msgpack, zip_entries
 from lakeloom.streaming import ingest
 
@@ -174,3 +176,48 @@ def test_retries_only_what_may_pass_later():
     with pytest.raises(Failure):
         ingest.retried(action(404, 3), statuses=(404, 503))
     assert len(calls) == 1
+
+
+def test_packs_count_in_order_of_their_numbers(spark):
+    """Of equal ids the one in pack 10 comes behind the one in pack 2; a broken pack is a row, and refuses the index."""
+    schema = f"pack string, offset bigint, length bigint, record struct<{','.join(':'.join(f.split()) for f in CATALOG_SCHEMA.split(', '))}>, error string"
+    blank = [None] * (len(CATALOG_SCHEMA.split(", ")) - 1)
+    rows = [(f"/c/galleries{n}_pack.json", 1, 9, ("7", *blank), None) for n in (2, 10, 9)]
+    at = msgpack.built_index(spark.createDataFrame(rows, schema), 3).first()
+    assert at.pack == "/c/galleries10_pack.json"
+    broken = msgpack.read_catalog(spark.createDataFrame([("/c/1_pack.json", bytearray(b"\x91")), ("/c/2_pack.json", bytearray(b"\x91\x81\xa2id\xa15"))], "path string, content binary"))
+    found = {r.pack: (r.error is not None, r.record and r.record.id) for r in broken.collect()}
+    assert found == {"/c/1_pack.json": (True, None), "/c/2_pack.json": (False, "5")}
+    with pytest.raises(ValueError):
+        msgpack.built_index(broken, 1)
+
+
+def test_batch_numbers_do_not_hang_on_the_plan(spark):
+    """Many partitions, and no reuse of exchanges: every batch but the last is full, and batches are in order of the ids."""
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    try:
+        ids = spark.range(30_000).selectExpr("cast(id * 7919 % 1000003 AS string) AS item_id").repartition(16)
+        rows = metadata.in_batches(ids, 25).collect()
+    finally:
+        spark.conf.unset("spark.sql.exchange.reuse")
+    expected = {i: k // 25 for k, i in enumerate(sorted({r["item_id"] for r in rows}))}
+    assert len(rows) == 30_000 and {r["item_id"]: r["batch"] for r in rows} == expected
+
+
+def test_preferences_in_order(spark):
+    rows = [("excluded", "artist", "A"), ("preferred", "Female", "b"), ("preferred", "artist", "Z"), ("preferred", "Artist", "c")]
+    df = spark.createDataFrame(rows, "kind string, namespace string, value string")
+    assert [r["value"] for r in review.ordered_preferences(df).collect()] == ["c", "Z", "b", "A"]
+    assert [r["value"] for r in review.ordered_preferences(df, by_name=True).collect()] == ["A", "c", "Z", "b"]
+
+
+def test_long_digit_runs_sort_by_their_number(spark):
+    names = ["a" + "9" * 120, "a1" + "0" * 120, "a2", "a10"]
+    df = spark.createDataFrame([(n,) for n in names], "name string")
+    assert [r["name"] for r in df.orderBy(signatures.natural_key(F.col("name"))).collect()] == ["a2", "a10", names[0], names[1]]
+
+
+def test_names_in_steps_are_names_in_one(spark):
+    odd = ["[A][B] title ch. 3 vol 2 v2 (12345).zip", "[A] x", "(12345).zip", "", "제 3권 extra #5 no. 7 uncensored decensored.tar.gz", "[][c][d][] ch.1 ch.2 (99999) .zip", "[unclosed title digital color (1234)", None]
+    df = spark.createDataFrame([(n,) for n in odd], "name string")
+    assert [r.p for r in text.parsed_names(df).collect()] == [r.p for r in df.select(text.parse_name(F.col("name")).alias("p")).collect()]
