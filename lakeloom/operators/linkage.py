@@ -15,7 +15,7 @@ from lakeloom.functions import paths
 from lakeloom.functions.similarity import SHORTEST, is_strong_merge, merge_confidence, strong_pairs
 from lakeloom.operators.metadata import compatibility
 
-_SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
+SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
 
 
 #: Which sets of a file and of a group meet for which evidence, and its confidence.
@@ -27,7 +27,7 @@ _EVIDENCE = (
 
 def _values(rows: DataFrame, key: str) -> DataFrame:
     """Distinct ``key, set, value`` of the arrays named as the sets."""
-    each = F.concat(*(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.struct(F.lit(c).alias("set"), v.alias("value"))) for c in _SETS))
+    each = F.concat(*(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda v: F.struct(F.lit(c).alias("set"), v.alias("value"))) for c in SETS))
     return rows.select(key, F.explode(each).alias("v")).select(key, "v.*").filter("value IS NOT NULL").distinct()
 
 

@@ -113,7 +113,11 @@ def prj_category_alias(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", values.category_key(raw).alias("category"), values.is_meaningful(raw).alias("meaningful"))
 
 
-@query("sig_stable_id", None)
+@query(
+    "sig_stable_id",
+    """WITH h AS (SELECT c_custkey, list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(c_name, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda h, u: (h * 31 + u) % 4294967296) AS h FROM customer)
+       SELECT c_custkey, 'g-' || lower(to_base(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END, 36)) AS id FROM h""",
+)
 def sig_stable_id(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", signatures.stable_id(F.col("c_name")).alias("id"))
 
@@ -246,7 +250,16 @@ def grp_exact(spark, sf_dir):
     return grouping.exact_groups(group_rows(spark, sf_dir), none).groupBy("group_key", "base").agg(F.count("*").alias("n"))
 
 
-@query("grp_claimed", None)
+@query(
+    "grp_claimed",
+    f"""{_EXACT_SQL},
+        m AS (SELECT 'code:' || code AS group_key, 'code' AS stage, 1 AS place, 100 AS base, path, ord FROM parsed WHERE code IS NOT NULL
+              UNION ALL SELECT 'content:' || base_title || ':' || p_size, 'content', 2, 100, path, ord FROM parsed WHERE p_size > 0
+              UNION ALL SELECT 'lineage:' || code, 'lineage', 3, 99, path, ord FROM parsed WHERE code IS NOT NULL
+              UNION ALL SELECT 'exact:' || group_key, 'exact', 4, CASE WHEN series_differ THEN 96 ELSE 94 END, path, ord FROM parsed JOIN g ON type || '||' || actor || '|' || base_title = group_key WHERE series_differ OR edition_differ),
+        s AS (SELECT group_key, stage, place, max(base) AS confidence, count(*) AS n, min(ord) AS ord, string_agg(path, chr(10) ORDER BY path) AS members FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 2)
+        SELECT group_key, stage, CAST(confidence AS INTEGER) AS confidence, n FROM (SELECT *, row_number() OVER (PARTITION BY members ORDER BY place, ord, group_key) AS k FROM s) WHERE k = 1""",
+)
 def grp_claimed(spark, sf_dir):
     rows = group_rows(spark, sf_dir)
     none = spark.createDataFrame([], "group_key string, reasons int")
@@ -379,12 +392,17 @@ def jn_merge_candidates(spark, sf_dir):
 
 @query(
     "agg_group_summaries",
-    "SELECT n.n_regionkey AS group_path, count(*) AS file_count, count(DISTINCT c_mktsegment) AS segments, count(DISTINCT n_name) AS nations FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey GROUP BY 1",
+    """WITH m AS (SELECT n_regionkey AS group_path, c_custkey, c_name, c_mktsegment, n_name FROM customer JOIN nation ON c_nationkey = n_nationkey)
+       SELECT group_path, count(*) AS file_count, array_to_string(list_slice(list(c_name ORDER BY c_custkey), 1, 3), ',') AS first_names, count(DISTINCT c_mktsegment) AS segments, count(DISTINCT n_name) AS nations FROM m GROUP BY 1""",
 )
 def agg_group_summaries(spark, sf_dir):
-    # Sets are of values that a folder has few of; they are distinct before they are gathered.
     rows = table(spark, sf_dir, "customer").join(F.broadcast(table(spark, sf_dir, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
-    return rows.groupBy(F.col("n_regionkey").alias("group_path")).agg(F.count("*").alias("file_count"), F.size(F.collect_set("c_mktsegment")).cast("bigint").alias("segments"), F.size(F.collect_set("n_name")).cast("bigint").alias("nations"))
+    nothing = F.array().cast("array<string>")
+    sets = {c: nothing for c in linkage.SETS} | {"categories": F.array("c_mktsegment"), "origins": F.array("n_name")}
+    members = rows.select(F.col("n_regionkey").alias("group_path"), F.col("c_custkey").alias("ord"), F.col("c_name").alias("name"), *(v.alias(c) for c, v in sets.items()))
+    of = lambda c: F.count(F.when(F.col("set") == c, 1))
+    numbers = linkage.group_values(members).groupBy("group_path").agg(of("categories").alias("segments"), of("origins").alias("nations"))
+    return linkage.group_summaries(members).join(numbers, "group_path").select("group_path", "file_count", F.array_join("first_names", ",").alias("first_names"), "segments", "nations")
 
 
 @query(
