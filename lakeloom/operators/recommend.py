@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import functools
+import itertools
+import operator
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from lakeloom.functions.text import comparable_length
@@ -60,46 +64,70 @@ def _before(a, b) -> int:
     """Which of two files is preferred: -1 for the first.  The rule is not transitive, so it cannot be an ordering key."""
 
     def ahead(x, y) -> bool:
-        pages = x.pages > y.pages and (x.pages >= y.pages + PAGE_DELTA or x.pages >= PAGE_RATIO * y.pages)
-        return pages or (x.volume > y.volume and (x.volume >= SIZE_RATIO * y.volume or x.volume - y.volume >= SIZE_DELTA))
+        pages = x["pages"] > y["pages"] and (x["pages"] >= y["pages"] + PAGE_DELTA or x["pages"] >= PAGE_RATIO * y["pages"])
+        return pages or (x["volume"] > y["volume"] and (x["volume"] >= SIZE_RATIO * y["volume"] or x["volume"] - y["volume"] >= SIZE_DELTA))
 
     if ahead(b, a):
         return 1
     if ahead(a, b):
         return -1
     for f in ("edition_score", "modified_ms", "volume", "metadata_score"):
-        x, y = getattr(a, f), getattr(b, f)
-        if x != y:
-            return -1 if x > y else 1
-    return (a.name < b.name) - (a.name > b.name)
+        if a[f] != b[f]:
+            return -1 if a[f] > b[f] else 1
+    return (a["name"] < b["name"]) - (a["name"] > b["name"])
 
 
-def preferred_order(members: DataFrame) -> DataFrame:
-    """Files of each group from the most preferred on (``rank`` from 1).
+#: What two files are compared by, and what stands in for nulls.
+_COMPARED = {"pages": 0, "volume": 0, "edition_score": 0, "modified_ms": 0, "metadata_score": 0, "name": ""}
 
-    The preference between two files is no order, so each group is sorted by
-    comparing, in an Arrow batch of its own; these are review groups of a few files.
-    ``members`` has ``group_key, path, name, pages, volume, edition_score, modified_ms,
-    metadata_score``.
+
+def preferred(members: DataFrame, *keys: str, block: int = 4096) -> DataFrame:
+    """The preferred file of each bucket that ``keys`` tell: ``keys, path``.
+
+    The preference between two files is no order, so a bucket is sorted by comparing,
+    in Python; a larger one than ``block`` is dealt by hash into as many blocks
+    as the root of its size, and the first of each block are sorted again.  A file
+    that is preferred to every other one of its bucket is found in both ways; where
+    preferences run in circles, the circle's first by path or by block is taken.
+    Nulls count as 0 or as the empty name; rows that are repeated count once; rows with
+    a null key are left out.
+
+    ``members`` has ``path, name, pages, volume, edition_score, modified_ms, metadata_score``.
     """
+    rows = members.select(*keys, "path", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in _COMPARED.items())).distinct()
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    blocks = F.when(F.col("_n") <= block, 1).otherwise(F.ceil(F.sqrt("_n"))).cast("bigint")
+    rows = rows.join(dealt_apart(sizes, *keys), list(keys)).select(*rows.columns, F.pmod(F.xxhash64("path"), blocks).alias("_block"))
+
+    def firsts(part: DataFrame, by: tuple[str, ...]) -> DataFrame:
+        """The first row of each run of equal ``by``; a run is a block, so it is bounded."""
+
+        def of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            each = (r for b in batches for r in b.to_pylist())
+            best = (sorted(run, key=functools.cmp_to_key(_before))[0] for _, run in itertools.groupby(each, key=operator.itemgetter(*by)))
+            while chunk := list(itertools.islice(best, 4096)):
+                yield pa.RecordBatch.from_pylist(chunk, schema=layout)
 
-    def sort(group: pd.DataFrame) -> pd.DataFrame:
-        rows = sorted(group.sort_values("path").itertuples(index=False), key=functools.cmp_to_key(_before))
-        return pd.DataFrame({"group_key": [r.group_key for r in rows], "path": [r.path for r in rows], "rank": range(1, len(rows) + 1)})
+        layout = to_arrow_schema(part.schema)
+        return part.repartition(*by).sortWithinPartitions(*by, "path").mapInArrow(of_runs, part.schema)
 
-    return members.groupBy("group_key").applyInPandas(sort, "group_key string, path string, rank int")
+    of_block = firsts(rows, (*keys, "_block"))
+    return firsts(of_block, keys).select(*keys, "path")
 
 
-def duplicate_recommendation(members: DataFrame, ranks: DataFrame) -> DataFrame:
+def duplicate_recommendation(members: DataFrame) -> DataFrame:
     """Within each group files fall into buckets by code, content and series; in each bucket of two or more the preferred file is kept and the others are selected.  To keep wins over to select.
 
-    ``members`` has ``group_key, path, code, fingerprint, series_key``.
+    ``members`` has ``group_key, path, code, fingerprint, series_key`` and what
+    ``preferred`` compares.
     """
     keys = F.filter(F.array(*(F.concat(F.lit(f"{n}:"), F.nullif(c, F.lit(""))) for n, c in (("code", "code"), ("content", "fingerprint"), ("series", "series_key")))), lambda k: k.isNotNull())
-    rows = members.select("group_key", "path", F.explode(keys).alias("bucket")).join(ranks, ["group_key", "path"])
-    best = rows.groupBy("group_key", "bucket").agg(F.min("rank").alias("best"), F.count("*").alias("n")).filter("n > 1")
-    judged = rows.join(dealt_apart(best, "group_key", "bucket"), ["group_key", "bucket"])
-    return judged.groupBy("group_key", "path").agg(F.when(F.max((F.col("rank") == F.col("best")).cast("int")) == 1, "keep").otherwise("select").alias("action"))
+    rows = members.select("group_key", "path", *_COMPARED, F.explode(keys).alias("bucket"))
+    shared = rows.groupBy("group_key", "bucket").agg((F.min("path") < F.max("path")).alias("_n")).filter("_n").drop("_n")
+    rows = rows.join(dealt_apart(shared, "group_key", "bucket"), ["group_key", "bucket"])
+    best = preferred(rows, "group_key", "bucket").withColumnRenamed("path", "_best")
+    judged = rows.select("group_key", "bucket", "path").join(dealt_apart(best, "group_key", "bucket"), ["group_key", "bucket"])
+    return judged.groupBy("group_key", "path").agg(F.when(F.max((F.col("path") == F.col("_best")).cast("int")) == 1, "keep").otherwise("select").alias("action"))
 
 
 def group_recommendation(queue: Column, n_dominant: Column, n_selected: Column, series_differ: Column, edition_differ: Column) -> Column:

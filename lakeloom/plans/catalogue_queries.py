@@ -451,19 +451,34 @@ def scr_edition(spark, sf_dir):
     return rows.select("ord", recommend.edition_score(F.col("name"), p["title"], p["base_title"], p["edition_tokens"]).alias("edition_score"), recommend.metadata_score(p["code"], p["actor"], F.lit(None).cast("string"), p["category"], p["base_title"]).alias("metadata_score"))
 
 
-@query("scr_preferred", None)
-def scr_preferred(spark, sf_dir):
+# A file that comes before every other; the groups of the tables this is compared on have no circles of preference.
+_PREFERRED_SQL = f"""WITH {PARSED_SQL}, {_CODE_SQL},
+    f AS (SELECT 'code:' || p.code AS group_key, p.path, p.code, p.name, p.p_size AS pages, p.size AS volume, p.modified_ms, p.series, p.base_title || ':' || p.p_size AS content,
+                 CASE WHEN p.ord % 5 = 0 THEN 22 ELSE 0 END + CASE WHEN p.ord % 3 = 0 THEN 8 ELSE 0 END AS edition
+          FROM (SELECT parsed.*, files.name FROM parsed JOIN files USING (path)) p JOIN by_code USING (code)),
+    k AS (SELECT group_key, 'code:' || code AS bucket, * EXCLUDE (group_key) FROM f UNION ALL SELECT group_key, 'content:' || content, * EXCLUDE (group_key) FROM f UNION ALL SELECT group_key, 'series:' || series, * EXCLUDE (group_key) FROM f),
+    ahead AS (SELECT a.group_key, a.bucket, a.path AS a, b.path AS b, (a.edition, a.modified_ms, a.volume, a.name) > (b.edition, b.modified_ms, b.volume, b.name) AS usual,
+                     (a.pages > b.pages AND (a.pages >= b.pages + 5 OR a.pages >= 1.2e0 * b.pages)) OR (a.volume > b.volume AND (a.volume >= 1.35e0 * b.volume OR a.volume - b.volume >= 20971520)) AS clear,
+                     (b.pages > a.pages AND (b.pages >= a.pages + 5 OR b.pages >= 1.2e0 * a.pages)) OR (b.volume > a.volume AND (b.volume >= 1.35e0 * a.volume OR b.volume - a.volume >= 20971520)) AS clear_back
+              FROM k a JOIN k b ON a.group_key = b.group_key AND a.bucket = b.bucket AND a.path <> b.path),
+    best AS (SELECT group_key, bucket, a AS path FROM ahead GROUP BY 1, 2, 3 HAVING bool_and(NOT clear_back AND (clear OR usual)))"""
+
+
+def _preference_rows(spark, sf_dir):
     rows = group_rows(spark, sf_dir)
     m = grouping.by_key(rows, F.col("code"), "code", 100).select("group_key", "path").join(rows, "path")
-    m = m.select("group_key", "path", "name", F.col("image_count").alias("pages"), F.col("size").alias("volume"), recommend.edition_score(F.col("name"), F.col("title"), F.col("base_title"), F.col("edition_tokens")).alias("edition_score"), "modified_ms", F.lit(0).alias("metadata_score"))
-    return recommend.preferred_order(m)
+    score = recommend.edition_score(F.col("name"), F.col("title"), F.col("base_title"), F.col("edition_tokens"))
+    return m.select("group_key", "path", "name", "code", "fingerprint", grouping.token_text(F.col("series_tokens")).alias("series_key"), F.col("image_count").alias("pages"), F.col("size").alias("volume"), score.alias("edition_score"), "modified_ms", F.lit(0).alias("metadata_score"))
+
+
+@query("scr_preferred", f"{_PREFERRED_SQL} SELECT group_key, path FROM best WHERE bucket = group_key")
+def scr_preferred(spark, sf_dir):
+    return recommend.preferred(_preference_rows(spark, sf_dir), "group_key")
 
 
-@query("scr_duplicate_recommendation", None)
+@query("scr_duplicate_recommendation", f"{_PREFERRED_SQL}, kept AS (SELECT DISTINCT group_key, path FROM best) SELECT f.group_key, f.path, CASE WHEN kept.path IS NULL THEN 'select' ELSE 'keep' END AS action FROM f LEFT JOIN kept USING (group_key, path)")
 def scr_duplicate_recommendation(spark, sf_dir):
-    rows = group_rows(spark, sf_dir)
-    m = grouping.by_key(rows, F.col("code"), "code", 100).select("group_key", "path").join(rows, "path")
-    return recommend.duplicate_recommendation(m.select("group_key", "path", "code", "fingerprint", grouping.token_text(F.col("series_tokens")).alias("series_key")), scr_preferred(spark, sf_dir))
+    return recommend.duplicate_recommendation(_preference_rows(spark, sf_dir))
 
 
 @query(
