@@ -13,14 +13,17 @@ from lakeloom.operators.store import candidates_upserted, cascaded_delete, casca
 
 #: Fixed value: states of an item that a retry takes up again.
 RETRIED = ("unresolved", "token-not-found", "access-denied", "failed")
+#: Fixed value: the phase that a run begins with.
+FIRST_PHASE = "front"
 #: What a run counts page by page.
 COUNTED = ("items_seen", "new_items", "duplicate_items", "skipped_items")
 
 
 def started_runs(requests: DataFrame, now: Column) -> DataFrame:
-    """A row for each run that is asked for (``run_id, target_url, max_pages, resume_cursor``): running, nothing counted."""
+    """A row for each run that is asked for (``run_id, target_url, max_pages, resume_cursor``): running, nothing counted, not finished."""
     zero = [F.lit(0).cast("bigint").alias(c) for c in ("pages_visited", *COUNTED)]
-    return requests.select("run_id", "target_url", F.lit("running").alias("status"), F.lit("collecting").alias("phase"), "max_pages", *zero, F.col("resume_cursor").alias("cursor_before"), now.alias("started_at"))
+    unknown = [F.lit(None).cast("string").alias(c) for c in ("finished_at", "last_error")]
+    return requests.select("run_id", "target_url", F.lit("running").alias("status"), F.lit(FIRST_PHASE).alias("phase"), "max_pages", *zero, F.col("resume_cursor").alias("cursor_before"), now.alias("started_at"), *unknown)
 
 
 def progressed_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -31,13 +34,11 @@ def progressed_runs(runs: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def finished_runs(runs: DataFrame, outcomes: DataFrame, now: Column) -> DataFrame:
-    """Runs that have an outcome (``run_id, outcome, error``) are idle, without a cursor to resume from; the others go on."""
-    done = F.col("outcome").isNotNull()
-    changes = {
-        "status": F.coalesce("outcome", "status"), "phase": F.when(done, "idle").otherwise(F.col("phase")), "finished_at": F.when(done, now),
-        "last_error": F.col("error"),
-    }
-    return runs.join(outcomes, "run_id", "left").withColumns(changes).drop("outcome", "error")
+    """Runs that have an outcome (``run_id, outcome, error``) are idle from ``now`` on, with its error or none; all others stay as they are, when and how they ended included."""
+    ends = outcomes.select("run_id", F.col("outcome").alias("_outcome"), F.col("error").alias("_error"))
+    done = F.col("_outcome").isNotNull()
+    new = {"status": F.col("_outcome"), "phase": F.lit("idle"), "finished_at": now, "last_error": F.col("_error")}
+    return runs.join(ends, "run_id", "left").withColumns({c: F.when(done, v).otherwise(F.col(c)) for c, v in new.items()}).select(runs.columns)
 
 
 def counted_runs(runs: DataFrame, items: DataFrame) -> DataFrame:

@@ -28,6 +28,12 @@ def _checked(check: str) -> Column:
     return F.struct(*((F.lit(True) if c == check else F.col(f"checks.{c}")).alias(c) for c in CHECKS))
 
 
+def _derived(rows: DataFrame) -> DataFrame:
+    """What follows from a check, whichever it was: a file with issues and without an error goes to no group."""
+    refused = F.col("error").isNull() & (F.size("issues") > 0) & F.col("group_path").isNotNull()
+    return rows.withColumn("use_group", F.when(refused, False).otherwise(F.col("use_group")))
+
+
 def _joined(rows: DataFrame, found: DataFrame, value: str, issues: DataFrame) -> DataFrame:
     """Rows with ``_found`` of their path, and with the issues of a check added, each once."""
     more = issues.select("path", "issue").distinct().groupBy("path").agg(F.array_sort(F.collect_list("issue")).alias("_more"))  # a few kinds of issue a file
@@ -38,20 +44,20 @@ def _joined(rows: DataFrame, found: DataFrame, value: str, issues: DataFrame) ->
 def with_duplicates(rows: DataFrame, duplicates: DataFrame, issues: DataFrame) -> DataFrame:
     """What the duplicate check found (``path, target``); an action without a duplicate any more is dropped."""
     out = _joined(rows, duplicates, "target", issues).withColumns({"duplicate_target": F.col("_found"), "checks": _checked("duplicates")})
-    return out.withColumn("duplicate_action", F.when(F.col("_found").isNotNull(), F.col("duplicate_action"))).select(rows.columns)
+    return _derived(out.withColumn("duplicate_action", F.when(F.col("_found").isNotNull(), F.col("duplicate_action"))).select(rows.columns))
 
 
 def with_group_candidates(rows: DataFrame, candidates: DataFrame, issues: DataFrame) -> DataFrame:
     """What the group check found (``path, group_path``): used unless the file has an issue or the user said no."""
     out = _joined(rows, candidates, "group_path", issues).withColumns({"group_path": F.col("_found"), "checks": _checked("groups")})
     use = F.when(F.col("_found").isNotNull(), F.when(F.size("issues") > 0, False).otherwise(F.coalesce("use_group", F.lit(True))))
-    return out.withColumn("use_group", use).select(rows.columns)
+    return _derived(out.withColumn("use_group", use).select(rows.columns))
 
 
 def with_favorites(rows: DataFrame, candidates: DataFrame, issues: DataFrame) -> DataFrame:
     """What the favourite check found (``path, folder``), where the file has no issue."""
     out = _joined(rows, candidates, "folder", issues).withColumn("checks", _checked("favorites"))
-    return out.withColumn("favorite_folder", F.when(F.size("issues") == 0, F.col("_found"))).select(rows.columns)
+    return _derived(out.withColumn("favorite_folder", F.when(F.size("issues") == 0, F.col("_found"))).select(rows.columns))
 
 
 def with_error(rows: DataFrame, check: str, message: Column) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import paths, signatures, similarity, text, values
 from lakeloom.operators import catalog, grouping, linkage, recommend, reports, review
+from lakeloom.operators.working import spread, stored
 from lakeloom.plans import moves
 from lakeloom.plans.registry import query, table
 
@@ -50,8 +50,8 @@ parsed AS (
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Files with their names parsed, once: the rows are kept for the other stages and queries that read them."""
-    return text.parsed_names(files(spark, sf_dir)).persist(StorageLevel.DISK_ONLY)
+    """Files with their names parsed, as a table: the stages of a query read it, and no other query does."""
+    return stored(text.parsed_names(spread(files(spark, sf_dir))), "parsed")
 
 
 @query("prj_parse_name", f"WITH {PARSED_SQL} SELECT ord, code, actor, category, title, normalized_title, base_title, series, edition FROM parsed")
@@ -208,7 +208,7 @@ def group_rows(spark, sf_dir):
     p = F.col("p")
     nothing = F.array().cast("array<string>")
     return parsed(spark, sf_dir).select(
-        "path", "ord", "size", "modified_ms", "type", F.lit(None).cast("string").alias("origin"), p["code"].alias("code"), F.array(p["actor"]).alias("actors"), nothing.alias("groups"),
+        "path", "ord", "p_size", "size", "modified_ms", "type", F.lit(None).cast("string").alias("origin"), p["code"].alias("code"), F.array(p["actor"]).alias("actors"), nothing.alias("groups"),
         p["base_title"].alias("base_title"), p["series_tokens"].alias("series_tokens"), p["edition_tokens"].alias("edition_tokens"), p["title"].alias("title"), F.col("name"),
         F.array(p["code"]).alias("lineage_ids"), F.concat_ws(":", p["base_title"], F.col("p_size").cast("string")).alias("fingerprint"), F.col("p_size").alias("image_count"),
     )
@@ -244,26 +244,125 @@ def grp_lineage(spark, sf_dir):
 _EXACT_SQL = f"""WITH {PARSED_SQL}, g AS (SELECT type || '||' || actor || '|' || base_title AS group_key, count(*) AS n, count(DISTINCT series) > 1 AS series_differ, count(DISTINCT edition) > 1 AS edition_differ FROM parsed GROUP BY 1 HAVING count(*) >= 2)"""
 
 
-@query("grp_exact", f"{_EXACT_SQL} SELECT 'exact:' || group_key AS group_key, n, CAST(CASE WHEN series_differ THEN 96 ELSE 94 END AS INTEGER) AS base FROM g WHERE series_differ OR edition_differ")
+#: What the files' content and metadata are, and what a group's have in common: sets of reasons, each alone and together.
+_CONTENT = {
+    "sample_hashes": "CASE WHEN ord % 7 = 0 THEN 's' || (ord % 3) END", "crc_window": "CASE WHEN ord % 5 = 1 THEN 'w' || (ord % 2) END", "image_count": "p_size", "total_size": "ord % 11 * 1000 + 5000",
+}
+_VALUES = {"group": "CASE WHEN ord % 2 = 0 THEN 'g' || (ord % 4) END", "origin": "CASE WHEN ord % 3 < 2 THEN 'o' || (ord % 3) END", "category": "CASE WHEN ord % 4 > 0 THEN 'c' END"}
+_EVIDENCE_SQL = f"""{_EXACT_SQL},
+  em AS (SELECT p.*, 'exact:' || group_key AS gk, {", ".join(f"{v} AS {n}" for n, v in _CONTENT.items())}, {", ".join(f'{v} AS v_{n}' for n, v in _VALUES.items())} FROM parsed p JOIN g ON type || '||' || actor || '|' || base_title = group_key),
+  sa AS (SELECT gk, bool_or(c > 1) AS same_samples FROM (SELECT gk, sample_hashes, count(DISTINCT path) AS c FROM em WHERE sample_hashes IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+  wi AS (SELECT gk, bool_or(c > 1) AS same_windows FROM (SELECT gk, crc_window, count(*) AS c FROM em WHERE crc_window IS NOT NULL GROUP BY 1, 2) GROUP BY 1),
+  pa AS (SELECT a.gk, a.image_count >= b.image_count + 5 OR a.total_size >= 1.35 * b.total_size AS page_dominance
+         FROM (SELECT *, row_number() OVER (PARTITION BY gk ORDER BY image_count DESC, ord, path) AS k FROM em WHERE image_count > 0) a
+         JOIN (SELECT *, row_number() OVER (PARTITION BY gk ORDER BY image_count DESC, ord, path) AS k FROM em WHERE image_count > 0) b ON a.gk = b.gk AND a.k = 1 AND b.k = 2),
+  vs AS (SELECT gk, path, kind, value FROM (SELECT gk, path, {", ".join(f"v_{n}" for n in _VALUES)} FROM em) UNPIVOT (value FOR kind IN ({", ".join(f"v_{n}" for n in _VALUES)}))),
+  ag AS (SELECT gk, kind, max(c) = max(filled) AS common FROM (SELECT gk, kind, value, count(DISTINCT path) AS c FROM vs GROUP BY 1, 2, 3) JOIN (SELECT gk, kind, count(DISTINCT path) AS filled FROM vs GROUP BY 1, 2) USING (gk, kind) WHERE filled >= 2 GROUP BY 1, 2),
+  bo AS (SELECT gk, bool_or(kind = 'v_group' AND common) AS gc, bool_or(kind = 'v_origin' AND common) AS oc, bool_or(kind = 'v_category' AND common) AS cc,
+                bool_or(kind = 'v_group' AND NOT common) AS gd, bool_or(kind = 'v_origin' AND NOT common) AS od, bool_or(kind = 'v_category' AND NOT common) AS cd FROM ag GROUP BY 1),
+  eg AS (SELECT gk, n, series_differ, edition_differ, coalesce(same_samples, false) AS same_samples, coalesce(same_windows, false) AS same_windows, coalesce(page_dominance, false) AS page_dominance,
+                coalesce(gc, false) AS gc, coalesce(oc, false) AS oc, coalesce(cc, false) AS cc, coalesce(gd, false) AS gd, coalesce(od, false) AS od, coalesce(cd, false) AS cd,
+                CASE WHEN page_dominance OR same_samples OR same_windows OR series_differ OR edition_differ THEN least(99, CASE WHEN page_dominance THEN 98 WHEN same_samples OR same_windows OR series_differ THEN 96 ELSE 94 END
+                  + CASE WHEN gc THEN 3 ELSE 0 END + CASE WHEN oc THEN 2 ELSE 0 END + CASE WHEN cc THEN 1 ELSE 0 END) END AS base
+         FROM (SELECT *, 'exact:' || group_key AS gk FROM g) LEFT JOIN sa USING (gk) LEFT JOIN wi USING (gk) LEFT JOIN pa USING (gk) LEFT JOIN bo USING (gk))
+"""
+
+
+def content_rows(rows):
+    """What is known of the files' images."""
+    one = F.expr(_CONTENT["sample_hashes"])
+    return rows.select("path", F.when(one.isNotNull(), F.array(one)).otherwise(F.array().cast("array<string>")).alias("sample_hashes"), *(F.expr(v).alias(n) for n, v in _CONTENT.items() if n != "sample_hashes"))
+
+
+def value_rows(rows):
+    """What the metadata say of the files, a row a value."""
+    each = F.array(*(F.struct(F.lit(n).alias("kind"), F.expr(v).alias("value")) for n, v in _VALUES.items()))
+    return rows.select("path", F.explode(each).alias("v")).select("path", "v.*").filter("value IS NOT NULL")
+
+
+def exact_rows(rows):
+    """The groups of exact keys, with what tells that they are some."""
+    candidates = stored(grouping.exact_members(rows), "exact")
+    content = stored(grouping.content_reasons(candidates, content_rows(rows)), "reasons")
+    return grouping.exact_groups(rows, content, grouping.boosts(candidates, value_rows(rows))), content
+
+
+@query("grp_exact", f"{_EVIDENCE_SQL} SELECT gk AS group_key, n, base FROM eg WHERE base IS NOT NULL")
 def grp_exact(spark, sf_dir):
-    none = spark.createDataFrame([], "group_key string, reasons int")
-    return grouping.exact_groups(group_rows(spark, sf_dir), none).groupBy("group_key", "base").agg(F.count("*").alias("n"))
+    members, _ = exact_rows(group_rows(spark, sf_dir))
+    return members.groupBy("group_key", "base").agg(F.count("*").alias("n"))
+
+
+@query("grp_reasons", f"{_EVIDENCE_SQL} SELECT gk AS group_key, same_samples, same_windows, page_dominance FROM eg")
+def grp_reasons(spark, sf_dir):
+    rows = group_rows(spark, sf_dir)
+    return grouping.content_reasons(grouping.exact_members(rows), content_rows(rows))
+
+
+@query("grp_boosts", f"{_EVIDENCE_SQL} SELECT gk AS group_key, CAST(CASE WHEN gc THEN 3 ELSE 0 END + CASE WHEN oc THEN 2 ELSE 0 END + CASE WHEN cc THEN 1 ELSE 0 END AS INTEGER) AS boost FROM eg WHERE gc OR oc OR cc")
+def grp_boosts(spark, sf_dir):
+    rows = group_rows(spark, sf_dir)
+    return grouping.boosts(grouping.exact_members(rows), value_rows(rows))
+
+
+@query(
+    "grp_materialised",
+    f"""{_EVIDENCE_SQL},
+        {_CODE_SQL},
+        m AS (SELECT 'code:' || code AS group_key, 'code' AS stage, 100 AS base, p.* EXCLUDE (code) FROM parsed p JOIN by_code USING (code)
+              UNION ALL SELECT e.gk, 'exact', base, p.* EXCLUDE (code) FROM (SELECT gk, path FROM em) e JOIN eg USING (gk) JOIN parsed p USING (path) WHERE base IS NOT NULL),
+        mv AS (SELECT group_key, path, kind, value FROM (SELECT group_key, path, {", ".join(f'{v} AS v_{n}' for n, v in _VALUES.items())} FROM m) UNPIVOT (value FOR kind IN ({", ".join(f"v_{n}" for n in _VALUES)}))),
+        ma AS (SELECT group_key, kind, max(c) < max(filled) AS disjoint FROM (SELECT group_key, kind, value, count(*) AS c FROM mv GROUP BY 1, 2, 3) JOIN (SELECT group_key, kind, count(DISTINCT path) AS filled FROM mv GROUP BY 1, 2) USING (group_key, kind) WHERE filled >= 2 GROUP BY 1, 2),
+        md AS (SELECT group_key, bool_or(kind = 'v_group' AND disjoint) AS gd, bool_or(kind = 'v_origin' AND disjoint) AS od, bool_or(kind = 'v_category' AND disjoint) AS cd FROM ma GROUP BY 1),
+        s AS (SELECT group_key, stage, base, count(*) AS n, CAST(sum(size) AS BIGINT) AS total_size, arg_min(path, (length(title), path)) AS representative, arg_min(title, (length(title), path)) AS title,
+                     count(DISTINCT series) > 1 AS series_differ, count(DISTINCT edition) > 1 AS edition_differ, bool_or(ord % 29 = 0) AS has_issue FROM m GROUP BY 1, 2, 3),
+        r AS (SELECT s.*, coalesce(md.gd, false) AS gd, coalesce(md.od, false) AS od, coalesce(md.cd, false) AS cd, eg.same_samples, eg.same_windows, eg.page_dominance, eg.gc, eg.oc, eg.cc,
+                     CASE WHEN has_issue OR coalesce(md.gd, false) OR coalesce(md.od, false) OR coalesce(md.cd, false) THEN 'suspicious' WHEN stage = 'exact' AND s.series_differ THEN 'series' ELSE 'cleanup' END AS queue
+              FROM s LEFT JOIN md USING (group_key) LEFT JOIN eg ON stage = 'exact' AND gk = group_key)
+        SELECT group_key, stage, CAST(base AS INTEGER) AS confidence, n, total_size, representative, title, queue, CASE queue WHEN 'suspicious' THEN 'review' WHEN 'series' THEN 'group' ELSE 'trash' END AS action, CASE queue WHEN 'suspicious' THEN 'suspicious' ELSE 'safe' END AS risk,
+               concat_ws(',', 'same-' || stage, CASE WHEN gc THEN 'group-agrees' END, CASE WHEN oc THEN 'origin-agrees' END, CASE WHEN cc THEN 'category-agrees' END, CASE WHEN same_samples THEN 'same-samples' END, CASE WHEN same_windows THEN 'same-windows' END, CASE WHEN page_dominance THEN 'page-dominance' END,
+                         CASE WHEN has_issue THEN 'metadata-conflict' END, CASE WHEN gd THEN 'group-differs' END, CASE WHEN od THEN 'origin-differs' END, CASE WHEN cd THEN 'category-differs' END, CASE WHEN series_differ THEN 'series-differs' END, CASE WHEN edition_differ THEN 'edition-differs' END) AS reasons
+        FROM r""",
+)
+def grp_materialised(spark, sf_dir):
+    rows = group_rows(spark, sf_dir)
+    exact, content = exact_rows(rows)
+    members = stored(grouping.by_key(rows, F.col("code"), "code", 100).unionByName(exact), "members")
+    keyed = rows.withColumns({"relative_path": F.col("path"), "name": F.lit(""), "actor": F.get("actors", F.lit(0)), "type_key": F.lower("type"), "origin_key": F.lit(""), "actor_key": F.lower(F.get("actors", F.lit(0)))})
+    found = grouping.materialised(members, keyed, values=value_rows(rows), issues=rows.filter("ord % 29 = 0").select("path", F.lit("metadata-conflict").alias("message")), content=content)
+    return found.select("group_key", "stage", "confidence", "n", "total_size", "representative", "title", "queue", "action", "risk", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    "grp_sampling_candidates",
+    f"""WITH {PARSED_SQL}, f AS (SELECT path, ord, code, type, CASE WHEN ord % 5 < 4 THEN origin END AS origin, CASE WHEN ord % 6 < 5 THEN actor END AS actor, base_title, CASE WHEN ord % 3 = 0 THEN 'w' || p_size END AS w, ord % 2 = 0 AS images, ord % 7 = 0 AS sampled, ord % 13 = 0 AS failed FROM parsed),
+        k AS (SELECT path, images, sampled, failed, 'c' || code AS key FROM f WHERE code IS NOT NULL
+              UNION ALL SELECT path, images, sampled, failed, 'e' || concat_ws('|', coalesce(type, ''), coalesce(origin, ''), actor, base_title) FROM f WHERE actor IS NOT NULL AND base_title <> ''
+              UNION ALL SELECT path, images, sampled, failed, 'w' || concat_ws('|', coalesce(type, ''), origin, actor, w) FROM f WHERE actor IS NOT NULL AND origin IS NOT NULL AND w IS NOT NULL)
+        SELECT DISTINCT path FROM k JOIN (SELECT key FROM k GROUP BY key HAVING count(*) > 1 AND bool_or(images)) USING (key) WHERE images AND NOT sampled AND NOT failed""",
+)
+def grp_sampling_candidates(spark, sf_dir):
+    rows = parsed(spark, sf_dir).selectExpr(
+        "path", "p.code AS code", "type", "CASE WHEN ord % 5 < 4 THEN origin END AS origin", "CASE WHEN ord % 6 < 5 THEN p.actor END AS actor", "p.base_title AS base_title", "CASE WHEN ord % 3 = 0 THEN 'w' || p_size END AS crc_window",
+        "CASE WHEN ord % 2 = 0 THEN 9 ELSE 0 END AS image_count", "CASE WHEN ord % 7 = 0 THEN array('s') END AS sample_hashes", "CASE WHEN ord % 13 = 0 THEN 'failed' END AS status",
+    )
+    return grouping.sampling_candidates(rows)
 
 
 @query(
     "grp_claimed",
-    f"""{_EXACT_SQL},
+    f"""{_EVIDENCE_SQL},
         m AS (SELECT 'code:' || code AS group_key, 'code' AS stage, 1 AS place, 100 AS base, path, ord FROM parsed WHERE code IS NOT NULL
               UNION ALL SELECT 'content:' || base_title || ':' || p_size, 'content', 2, 100, path, ord FROM parsed WHERE p_size > 0
               UNION ALL SELECT 'lineage:' || code, 'lineage', 3, 99, path, ord FROM parsed WHERE code IS NOT NULL
-              UNION ALL SELECT 'exact:' || group_key, 'exact', 4, CASE WHEN series_differ THEN 96 ELSE 94 END, path, ord FROM parsed JOIN g ON type || '||' || actor || '|' || base_title = group_key WHERE series_differ OR edition_differ),
+              UNION ALL SELECT gk, 'exact', 4, base, path, ord FROM em JOIN eg USING (gk) WHERE base IS NOT NULL),
         s AS (SELECT group_key, stage, place, max(base) AS confidence, count(*) AS n, min(ord) AS ord, string_agg(path, chr(10) ORDER BY path) AS members FROM m GROUP BY 1, 2, 3 HAVING count(*) >= 2)
         SELECT group_key, stage, CAST(confidence AS INTEGER) AS confidence, n FROM (SELECT *, row_number() OVER (PARTITION BY members ORDER BY place, ord, group_key) AS k FROM s) WHERE k = 1""",
 )
 def grp_claimed(spark, sf_dir):
     rows = group_rows(spark, sf_dir)
-    none = spark.createDataFrame([], "group_key string, reasons int")
-    members = grouping.by_key(rows, F.col("code"), "code", 100).unionByName(grouping.by_key(rows, grouping.content_key(F.col("fingerprint"), F.col("image_count")), "content", 100)).unionByName(grouping.by_lineage(rows)).unionByName(grouping.exact_groups(rows, none))
+    exact, _ = exact_rows(rows)
+    members = grouping.by_key(rows, F.col("code"), "code", 100).unionByName(grouping.by_key(rows, grouping.content_key(F.col("fingerprint"), F.col("image_count")), "content", 100)).unionByName(grouping.by_lineage(rows)).unionByName(exact)
     return grouping.claimed(members)
 
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import paths, signatures, text, values
 from lakeloom.operators import catalog, grouping, jobs, linkage, metadata, recommend, reports, review, review_rows
+from lakeloom.operators.working import spread, stored
 from lakeloom.plans import moves
 from lakeloom.plans.registry import query, table
 from lakeloom.streaming import ingest
 
 # --- runs and jobs -----------------------------------------------------------
 
-_RUNS_SQL = "runs AS (SELECT n_nationkey AS run_id FROM nation), pages AS (SELECT c_nationkey AS run_id, c_custkey % 7 AS items_seen, c_custkey % 3 AS new_items, c_custkey % 2 AS duplicate_items, 1 AS skipped_items FROM customer WHERE c_nationkey % 5 <> 0)"
+_RUNS_SQL = "runs AS (SELECT n_nationkey AS run_id FROM nation UNION ALL SELECT 1000 + n_nationkey FROM nation), pages AS (SELECT c_nationkey AS run_id, c_custkey % 7 AS items_seen, c_custkey % 3 AS new_items, c_custkey % 2 AS duplicate_items, 1 AS skipped_items FROM customer WHERE c_nationkey % 5 <> 0)"
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,9 +25,9 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "dml_run_lifecycle",
     f"""WITH {_RUNS_SQL}, s AS (SELECT run_id, count(*) AS pages, sum(items_seen) AS a, sum(new_items) AS b, sum(duplicate_items) AS c, sum(skipped_items) AS d FROM pages GROUP BY 1)
-        SELECT run_id, CASE run_id % 3 WHEN 0 THEN 'completed' WHEN 1 THEN 'failed' ELSE 'running' END AS status, CASE WHEN run_id % 3 < 2 THEN 'idle' ELSE 'collecting' END AS phase, coalesce(pages, 0) AS pages_visited,
+        SELECT run_id, CASE WHEN run_id >= 1000 THEN 'failed' WHEN run_id % 3 = 0 THEN 'completed' WHEN run_id % 3 = 1 THEN 'failed' ELSE 'running' END AS status, CASE WHEN run_id >= 1000 OR run_id % 3 < 2 THEN 'idle' ELSE 'front' END AS phase, coalesce(pages, 0) AS pages_visited,
                CAST(coalesce(a, 0) AS BIGINT) AS items_seen, CAST(coalesce(b, 0) AS BIGINT) AS new_items, CAST(coalesce(c, 0) AS BIGINT) AS duplicate_items, CAST(coalesce(d, 0) AS BIGINT) AS skipped_items,
-               CASE WHEN run_id % 3 = 1 THEN 'gone' END AS last_error, CASE WHEN run_id % 3 < 2 THEN '2024-01-02' END AS finished_at FROM runs LEFT JOIN s USING (run_id)""",
+               CASE WHEN run_id >= 1000 THEN 'old error' WHEN run_id % 3 = 1 THEN 'gone' END AS last_error, CASE WHEN run_id >= 1000 THEN '2023-12-31' WHEN run_id % 3 < 2 THEN '2024-01-02' END AS finished_at FROM runs LEFT JOIN s USING (run_id)""",
 )
 def dml_run_lifecycle(spark, sf_dir):
     key = F.col("c_custkey")
@@ -35,7 +35,9 @@ def dml_run_lifecycle(spark, sf_dir):
     begun = runs(spark, sf_dir)
     k = F.col("run_id") % 3
     outcomes = begun.filter(k < 2).select("run_id", F.when(k == 0, "completed").otherwise("failed").alias("outcome"), F.when(k == 1, "gone").alias("error"))
-    out = jobs.finished_runs(jobs.progressed_runs(begun, pages), outcomes, F.lit("2024-01-02"))
+    # Runs of last year, which failed then, stay as they are.
+    older = begun.withColumns({"run_id": F.col("run_id") + 1000, "status": F.lit("failed"), "phase": F.lit("idle"), "finished_at": F.lit("2023-12-31"), "last_error": F.lit("old error")})
+    out = jobs.finished_runs(jobs.progressed_runs(begun.unionByName(older), pages), outcomes, F.lit("2024-01-02"))
     return out.select("run_id", "status", "phase", "pages_visited", *jobs.COUNTED, "last_error", "finished_at")
 
 
@@ -216,7 +218,7 @@ def agg_batch_stats(spark, sf_dir):
 _REVIEW_SQL = """
 r AS (SELECT c_custkey AS k, '/in/a/' || c_custkey || '.zip' AS path, c_custkey || '.zip' AS name,
              CASE WHEN c_custkey % 3 = 0 THEN '/store/' || c_custkey END AS duplicate_target, CASE WHEN c_custkey % 3 = 0 THEN CASE c_custkey % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'keep' WHEN 2 THEN 'overwrite' END END AS duplicate_action,
-             CASE WHEN c_custkey % 5 < 2 THEN '/g/' || c_custkey % 9 END AS group_path, c_custkey % 11 = 0 AS has_issue, c_custkey % 17 = 0 AS has_error FROM customer),
+             CASE WHEN c_custkey % 5 < 2 THEN '/g/' || c_custkey % 9 END AS group_path, c_custkey % 11 = 0 OR c_custkey % 13 = 0 AS has_issue, c_custkey % 17 = 0 AS has_error FROM customer),
 rows AS (SELECT *, CASE WHEN group_path IS NOT NULL THEN NOT has_issue END AS use_group, CASE WHEN k % 7 = 0 AND NOT has_issue THEN '/fav' END AS favorite_folder FROM r)
 """
 
@@ -226,11 +228,12 @@ def checked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("c_custkey")
     files = table(spark, sf_dir, "customer").select(key.alias("k"), F.concat(F.lit("/in/a/"), key.cast("string"), F.lit(".zip")).alias("path"), F.concat(key.cast("string"), F.lit(".zip")).alias("name"))
     rows = review_rows.review_rows(files).withColumn("duplicate_action", F.expr("CASE k % 4 WHEN 0 THEN 'skip' WHEN 1 THEN 'keep' WHEN 2 THEN 'overwrite' END"))
-    none = files.filter("false").select("path", F.lit("x").alias("issue"))
+    # The last check finds issues as well, in files that an earlier one has given a group.
+    late = files.filter("k % 13 = 0").select("path", F.lit("metadata-conflict").alias("issue"))
     issues = files.filter("k % 11 = 0").select("path", F.lit("metadata-conflict").alias("issue"))
     rows = review_rows.with_duplicates(rows, files.filter("k % 3 = 0").select("path", F.concat(F.lit("/store/"), F.col("k").cast("string")).alias("target")), issues.unionByName(issues))
     rows = review_rows.with_group_candidates(rows, files.filter("k % 5 < 2").select("path", F.concat(F.lit("/g/"), (F.col("k") % 9).cast("string")).alias("group_path")), issues)
-    rows = review_rows.with_favorites(rows, files.filter("k % 7 = 0").select("path", F.lit("/fav").alias("folder")), none)
+    rows = review_rows.with_favorites(rows, files.filter("k % 7 = 0").select("path", F.lit("/fav").alias("folder")), late)
     failed = review_rows.with_error(rows.filter("k % 17 = 0"), "groups", F.lit("gone"))
     return rows.filter("k % 17 <> 0").unionByName(failed)
 
@@ -407,7 +410,7 @@ def grp_index_rows(spark, sf_dir):
     files = table(spark, sf_dir, "part").selectExpr("p_partkey", "'[' || p_brand || '] ' || p_name || ' (' || (100000 + p_partkey % 1500) || ').zip' AS name", "p_type || '/' || p_brand || '/x.zip' AS relative_path", "CAST(p_partkey AS STRING) AS path", "1L AS size", "1.0D AS modified_ms")
     tags = F.array(F.struct(F.lit("artist").alias("namespace"), F.lit("Two").alias("value"), F.lit(3).alias("position")), F.struct(F.lit("artist").alias("namespace"), F.lit("One").alias("value"), F.lit(1).alias("position")))
     known = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") + 100000).cast("string").alias("item_id"), tags.alias("tags"), F.lit("Manga").alias("category"), F.array(F.lit("7")).alias("lineage_ids"))
-    parsed = text.parsed_names(files).persist(StorageLevel.DISK_ONLY)
+    parsed = stored(text.parsed_names(spread(files)), "parsed")
     return grouping.index_rows(parsed, known).select("p_partkey", "code", "actor", "type", "origin", "type_key", "actor_key")
 
 
@@ -457,10 +460,25 @@ def jn_with_metadata(spark, sf_dir):
     return metadata.with_metadata(table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("code")), known).select("o_orderkey", "category", "item_id")
 
 
-@query("grp_content_reasons", "WITH r AS (SELECT l_orderkey AS g, l_linenumber AS p, l_suppkey % 5 AS h, l_suppkey % 3 AS w FROM lineitem), s AS (SELECT g, max(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS a FROM (SELECT g, h, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1), t AS (SELECT g, max(CASE WHEN n > 1 THEN 1 ELSE 0 END) AS b FROM (SELECT g, w, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1) SELECT g AS group_key, a + b AS reasons FROM s JOIN t USING (g)")
+_REASONS_SQL = """
+WITH r AS (SELECT l_orderkey AS g, l_linenumber AS p, l_suppkey % 5 AS h, l_suppkey % 3 AS w, CAST(l_quantity AS INTEGER) AS pages, CAST(round(l_extendedprice) AS BIGINT) AS bytes,
+                  l_orderkey || ':' || l_partkey || ':' || l_linenumber || ':' || l_suppkey AS path FROM lineitem),
+s AS (SELECT g, bool_or(n > 1) AS a FROM (SELECT g, h, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT g, bool_or(n > 1) AS b FROM (SELECT g, w, count(*) AS n FROM r GROUP BY 1, 2) GROUP BY 1),
+o AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY pages DESC, p, path) AS k FROM r),
+d AS (SELECT x.g, x.pages >= y.pages + 5 OR x.bytes >= 1.35 * y.bytes AS c FROM o x JOIN o y ON x.g = y.g AND x.k = 1 AND y.k = 2)
+SELECT g AS group_key, a AS same_samples, b AS same_windows, coalesce(c, false) AS page_dominance FROM s JOIN t USING (g) LEFT JOIN d USING (g)
+"""
+
+
+@query("grp_content_reasons", _REASONS_SQL)
 def grp_content_reasons(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("group_key"), F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey"))).alias("path"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("sample_hashes"), (F.col("l_suppkey") % 3).cast("string").alias("crc_window"), F.lit(0).alias("image_count"), F.lit(0).alias("total_size"))
-    return grouping.content_reasons(rows.select("group_key", "path"), rows.drop("group_key"))
+    path = F.concat_ws(":", *(F.col(c).cast("string") for c in ("l_orderkey", "l_partkey", "l_linenumber", "l_suppkey")))
+    rows = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("group_key"), path.alias("path"), F.col("l_linenumber").alias("ord"), F.array((F.col("l_suppkey") % 5).cast("string")).alias("sample_hashes"), (F.col("l_suppkey") % 3).cast("string").alias("crc_window"),
+        F.col("l_quantity").cast("int").alias("image_count"), F.round("l_extendedprice").cast("bigint").alias("total_size"),
+    )
+    return grouping.content_reasons(rows.select("group_key", "path", "ord"), rows.drop("group_key", "ord"))
 
 
 @query("grp_ordered", "SELECT s_nationkey AS group_key, count(*) AS n FROM supplier GROUP BY 1 ORDER BY 90 + s_nationkey % 3 DESC, n DESC, sum(s_suppkey) DESC, s_nationkey LIMIT 10")

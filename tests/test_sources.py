@@ -217,7 +217,30 @@ def test_long_digit_runs_sort_by_their_number(spark):
     assert [r["name"] for r in df.orderBy(signatures.natural_key(F.col("name"))).collect()] == ["a2", "a10", names[0], names[1]]
 
 
-def test_names_in_steps_are_names_in_one(spark):
-    odd = ["[A][B] title ch. 3 vol 2 v2 (12345).zip", "[A] x", "(12345).zip", "", "제 3권 extra #5 no. 7 uncensored decensored.tar.gz", "[][c][d][] ch.1 ch.2 (99999) .zip", "[unclosed title digital color (1234)", None]
-    df = spark.createDataFrame([(n,) for n in odd], "name string")
-    assert [r.p for r in text.parsed_names(df).collect()] == [r.p for r in df.select(text.parse_name(F.col("name")).alias("p")).collect()]
+#: A name, and what it is parsed into: stem, code, actor, category, further brackets, title, normalized, base, series, editions.
+NAMES = {
+    "[A][B] title ch. 3 vol 2 v2 (12345).zip": ("[A][B] title ch. 3 vol 2 v2 (12345)", "12345", "A", "B", [], "title ch. 3 vol 2 v2", "title ch 3 vol 2 v2", "title", ["chapter:ch 3", "volume:vol 2"], ["revision:v2"]),
+    "[A] x": ("[A] x", None, "A", None, [], "x", "x", "x", [], []),
+    "(12345).zip": ("(12345)", "12345", None, None, [], "(12345)", "12345", "12345", [], []),
+    "": ("", None, None, None, [], "", "", "", [], []),
+    "제 3권 extra #5 no. 7 uncensored decensored.tar.gz": (
+        "제 3권 extra #5 no. 7 uncensored decensored.tar", None, None, None, [], "제 3권 extra #5 no. 7 uncensored decensored.tar", "제 3권 extra #5 no 7 uncensored decensored tar", "no tar",
+        ["number:#5", "number:7", "korean-number:제 3권", "extra:extra"], ["decensored:decensored", "uncensored:uncensored"],
+    ),
+    "[][c][d][] ch.1 ch.2 (99999) .zip": ("[][c][d][] ch.1 ch.2 (99999) ", "99999", None, "c", ["d"], "ch.1 ch.2", "ch 1 ch 2", "ch 1 ch 2", ["chapter:ch 1", "chapter:ch 2"], []),
+    "[unclosed title digital color (1234)": ("[unclosed title digital color (1234)", "1234", None, None, [], "[unclosed title digital color", "unclosed title digital color", "unclosed title", [], ["digital:digital", "color:color"]),
+    "side 3 story a.zip": ("side 3 story a", None, None, None, [], "side 3 story a", "side 3 story a", "a", ["number:3", "extra:side story"], []),
+    "[\u3000a\xa0][b] x\u2003vol\u30003 final.zip": ("[\u3000a\xa0][b] x\u2003vol\u30003 final", None, "a", "b", [], "x\u2003vol\u30003 final", "x vol 3 final", "x", ["volume:vol 3"], ["complete:final"]),
+    "a\u200bb Vol.1\tCH 2 #3 (1234)\u3000.rar": ("a\u200bb Vol.1\tCH 2 #3 (1234)\u3000", "1234", None, None, [], "a\u200bb Vol.1\tCH 2 #3", "ab vol 1 ch 2 #3", "ab", ["chapter:ch 2", "volume:vol 1", "number:#3"], []),
+    # Full-width letters, half-width kana and decomposed Hangul are composed when normalized.
+    "ＡＢＣ ｶﾞｲﾄﾞ vol 3.zip": ("ＡＢＣ ｶﾞｲﾄﾞ vol 3", None, None, None, [], "ＡＢＣ ｶﾞｲﾄﾞ vol 3", "abc ガイド vol 3", "abc ガイド", ["volume:vol 3"], []),
+    "\u1112\u1161\u11ab\u1100\u1173\u11af (12345).zip": ("\u1112\u1161\u11ab\u1100\u1173\u11af (12345)", "12345", None, None, [], "\u1112\u1161\u11ab\u1100\u1173\u11af", "한글", "한글", [], []),
+}
+
+
+def test_names_are_parsed(spark):
+    df = spark.createDataFrame([(n,) for n in [*NAMES, None]], "name string")
+    found = {r.name: tuple(r.p) for r in text.parsed_names(df).collect()}
+    assert found == {**NAMES, None: (None,) * 10}
+    plain = {r.name: r.p for r in text.parsed_names(df, compose=False).collect()}
+    assert plain["ＡＢＣ ｶﾞｲﾄﾞ vol 3.zip"].normalized_title == "ａｂｃ ｶﾞｲﾄﾞ vol 3"
