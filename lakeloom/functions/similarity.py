@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeloom.operators.working import stored
+
 #: Titles shorter than this are only alike if equal.
 SHORTEST = 8
 
@@ -158,13 +160,15 @@ LEAST_STRONG = 0.94
 
 
 def strong_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs of different titles (``who, title`` on both sides, same ``who``) of score ``LEAST_STRONG`` or more: ``left, right, score``.
+    """All pairs of different titles (``who, title`` on both sides, same ``who``) of score ``LEAST_STRONG`` or more: ``who, left, right, score``.
 
     Such a score has one of three causes.  The sum needs a Jaccard of 4/7 and a Dice
     of 0.869; the rule for contained titles 0.95 of the shorter's tokens and a balance
     of 0.78; the rule for close titles a Dice of 0.985.  So for one of the titles a
     token among its rarest 3/7 and one is in the other, or both have a bigram in
-    common among their rarest 3 percent and one; and the lengths are near.
+    common among their rarest 3 percent and one; and the lengths are near.  So a rare
+    token meets all titles with it, from either side, and a token that is common in
+    both titles is in no join at all.
     """
     titles = left.select("title").unionByName(right.select("title")).distinct()
     parts = titles.select("title", title_parts("title").alias("p")).select("title", "p.*")
@@ -175,12 +179,18 @@ def strong_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     first = F.when(F.col("kind") == "w", F.size("all") - F.ceil(F.size("all") * 0.57) + 1).otherwise(F.floor(F.col("n_pairs") * 0.0301) + 1)
     keyed = sorted_parts.withColumn("first", first.cast("int")).select("title", "n_pairs", "n_chars", "kind", "first", F.posexplode("all").alias("place", "x"))
     keyed = keyed.select("title", "n_pairs", "n_chars", "kind", F.col("x.part").alias("part"), (F.col("place") < F.col("first")).alias("rare")).filter("rare OR kind = 'w'")
-    side = lambda d, name: d.distinct().join(keyed, "title").select("who", "kind", "part", F.struct("title", "rare", "n_pairs", "n_chars").alias(name))
-    met = side(left, "l").join(side(right, "r"), ["who", "kind", "part"])
+    keyed = stored(keyed, "title_parts")
+    side = lambda d, name: d.select("who", "title").distinct().join(keyed, "title").select("who", "kind", "part", F.struct("title", "rare", "n_pairs", "n_chars").alias(name))
     near = lambda c: F.least(F.col(f"l.{c}"), F.col(f"r.{c}")) >= 0.76 * F.greatest(F.col(f"l.{c}"), F.col(f"r.{c}"))
-    met = met.filter("l.title <> r.title AND (l.rare OR r.rare)").filter(near("n_pairs") | near("n_chars"))
-    pairs = met.select(F.col("l.title").alias("left"), F.col("r.title").alias("right")).distinct()
-    return pairs.withColumn("score", title_score("left", "right")).filter(F.col("score.value") >= LEAST_STRONG)
+
+    def meeting(l: DataFrame, r: DataFrame) -> DataFrame:
+        met = l.join(r, ["who", "kind", "part"]).filter(F.col("l.title") != F.col("r.title")).filter(near("n_pairs") | near("n_chars"))
+        return met.select("who", F.col("l.title").alias("left"), F.col("r.title").alias("right"))
+
+    l, r = side(left, "l"), side(right, "r")
+    pairs = meeting(l.filter("l.rare"), r).unionByName(meeting(l.filter("NOT l.rare"), r.filter("r.rare"))).distinct()
+    scores = pairs.select("left", "right").distinct().withColumn("score", title_score("left", "right")).filter(F.col("score.value") >= LEAST_STRONG)
+    return pairs.join(scores, ["left", "right"]).select("who", "left", "right", "score")
 
 
 def block_keys(title: Column) -> Column:

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeloom.functions import paths
+from lakeloom.operators.selection import greatest
+from lakeloom.operators.working import stored
 
 
 def scan_diff(seen: DataFrame, stored: DataFrame, *, key: str = "path_key", force: bool = False) -> DataFrame:
@@ -62,8 +64,44 @@ def content_summaries(files: DataFrame, cache: DataFrame, fresh: DataFrame) -> D
 
 
 def pruned_cache(cache: DataFrame, keep: int, *, by: str = "updated_at", key: str = "path") -> DataFrame:
-    """The ``keep`` newest rows: a top-k, not a sort of all rows in one task."""
-    return cache.orderBy(F.desc(by), key).limit(keep)
+    """The ``keep`` newest rows (dates, times or numbers); of equally new ones those of the least key as a number, or of the least hash of another key.
+
+    No rows are sorted: the cut is found by histograms of the times.
+    """
+    kind = cache.schema[by].dataType.typeName()
+    at = F.unix_micros(F.col(by).cast("timestamp")) if kind.startswith("timestamp") else F.unix_date(by).cast("bigint") if kind == "date" else F.floor(F.col(by)).cast("bigint")
+    whole = cache.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    tie = F.col(key).cast("bigint") if whole else F.xxhash64(key)
+    return greatest(cache.withColumns({"_time": at, "_tie": tie}), "_time", "_tie", keep).drop("_time", "_tie")
+
+
+def parsed_records(lines: DataFrame, schema: str, *, key: str = "path", line: str = "line") -> tuple[DataFrame, DataFrame]:
+    """Cache records from lines of JSON, and one row with how many were dropped: those that are no JSON of the schema or have no key."""
+    parsed = lines.select(F.from_json(line, f"{schema}, _broken string", {"columnNameOfCorruptRecord": "_broken"}).alias("r")).select("r.*")
+    good = F.col("_broken").isNull() & F.col(key).isNotNull()
+    return parsed.filter(good).drop("_broken"), parsed.agg(F.count_if(F.coalesce(~good, F.lit(True))).alias("dropped"))
+
+
+def touched(log: DataFrame, keys: DataFrame, now: Column, *, key: str = "path", at: str = "touched_at") -> DataFrame:
+    """The log of touches (``key, at``) with one more for each key that was read: rows are added, none is looked for."""
+    return log.select(key, at).unionByName(keys.select(key).distinct().select(key, now.cast(log.schema[at].dataType).alias(at)))
+
+
+def last_touches(log: DataFrame, *, key: str = "path", at: str = "touched_at") -> DataFrame:
+    """The log compacted: the last touch of each key, by an aggregate with a map-side part."""
+    return log.groupBy(key).agg(F.max(at).alias(at))
+
+
+def least_recently_used(cache: DataFrame, log: DataFrame, keep: int, *, key: str = "path", at: str = "touched_at") -> tuple[DataFrame, DataFrame]:
+    """The ``keep`` records of the cache that were used last, and the compacted log of these.
+
+    A record counts as used when it was written (its own ``at``) or touched.  The cut
+    comes from histograms, not from a sort.
+    """
+    last = last_touches(log, key=key, at=at).withColumnRenamed(at, "_touched")
+    used = cache.join(last, key, "left").withColumn(at, F.greatest(at, "_touched")).drop("_touched")
+    kept = pruned_cache(stored(used, "used"), keep, by=at, key=key)
+    return kept, kept.select(key, at)
 
 
 def invalidated(cache: DataFrame, changed: DataFrame, *, key: str = "root") -> DataFrame:

@@ -22,6 +22,7 @@ from lakeloom.functions.similarity import block_keys, fuzzy_confidence, is_stron
 from lakeloom.functions.text import normalize_text, safe_segment
 from lakeloom.functions.values import category_key, origin_key
 from lakeloom.operators.metadata import evidence
+from lakeloom.operators.numbering import numbered
 from lakeloom.operators.skew import dealt_apart
 
 #: Stages in the order in which they claim a set of files.
@@ -309,10 +310,10 @@ def sampling_candidates(files: DataFrame) -> DataFrame:
 
 
 def migrations(folders: DataFrame, *, path: str = "group_path") -> DataFrame:
-    """Targets of old flat group folders, numbered where they clash (``_1``, ``_2``…); ``folders`` has the path and ``target``."""
-    w = Window.partitionBy("target").orderBy(path)
-    k = F.row_number().over(w) - 1
-    return folders.withColumn("target", F.when(k > 0, F.concat_ws("_", "target", k.cast("string"))).otherwise(F.col("target")))
+    """Targets of old flat group folders, numbered where they clash (``_1``, ``_2``…), in blocks; ``folders`` has the path and ``target``."""
+    k = F.col("_k") - 1
+    rows = numbered(folders, ["target"], [path], "_k")
+    return rows.withColumn("target", F.when(k > 0, F.concat_ws("_", "target", k.cast("string"))).otherwise(F.col("target"))).drop("_k")
 
 
 def single_values(members: DataFrame, value: Column, name: str) -> DataFrame:

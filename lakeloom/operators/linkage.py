@@ -21,7 +21,7 @@ SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "act
 #: Which sets of a file and of a group meet for which evidence, and its confidence.
 _EVIDENCE = (
     ("codes", "codes", "item-id", 100), ("fingerprints", "fingerprints", "content", 100), ("codes", "lineage_ids", "lineage", 99), ("lineage_ids", "lineage_ids", "lineage", 99), ("lineage_ids", "codes", "lineage", 99),
-    ("sample_hashes", "sample_hashes", "sample", 98), ("windows", "windows", "window", 96), ("actors", "actors", "actor", 0), ("groups", "groups", "actor", 0), ("base_titles", "base_titles", "title", 96),
+    ("sample_hashes", "sample_hashes", "sample", 98), ("windows", "windows", "window", 96),
 )
 
 
@@ -59,15 +59,14 @@ def merge_candidates(files: DataFrame, groups: DataFrame, values: DataFrame, *,
     of_file = _values(files, "path")
     rules = F.array(*(F.struct(F.lit(a).alias("of_file"), F.lit(b).alias("set"), F.lit(kind).alias("kind"), F.lit(base).alias("base")) for a, b, kind, base in _EVIDENCE))
     asked = of_file.select("path", "value", F.explode(F.filter(rules, lambda r: r["of_file"] == F.col("set"))).alias("r")).select("path", "value", "r.set", "r.kind", "r.base")
-    met = asked.join(values, ["set", "value"]).select("path", "group_path", "kind", "base").distinct()
-    sure = met.filter(~F.col("kind").isin("actor", "title"))
-    actor = met.filter("kind = 'actor'").select("path", "group_path")
-    titled = actor.join(met.filter("kind = 'title'"), ["path", "group_path"])
-    titles = lambda d, key: d.filter("set = 'base_titles'").filter(F.length("value") >= SHORTEST).select(key, F.col("value").alias("title"))
-    f, g = titles(of_file, "path"), titles(values, "group_path")
-    owned = lambda d, t, key: d.filter(F.col("set").isin("actors", "groups")).select(key, F.concat_ws(":", "set", "value").alias("who")).join(t, key).select("who", "title").distinct()
-    scores = strong_pairs(owned(of_file, f, "path"), owned(values, g, "group_path"))
-    near = actor.join(f.withColumnRenamed("title", "left"), "path").join(scores, "left").join(g.withColumnRenamed("title", "right"), ["group_path", "right"])
+    sure = asked.join(values, ["set", "value"]).select("path", "group_path", "kind", "base").distinct()
+    # An actor alone makes no pair: what meets are an actor's titles, equal ones and those that score as near.
+    owned = lambda d, key: d.filter(F.col("set").isin("actors", "groups")).select(key, F.concat_ws(":", "set", "value").alias("who")).join(d.filter("set = 'base_titles'").select(key, F.col("value").alias("title")), key)
+    f, g = owned(of_file, "path"), owned(values, "group_path")
+    titled = f.join(g, ["who", "title"]).select("path", "group_path", F.lit("title").alias("kind"), F.lit(96).alias("base")).distinct()
+    long = F.length("title") >= SHORTEST
+    scores = strong_pairs(f.filter(long), g.filter(long))
+    near = f.withColumnRenamed("title", "left").join(scores, ["who", "left"]).join(g.withColumnRenamed("title", "right"), ["who", "right"])
     best = near.groupBy("path", "group_path").agg(F.max_by("score", "score.value").alias("score"))
     fuzzy = best.filter(is_strong_merge(F.col("score"))).select("path", "group_path", F.lit("fuzzy-title").alias("kind"), merge_confidence(F.col("score.value")).alias("base"))
     pairs = sure.unionByName(titled).unionByName(fuzzy)

@@ -11,10 +11,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.window import Window
 
 from lakeloom.functions.text import comparable_length
+from lakeloom.operators.numbering import neighbours
 from lakeloom.operators.skew import dealt_apart
+from lakeloom.operators.working import stored
 
 #: Words for editions that hold everything.
 COMPLETE = r"(?i)(?<![A-Za-z0-9_])(?:complete|final|compilation|compiled|collection|all in one)(?![A-Za-z0-9_])|완전판|합본|총집편|총集編|総集編|合集|まとめ"
@@ -60,59 +61,83 @@ def dominant(members: DataFrame) -> DataFrame:
     return both.filter(has_advantage(F.col("one.pages"), F.col("one.volume"), F.col("two.pages"), F.col("two.volume"))).select("group_key", F.col("one.path").alias("path"))
 
 
-def _before(a, b) -> int:
-    """Which of two files is preferred: -1 for the first.  The rule is not transitive, so it cannot be an ordering key."""
+#: What two files are compared by, and what stands in for nulls.
+_COMPARED = {"pages": 0, "volume": 0, "edition_score": 0, "modified_ms": 0, "metadata_score": 0, "name": ""}
+#: What decides where neither file is clearly ahead, the greater first.
+_USUAL = ("edition_score", "modified_ms", "volume", "metadata_score", "name", "path")
+
+
+def is_preferred(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether one file is preferred to another: clearly ahead, or else first by what usually decides.  Of two that are both ahead in something neither is."""
+    ahead = lambda x, y: has_advantage(x["pages"], x["volume"], y["pages"], y["volume"])
+    usual = F.struct(*(a[c].alias(c) for c in _USUAL)) > F.struct(*(b[c].alias(c) for c in _USUAL))
+    return ~ahead(b, a) & (ahead(a, b) | usual)
+
+
+def _stronger(a: dict, b: dict) -> dict:
+    """The same for two rows at hand; of two of which neither is preferred the first by what usually decides."""
 
     def ahead(x, y) -> bool:
         pages = x["pages"] > y["pages"] and (x["pages"] >= y["pages"] + PAGE_DELTA or x["pages"] >= PAGE_RATIO * y["pages"])
         return pages or (x["volume"] > y["volume"] and (x["volume"] >= SIZE_RATIO * y["volume"] or x["volume"] - y["volume"] >= SIZE_DELTA))
 
-    if ahead(b, a):
-        return 1
-    if ahead(a, b):
-        return -1
-    for f in ("edition_score", "modified_ms", "volume", "metadata_score"):
-        if a[f] != b[f]:
-            return -1 if a[f] > b[f] else 1
-    return (a["name"] < b["name"]) - (a["name"] > b["name"])
+    of_a, of_b = ahead(a, b), ahead(b, a)
+    if of_a != of_b:
+        return a if of_a else b
+    return max(a, b, key=lambda r: tuple(r[c] for c in _USUAL))
 
 
-#: What two files are compared by, and what stands in for nulls.
-_COMPARED = {"pages": 0, "volume": 0, "edition_score": 0, "modified_ms": 0, "metadata_score": 0, "name": ""}
+def _last_standing(rows: DataFrame, keys: tuple[str, ...], held: int) -> DataFrame:
+    """For each key the row that is left when rows meet one after the other, first in every task and then all.
 
+    A file that is preferred to every other one of its key is left, whatever the order.
+    A task holds one row a key, and hands them on when it holds ``held``.
+    """
 
-def preferred(members: DataFrame, *keys: str, block: int = 4096) -> DataFrame:
+    def of_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[tuple, dict] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                key = tuple(row[k] for k in keys)
+                best[key] = _stronger(best[key], row) if key in best else row
+                if len(best) >= held:
+                    yield pa.RecordBatch.from_pylist(list(best.values()), schema=layout)
+                    best.clear()
+        if best:
+            yield pa.RecordBatch.from_pylist(list(best.values()), schema=layout)
+
+    def of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = (r for b in batches for r in b.to_pylist())
+        left = (functools.reduce(_stronger, run) for _, run in itertools.groupby(each, key=operator.itemgetter(*keys)))
+        while chunk := list(itertools.islice(left, 4096)):
+            yield pa.RecordBatch.from_pylist(chunk, schema=layout)
+
+    layout = to_arrow_schema(rows.schema)
+    return rows.mapInArrow(of_task, rows.schema).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(of_runs, rows.schema)
+
+
+def preferred(members: DataFrame, *keys: str, held: int = 65_536) -> DataFrame:
     """The preferred file of each bucket that ``keys`` tell: ``keys, path``.
 
-    The preference between two files is no order, so a bucket is sorted by comparing,
-    in Python; a larger one than ``block`` is dealt by hash into as many blocks
-    as the root of its size, and the first of each block are sorted again.  A file
-    that is preferred to every other one of its bucket is found in both ways; where
-    preferences run in circles, the circle's first by path or by block is taken.
-    Nulls count as 0 or as the empty name; rows that are repeated count once; rows with
-    a null key are left out.
+    That is the file that is preferred to every other one of its bucket.  The preference
+    between two files is no order, and where it runs in circles there is no such file:
+    then the first by what usually decides (edition, time, bytes, metadata, name, path)
+    is taken.  Both hang on the bucket's files alone.  The only candidate for the first
+    is the last one standing of an elimination, which is mergeable, and one pass
+    compares it with all others.  Nulls count as 0 or as the empty name; rows that are
+    repeated count once; rows with a null key are left out.
 
     ``members`` has ``path, name, pages, volume, edition_score, modified_ms, metadata_score``.
     """
-    rows = members.select(*keys, "path", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in _COMPARED.items())).distinct()
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
-    blocks = F.when(F.col("_n") <= block, 1).otherwise(F.ceil(F.sqrt("_n"))).cast("bigint")
-    rows = rows.join(dealt_apart(sizes, *keys), list(keys)).select(*rows.columns, F.pmod(F.xxhash64("path"), blocks).alias("_block"))
-
-    def firsts(part: DataFrame, by: tuple[str, ...]) -> DataFrame:
-        """The first row of each run of equal ``by``; a run is a block, so it is bounded."""
-
-        def of_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            each = (r for b in batches for r in b.to_pylist())
-            best = (sorted(run, key=functools.cmp_to_key(_before))[0] for _, run in itertools.groupby(each, key=operator.itemgetter(*by)))
-            while chunk := list(itertools.islice(best, 4096)):
-                yield pa.RecordBatch.from_pylist(chunk, schema=layout)
-
-        layout = to_arrow_schema(part.schema)
-        return part.repartition(*by).sortWithinPartitions(*by, "path").mapInArrow(of_runs, part.schema)
-
-    of_block = firsts(rows, (*keys, "_block"))
-    return firsts(of_block, keys).select(*keys, "path")
+    rows = members.filter(functools.reduce(operator.and_, (F.col(k).isNotNull() for k in keys)))
+    rows = stored(rows.select(*keys, "path", *(F.coalesce(c, F.lit(v)).alias(c) for c, v in _COMPARED.items())).distinct(), "compared")
+    fields = [c for c in rows.columns if c not in keys]
+    champion = _last_standing(rows, keys, held).select(*keys, F.struct(*fields).alias("_best"))
+    met = rows.join(dealt_apart(champion, *keys), list(keys))
+    best, other = {c: F.col(f"_best.{c}") for c in fields}, {c: F.col(c) for c in fields}
+    same = F.struct(*(F.col(c) for c in fields)) == F.col("_best")
+    first = F.max(F.struct(*_USUAL))["path"]
+    return met.groupBy(*keys).agg(F.when(F.bool_and(same | is_preferred(best, other)), F.max("_best.path")).otherwise(first).alias("path"))
 
 
 def duplicate_recommendation(members: DataFrame) -> DataFrame:
@@ -173,9 +198,10 @@ def smaller_or_older(members: DataFrame) -> DataFrame:
 
 
 def next_selected(rows: DataFrame, removed: DataFrame, *, part: str = "group_key", order: str = "ord") -> DataFrame:
-    """For each removed row the one to select next: the next that stays in display order, else the one before."""
-    after = Window.partitionBy(part).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    before = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    marked = rows.join(removed.select("path").withColumn("_gone", F.lit(True)), "path", "left")
-    left = F.when(F.col("_gone").isNull(), F.col("path"))
-    return marked.withColumn("next", F.coalesce(F.first(left, ignorenulls=True).over(after), F.last(left, ignorenulls=True).over(before))).filter("_gone").select(part, "path", "next")
+    """For each removed row the one to select next: the next that stays in display order, else the one before.
+
+    A group with very many rows is looked at in blocks.
+    """
+    marked = rows.join(removed.select("path").distinct().withColumn("_gone", F.lit(True)), "path", "left")
+    around = neighbours(marked, part, [order], F.when(F.col("_gone").isNull(), F.col("path")))
+    return around.filter("_gone").select(part, "path", F.coalesce("after", "before").alias("next"))

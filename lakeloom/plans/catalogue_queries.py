@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeloom.functions import paths, signatures, similarity, text, values
-from lakeloom.operators import catalog, grouping, linkage, recommend, reports, review
+from lakeloom.operators import catalog, grouping, linkage, recommend, reports, review, selection
 from lakeloom.operators.working import spread, stored
 from lakeloom.plans import moves
 from lakeloom.plans.registry import query, table
@@ -556,11 +556,13 @@ _PREFERRED_SQL = f"""WITH {PARSED_SQL}, {_CODE_SQL},
                  CASE WHEN p.ord % 5 = 0 THEN 22 ELSE 0 END + CASE WHEN p.ord % 3 = 0 THEN 8 ELSE 0 END AS edition
           FROM (SELECT parsed.*, files.name FROM parsed JOIN files USING (path)) p JOIN by_code USING (code)),
     k AS (SELECT group_key, 'code:' || code AS bucket, * EXCLUDE (group_key) FROM f UNION ALL SELECT group_key, 'content:' || content, * EXCLUDE (group_key) FROM f UNION ALL SELECT group_key, 'series:' || series, * EXCLUDE (group_key) FROM f),
-    ahead AS (SELECT a.group_key, a.bucket, a.path AS a, b.path AS b, (a.edition, a.modified_ms, a.volume, a.name) > (b.edition, b.modified_ms, b.volume, b.name) AS usual,
+    ahead AS (SELECT a.group_key, a.bucket, a.path AS a, b.path AS b, (a.edition, a.modified_ms, a.volume, a.name, a.path) > (b.edition, b.modified_ms, b.volume, b.name, b.path) AS usual,
                      (a.pages > b.pages AND (a.pages >= b.pages + 5 OR a.pages >= 1.2e0 * b.pages)) OR (a.volume > b.volume AND (a.volume >= 1.35e0 * b.volume OR a.volume - b.volume >= 20971520)) AS clear,
                      (b.pages > a.pages AND (b.pages >= a.pages + 5 OR b.pages >= 1.2e0 * a.pages)) OR (b.volume > a.volume AND (b.volume >= 1.35e0 * a.volume OR b.volume - a.volume >= 20971520)) AS clear_back
               FROM k a JOIN k b ON a.group_key = b.group_key AND a.bucket = b.bucket AND a.path <> b.path),
-    best AS (SELECT group_key, bucket, a AS path FROM ahead GROUP BY 1, 2, 3 HAVING bool_and(NOT clear_back AND (clear OR usual)))"""
+    first AS (SELECT group_key, bucket, a AS path FROM ahead GROUP BY 1, 2, 3 HAVING bool_and(NOT clear_back AND (clear OR usual))),
+    best AS (SELECT * FROM first UNION ALL
+             SELECT group_key, bucket, arg_max(path, (edition, modified_ms, volume, name, path)) FROM (SELECT * FROM k SEMI JOIN ahead ON k.group_key = ahead.group_key AND k.bucket = ahead.bucket) ANTI JOIN first USING (group_key, bucket) GROUP BY 1, 2)"""
 
 
 def _preference_rows(spark, sf_dir):
@@ -590,9 +592,14 @@ def scr_review_status(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", s.alias("status"))
 
 
-@query("srt_sample", "SELECT c_custkey, c_name FROM customer ORDER BY sha256(c_custkey || ':42'), c_custkey LIMIT 20")
+@query(
+    "srt_sample",
+    """WITH m AS (SELECT c_custkey, c_name, sha256(c_custkey || ':42') AS draw FROM customer WHERE c_mktsegment <> 'BUILDING'), s AS (SELECT * FROM m ORDER BY draw LIMIT 20)
+       SELECT c_custkey, c_name, CAST(row_number() OVER (ORDER BY sha256(draw || ':shuffle:42')) - 1 AS INTEGER) AS position, (SELECT count(*) FROM m) AS matched_count FROM s""",
+)
 def srt_sample(spark, sf_dir):
-    return review.sampled(table(spark, sf_dir, "customer"), "c_custkey", review_limit(20), 42).select("c_custkey", "c_name")
+    rows = table(spark, sf_dir, "customer").filter("c_mktsegment <> 'BUILDING'").select("c_custkey", "c_name")
+    return selection.sampled(rows, F.col("c_custkey"), review_limit(20), 42)
 
 
 def review_limit(n: int | None) -> int:
@@ -610,6 +617,32 @@ def srt_by_number(spark, sf_dir):
     return review.by_number(o, "k", 500, descending=True).select(F.col("k").cast("bigint").alias("o_orderkey"))
 
 
+_CACHE_SQL = """
+touches AS (SELECT l_orderkey AS k, max(CAST(l_shipdate AS DATE)) AS t FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 3 = 0 GROUP BY 1),
+used AS (SELECT o_orderkey AS k, greatest(CAST(o_orderdate AS DATE), t) AS used_on FROM orders LEFT JOIN touches ON o_orderkey = k WHERE o_orderkey % 7 <> 0),
+kept AS (SELECT k, used_on FROM used ORDER BY used_on DESC, k LIMIT 700),
+again AS (SELECT k, CASE WHEN k % 2 = 0 THEN DATE '2030-01-01' ELSE used_on END AS used_on FROM kept)
+"""
+
+
+@query("src_cache_touch", f"WITH {_CACHE_SQL} SELECT k, used_on FROM (SELECT * FROM again ORDER BY used_on DESC, k LIMIT 400)")
+def src_cache_touch(spark, sf_dir):
+    """Read a cache, touch what is used, prune it, touch and prune it again."""
+    lines = table(spark, sf_dir, "orders").select(F.when(F.col("o_orderkey") % 7 == 0, F.lit("{broken")).otherwise(F.to_json(F.struct(F.col("o_orderkey").alias("k"), F.col("o_orderdate").cast("date").alias("used_on")))).alias("line"))
+    cache, _ = catalog.parsed_records(lines, "k bigint, used_on date", key="k")
+    log = table(spark, sf_dir, "lineitem").filter("l_linenumber = 1 AND l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), F.col("l_shipdate").cast("date").alias("used_on"))
+    kept, log = catalog.least_recently_used(cache, log, 700, key="k", at="used_on")
+    log = catalog.touched(log, kept.filter("k % 2 = 0"), F.lit("2030-01-01"), key="k", at="used_on")
+    return catalog.least_recently_used(kept, log, 400, key="k", at="used_on")[0]
+
+
+@query("src_cache_dropped", "SELECT count(*) FILTER (o_orderkey % 7 = 0 OR o_orderkey % 5 = 0) AS dropped FROM orders")
+def src_cache_dropped(spark, sf_dir):
+    k = F.col("o_orderkey")
+    lines = table(spark, sf_dir, "orders").select(F.when(k % 7 == 0, F.lit("[1]x")).when(k % 5 == 0, F.lit('{"at": "2024-01-01"}')).otherwise(F.to_json(F.struct(k.alias("k")))).alias("line"))
+    return catalog.parsed_records(lines, "k bigint, at date", key="k")[1]
+
+
 @query("srt_cache_prune", "SELECT o_orderkey FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 1000")
 def srt_cache_prune(spark, sf_dir):
     return catalog.pruned_cache(table(spark, sf_dir, "orders"), 1000, by="o_orderdate", key="o_orderkey").select("o_orderkey")

@@ -280,10 +280,10 @@ def prj_target_preview(spark, sf_dir):
     return checked_rows(spark, sf_dir).select("path", review_rows.target_preview("/in").alias("preview"))
 
 
-@query("agg_review_counts", f"WITH {_REVIEW_SQL} SELECT count(*) AS total, count(*) FILTER (has_issue) AS with_issues, count(*) FILTER (has_error) AS with_error, count(*) FILTER (favorite_folder IS NOT NULL) AS favorite FROM rows")
+@query("agg_review_counts", f"WITH {_REVIEW_SQL}, s AS (SELECT *, CASE WHEN has_error OR has_issue OR duplicate_action IN ('skip', 'keep') THEN 'review-needed' WHEN duplicate_target IS NOT NULL AND duplicate_action IS NULL THEN 'duplicate' WHEN group_path IS NOT NULL THEN 'group-merge' ELSE 'ready' END AS status FROM rows) SELECT count(*) AS total, count(*) FILTER (status = 'ready') AS ready, count(*) FILTER (status = 'duplicate') AS duplicate, count(*) FILTER (status = 'group-merge') AS group_merge, count(*) FILTER (status = 'review-needed') AS review_needed, count(*) FILTER (status = 'checking') AS checking, count(*) FILTER (has_issue) AS with_issues, count(*) FILTER (has_error) AS with_error, count(*) FILTER (favorite_folder IS NOT NULL) AS favorite FROM s")
 def agg_review_counts(spark, sf_dir):
     rows = review_rows.status_of(checked_rows(spark, sf_dir)).withColumns({"favorite": F.col("favorite_folder").isNotNull(), "n_issues": F.size("issues")})
-    return reports.review_counts(rows).select("total", "with_issues", "with_error", "favorite")
+    return reports.review_counts(rows)
 
 
 @query("agg_direct_moves", f"WITH {_REVIEW_SQL}, s AS (SELECT duplicate_action AS a, use_group AS g FROM rows) SELECT count(*) AS total, count(*) FILTER (a = 'skip') AS skipped, count(*) FILTER (a = 'keep') AS kept, count(*) FILTER (a = 'overwrite') AS overwritten, count(*) FILTER (a IS NULL OR a = 'overwrite') AS archive, count(*) FILTER (g) AS grouped, greatest(count(*) FILTER (a IS NULL OR a = 'overwrite') - count(*) FILTER (g), 0) AS direct FROM s")
@@ -334,16 +334,71 @@ def scr_next_selected(spark, sf_dir):
     return recommend.next_selected(rows, rows.filter("path % 3 = 0"))
 
 
-@query("flt_tabs", f"WITH {_REVIEW_SQL} SELECT path FROM rows WHERE favorite_folder IS NOT NULL")
+_STATUS_SQL = f"""{_REVIEW_SQL},
+s AS (SELECT *, CASE WHEN has_error OR has_issue THEN 'review-needed' WHEN duplicate_target IS NOT NULL AND duplicate_action IN ('skip', 'keep') THEN 'review-needed' WHEN duplicate_target IS NOT NULL AND duplicate_action IS NULL THEN 'duplicate'
+      WHEN group_path IS NOT NULL AND use_group THEN 'group-merge' ELSE 'ready' END AS status FROM rows)
+"""
+
+
+@query(
+    "flt_tabs",
+    f"""WITH {_STATUS_SQL} SELECT path, true AS "all", status = 'ready' AND favorite_folder IS NULL AS ready, favorite_folder IS NOT NULL AS favorite, duplicate_target IS NOT NULL AS duplicate, group_path IS NOT NULL AS group_merge,
+        status = 'review-needed' OR (duplicate_target IS NOT NULL AND duplicate_action IS NULL) AS review_needed FROM s""",
+)
 def flt_tabs(spark, sf_dir):
-    rows = checked_rows(spark, sf_dir).withColumns({"favorite": F.col("favorite_folder").isNotNull(), "duplicate": F.col("duplicate_target").isNotNull()})
-    return rows.filter(review.matches_tab("favorite")).select("path")
+    rows = review_rows.status_of(checked_rows(spark, sf_dir))
+    return rows.select("path", *(review.matches_tab(t).alias(t.replace("-", "_")) for t in ("all", "ready", "favorite", "duplicate", "group-merge", "review-needed")))
 
 
-@query("evd_merged_issues", "SELECT o_custkey AS path, 'k' AS kind, o_orderstatus AS field, 'm' AS message FROM orders UNION SELECT o_custkey, 'k', 'F', 'm' FROM orders")
+@query(
+    "agg_tab_counts",
+    f"""WITH {_STATUS_SQL} SELECT count(*) AS "all", count(*) FILTER (status = 'ready' AND favorite_folder IS NULL) AS ready, count(*) FILTER (favorite_folder IS NOT NULL) AS favorite, count(*) FILTER (duplicate_target IS NOT NULL) AS duplicate, count(*) FILTER (group_path IS NOT NULL) AS group_merge,
+        count(*) FILTER (status = 'review-needed' OR (duplicate_target IS NOT NULL AND duplicate_action IS NULL) OR duplicate_action IN ('skip', 'keep')) AS review_needed FROM s""",
+)
+def agg_tab_counts(spark, sf_dir):
+    return review.tab_counts(review_rows.status_of(checked_rows(spark, sf_dir)))
+
+
+@query(
+    "evd_merged_issues",
+    """WITH a AS (SELECT o_custkey AS path, 'k' AS kind, o_orderstatus AS field, 'm' AS message, CASE WHEN o_orderkey % 2 = 0 THEN ['x', 'y'] ELSE ['y', 'x'] END AS c, CASE WHEN o_orderkey % 3 = 0 THEN '/g' END AS blocked_group_path FROM orders),
+       r AS (SELECT *, 'a' AS source FROM a UNION ALL SELECT path, kind, 'F', message, c, coalesce(blocked_group_path, ''), 'b' FROM a)
+       SELECT path, kind, field, message, array_to_string(c, ',') AS candidate_paths, coalesce(blocked_group_path, '') AS blocked_group_path, max(source) AS source FROM r GROUP BY ALL""",
+)
 def evd_merged_issues(spark, sf_dir):
-    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.lit("k").alias("kind"), F.col("o_orderstatus").alias("field"), F.lit("m").alias("message"))
-    return review.merged_issues(a, a.withColumn("field", F.lit("F")))
+    paths_ = F.when(F.col("o_orderkey") % 2 == 0, F.array(F.lit("x"), F.lit("y"))).otherwise(F.array(F.lit("y"), F.lit("x")))
+    a = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("path"), F.lit("k").alias("kind"), F.col("o_orderstatus").alias("field"), F.lit("m").alias("message"), paths_.alias("candidate_paths"), F.when(F.col("o_orderkey") % 3 == 0, "/g").alias("blocked_group_path"))
+    b = a.withColumns({"field": F.lit("F"), "blocked_group_path": F.coalesce("blocked_group_path", F.lit(""))})
+    found = review.merged_issues(a.withColumn("source", F.lit("a")), b.withColumn("source", F.lit("b")))
+    return found.withColumns({"candidate_paths": F.array_join("candidate_paths", ","), "blocked_group_path": F.coalesce("blocked_group_path", F.lit(""))})
+
+
+_QUEUES_SQL = """
+g AS (SELECT s_suppkey AS review_key, s_suppkey % 2 AS content_signature, CASE s_suppkey % 4 WHEN 0 THEN 'cleanup' WHEN 1 THEN 'series' WHEN 2 THEN 'merge' ELSE 'suspicious' END AS queue,
+             CASE WHEN s_suppkey % 5 = 0 AND s_suppkey % 2 = 0 THEN 'kept' END AS review_status FROM supplier)
+"""
+
+
+def queue_tables(spark: SparkSession, sf_dir: str):
+    """Groups, and reviews of which some are of what the groups were before."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier")
+    groups = s.select(k.alias("review_key"), (k % 2).alias("content_signature"), F.expr("CASE s_suppkey % 4 WHEN 0 THEN 'cleanup' WHEN 1 THEN 'series' WHEN 2 THEN 'merge' ELSE 'suspicious' END").alias("queue"))
+    return groups, s.filter("s_suppkey % 5 = 0").select(k.alias("review_key"), F.lit(0).alias("content_signature"), F.lit("kept").alias("status"))
+
+
+@query(
+    "agg_queue_view",
+    f"""WITH {_QUEUES_SQL} SELECT count(*) FILTER (queue = 'cleanup') AS cleanup, count(*) FILTER (queue = 'series') AS series, count(*) FILTER (queue = 'merge') AS "merge", count(*) FILTER (queue = 'suspicious') AS suspicious,
+        count(*) FILTER (review_status IS NOT NULL) AS hidden_reviewed, count(*) FILTER (review_status IS NULL AND queue = 'suspicious') AS hidden_suspicious FROM g""",
+)
+def agg_queue_view(spark, sf_dir):
+    return review.queue_view(*queue_tables(spark, sf_dir), queue="safe")[1]
+
+
+@query("flt_queue_view", f"WITH {_QUEUES_SQL} SELECT review_key, queue, review_status FROM g WHERE queue IN ('cleanup', 'series')")
+def flt_queue_view(spark, sf_dir):
+    return review.queue_view(*queue_tables(spark, sf_dir), queue="safe", include_reviewed=True)[0].select("review_key", "queue", "review_status")
 
 
 @query("flt_visible_groups", "SELECT s_suppkey AS review_key FROM supplier WHERE s_suppkey % 4 IN (0, 1) AND NOT (s_suppkey % 5 = 0 AND s_suppkey % 2 = 0)")

@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from lakeloom.functions import paths
+from lakeloom.operators.numbering import numbered
 
 
 def unique_targets(rows: DataFrame, taken: DataFrame, *, target: str = "target") -> DataFrame:
     """Targets that clash, with each other or with what exists, get ``_1``, ``_2``… before the extension.
 
     The numbers that exist already are counted per stem first, so new numbers start
-    behind the greatest.
+    behind the greatest.  A target that very many rows want is numbered in blocks.
     """
     stem, ext = F.regexp_replace(target, r"\.[^/.]+\z", ""), F.regexp_extract(target, r"(\.[^/.]+)\z", 1)
     held = taken.select(F.col("path").alias("_p"))
@@ -21,12 +21,11 @@ def unique_targets(rows: DataFrame, taken: DataFrame, *, target: str = "target")
     number = F.regexp_extract(F.regexp_replace("_p", r"\.[^/.]+\z", ""), r"_(\d+)\z", 1).try_cast("int")
     by_number = held.filter(number.isNotNull()).groupBy(paths.comparable(F.concat(base, F.regexp_extract("_p", r"(\.[^/.]+)\z", 1))).alias("_t")).agg(F.max(number).alias("_most"))
     exact = held.select(paths.comparable(F.col("_p")).alias("_t"), F.lit(True).alias("_held")).distinct()
-    w = Window.partitionBy(paths.comparable(F.col(target))).orderBy("source")
-    t = paths.comparable(F.col(target)) == F.col("_t")
-    ranked = rows.withColumn("_k", F.row_number().over(w)).join(exact, t, "left").drop("_t").join(by_number, t, "left").drop("_t")
+    t = F.col("_wants") == F.col("_t")
+    ranked = numbered(rows.withColumn("_wants", paths.comparable(F.col(target))), ["_wants"], ["source"], "_k").join(exact, t, "left").drop("_t").join(by_number, t, "left").drop("_t")
     first = F.col("_k") - 1 + F.when(F.col("_held"), 1).otherwise(0)
     n = F.when(first > 0, F.coalesce("_most", F.lit(0)) + first)
-    return ranked.withColumn(target, F.when(n.isNull(), F.col(target)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))).drop("_k", "_held", "_most")
+    return ranked.withColumn(target, F.when(n.isNull(), F.col(target)).otherwise(F.concat(stem, F.lit("_"), n.cast("string"), ext))).drop("_k", "_wants", "_held", "_most")
 
 
 def move_plan(files: DataFrame, taken: DataFrame) -> DataFrame:

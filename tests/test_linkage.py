@@ -3,6 +3,8 @@
 import itertools
 import random
 
+from pyspark.sql import functions as F
+
 from lakeloom.functions.similarity import LEAST_STRONG, jaro_winkler_of, strong_pairs, title_score_of
 from lakeloom.operators.grouping import fuzzy_groups, fuzzy_pairs
 from lakeloom.operators.linkage import SETS, duplicate_candidates, duplicates, group_summaries, group_values, merge_candidates
@@ -23,7 +25,7 @@ def test_strong_pairs_against_all_pairs(spark):
     scores = {(a, b): title_score_of(a, b)["value"] for a, b in itertools.product(left, right) if a != b and min(len(a), len(b)) >= 8}
     expected = {p for p, v in scores.items() if v >= LEAST_STRONG}
     side = lambda titles: spark.createDataFrame([("x", t) for t in titles if len(t) >= 8], "who string, title string")
-    found = [(r["left"], r["right"]) for r in strong_pairs(side(left), side(right)).collect()]
+    found = [(r["left"], r["right"]) for r in strong_pairs(side(left), side(right)).filter("who = 'x'").collect()]
     assert len(found) == len(set(found)) and set(found) == expected
     assert ("able acre aged ajar " + long, long) in expected and ("ab cdefghijklmnop", "abc defghijklmnop") in expected
 
@@ -182,3 +184,42 @@ def test_title_score_by_hand():
         if balance < 0.58 and con < 0.8:
             value = min(value, 0.89)
         assert abs(s["value"] - value) < 1e-12 and abs(s["dice"] - dice) < 1e-12 and abs(s["jaccard"] - jac) < 1e-12 and abs(s["containment"] - con) < 1e-12
+
+
+def _most_rows(df):
+    """The rows that the operators of a plan put out when it ran, the greatest number."""
+    df.collect()
+    plan, most = df._jdf.queryExecution().executedPlan(), 0
+    pending = [plan]
+    while pending:
+        p = pending.pop()
+        if p.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
+            pending.append(p.executedPlan())
+            continue
+        if p.getClass().getSimpleName().endswith("QueryStageExec"):
+            pending.append(p.plan())
+            continue
+        metric = p.metrics().get("numOutputRows")
+        if metric.isDefined():
+            most = max(most, metric.get().value())
+        children = p.children()
+        pending += [children.apply(k) for k in range(children.size())]
+    return most
+
+
+def test_an_actor_alone_makes_no_pairs(spark):
+    """300 files and 300 groups of one actor, with unlike titles."""
+    rng = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    title = lambda: "the story of " + " ".join("".join(rng.choices(letters, k=9)) for _ in range(4))
+    row = lambda **of: [of.get(c, []) for c in SETS]
+    files = [(f"/f/{k}", k, *row(actors=["ann"], base_titles=[title()])) for k in range(300)]
+    groups = [(f"/g/{k}", k, "n", *row(actors=["ann"], base_titles=[title()])) for k in range(300)]
+    files[7][2 + SETS.index("base_titles")][:] = [groups[9][3 + SETS.index("base_titles")][0] + "s"]
+    arrays = ", ".join(f"{c} array<string>" for c in SETS)
+    f, m = spark.createDataFrame(files, "path string, ord int, " + arrays), spark.createDataFrame(groups, "group_path string, ord int, name string, " + arrays)
+    found = merge_candidates(f, m.select("group_path", "ord"), group_values(m))
+    assert [(r["path"], r["group_path"], r["kind"]) for r in found.collect()] == [("/f/7", "/g/9", "fuzzy-title")]
+    # As many as parts of titles are, where all pairs would be 90,000.
+    who = lambda d, key: d.select(F.lit("ann").alias("who"), F.explode("base_titles").alias("title"))
+    assert _most_rows(found) < 10_000 and _most_rows(strong_pairs(who(f, "path"), who(m, "group_path"))) < 10_000
