@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -29,6 +29,87 @@ def parse_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(t): int(r) for t, r in (line.split() for line in data.splitlines() if line)}
 
 
+class _Endings:
+    """Which tokens end at each place of a text, the longest first: an Aho-Corasick automaton of the tokens.
+
+    A state is the longest end of what was read that some token begins with.  Steps
+    that follow links are remembered, ``keep`` of them at most.
+    """
+
+    def __init__(self, tokens: dict[bytes, int], valid: Callable[[int], bool], keep: int = 2_000_000):
+        self.steps: dict[int, int] = {}  # by state and byte
+        self.valid, self.keep = valid, keep
+        whole: list[int | None] = [None]
+        order: list[tuple[int, int]] = []  # states with the state before, the shorter first
+        for data in sorted(tokens, key=len):
+            state = 0
+            for byte in data:
+                then = self.steps.get(state << 8 | byte)
+                if then is None:
+                    then = self.steps[state << 8 | byte] = len(whole)
+                    whole.append(None)
+                    order.append((then, state << 8 | byte))
+                state = then
+            whole[state] = tokens[data]
+        depth = [0] * len(whole)
+        self.link = [0] * len(whole)
+        for state, step in sorted(order, key=lambda o: o[0]):
+            depth[state] = depth[step >> 8] + 1
+        for state, step in sorted(order, key=lambda o: depth[o[0]]):
+            before = step >> 8
+            self.link[state] = self._after(self.link[before], step & 255) if before else 0
+        self.whole, self.depth = whole, depth
+        self.ends: dict[int, tuple[tuple[int, int], ...]] = {0: ()}
+
+    def _after(self, state: int, byte: int) -> int:
+        while (then := self.steps.get(state << 8 | byte)) is None:
+            if not state:
+                return 0
+            state = self.link[state]
+        return then
+
+    def step(self, state: int, byte: int) -> int:
+        """The step that ``steps`` does not have."""
+        then = self._after(state, byte)
+        if len(self.steps) < self.keep:
+            self.steps[state << 8 | byte] = then
+        return then
+
+    def ending(self, state: int) -> tuple[tuple[int, int], ...]:
+        """The tokens that are an end of the state, and their lengths; without those that are never encoded to themselves."""
+        if (found := self.ends.get(state)) is None:
+            rest, token = self.ending(self.link[state]), self.whole[state]
+            found = self.ends[state] = ((token, self.depth[state]), *rest) if token is not None and self.valid(token) else rest
+        return found
+
+
+class _Pieces(dict):
+    """Pieces and their ids; a piece that is not there is encoded.
+
+    When half of what may be kept is full it becomes the older half, and what was that
+    is forgotten; a piece of the older half that comes again moves to the new one.
+    """
+
+    def __init__(self, bpe: PrefixBpe):
+        self.bpe, self.held, self.older = bpe, 0, {}
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        bpe = self.bpe
+        if (ids := self.older.get(piece)) is None:
+            data = piece.encode("utf-8", "surrogatepass")
+            whole = bpe.ranks.get(data)
+            ids = (whole,) if whole is not None else tuple(bpe.encode(data))
+        if len(piece) <= bpe.longest_kept:
+            # About what the objects take: string, tuple, numbers and the entry.
+            self.held += 200 + 4 * len(piece) + 40 * len(ids)
+            if 2 * self.held > bpe.keep_bytes:
+                self.older = dict(self)
+                self.clear()
+                self.held = 0
+            self[piece] = ids
+        return ids
+
+
 class PrefixBpe:
     """Encodes bytes by ranks: lower ranks merge first, leftmost first among equals.
 
@@ -38,7 +119,7 @@ class PrefixBpe:
     input but for the text at hand.
     """
 
-    def __init__(self, ranks: dict[bytes, int], keep: int = 500_000, keep_bytes: int = 96 << 20, longest_kept: int = 64):
+    def __init__(self, ranks: dict[bytes, int], keep: int = 500_000, keep_bytes: int = 256 << 20, longest_kept: int = 64):
         self.ranks, self.keep, self.keep_bytes, self.longest_kept = ranks, keep, keep_bytes, longest_kept
         self.tokens = {r: t for t, r in ranks.items()}
         self.reach = max(map(len, ranks), default=1)
@@ -46,10 +127,10 @@ class PrefixBpe:
         for t in ranks:
             if len(t) > 1 and len(t) > self.longest.get(t[-2:], 1):
                 self.longest[t[-2:]] = len(t)
-        self._pairs: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[int, bool] = {}  # by both tokens in one number, which takes no tuple to look up
         self._alone: dict[int, bool] = {}
-        self._pieces: dict[str, tuple[int, ...]] = {}
-        self._held = 0
+        self._pieces = _Pieces(self)
+        self._endings: _Endings | None = None
 
     def merged(self, data: bytes) -> list[int]:
         """The encoding by merging step by step; for the few bytes of a token or two."""
@@ -70,10 +151,10 @@ class PrefixBpe:
 
     def together(self, a: int, b: int) -> bool:
         """Whether the two tokens' bytes are encoded to just them."""
-        if (ok := self._pairs.get((a, b))) is None:
+        if (ok := self._pairs.get(a << 32 | b)) is None:
             if len(self._pairs) >= self.keep:
                 self._pairs.clear()
-            ok = self._pairs[a, b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
+            ok = self._pairs[a << 32 | b] = self.merged(self.tokens[a] + self.tokens[b]) == [a, b]
         return ok
 
     def last_token(self, data: bytes | bytearray, end: int, last: list[int]) -> int:
@@ -86,21 +167,28 @@ class PrefixBpe:
         raise ValueError("the vocabulary lacks a byte")
 
     def last_tokens(self, data: bytes) -> list[int]:
-        """For each prefix of ``data`` its last token; a filler at 0.  The loop of last_token, in one place for speed."""
-        ranks, pairs, longest, last = self.ranks.get, self._pairs.get, self.longest.get, [-1]
-        for end in range(1, len(data) + 1):
-            size = longest(data[end - 2 : end] if end > 1 else b"", 1)
-            start = end - size if size < end else 0
-            while True:
-                token = ranks(data[start:end])
-                if token is not None:
-                    ok = pairs((last[start], token)) if start else self.alone(token)
-                    if ok or ok is None and self.together(last[start], token):
-                        last.append(token)
-                        break
-                start += 1
-                if start == end:
-                    raise ValueError("the vocabulary lacks a byte")
+        """For each prefix of ``data`` its last token; a filler at 0.
+
+        The loop of ``last_token``, with the tokens that end at each place from an
+        automaton, which is made when it is first asked for.
+        """
+        if (endings := self._endings) is None:
+            endings = self._endings = _Endings(self.ranks, self.alone)
+        steps, ends, pairs, last, state = endings.steps.get, endings.ends.get, self._pairs.get, [-1], 0
+        for end, byte in enumerate(data, 1):
+            then = steps(state << 8 | byte)
+            state = endings.step(state, byte) if then is None else then
+            tokens = ends(state)
+            for token, size in endings.ending(state) if tokens is None else tokens:
+                if size == end:
+                    break
+                before = last[end - size]
+                ok = pairs(before << 32 | token)
+                if ok or ok is None and self.together(before, token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte")
+            last.append(token)
         return last
 
     def read_back(self, last: list[int]) -> list[int]:
@@ -116,22 +204,11 @@ class PrefixBpe:
 
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         """A piece of text; one that is itself a token is that token."""
-        if (ids := self._pieces.get(piece)) is None:
-            data = piece.encode("utf-8", "surrogatepass")
-            whole = self.ranks.get(data)
-            ids = (whole,) if whole is not None else tuple(self.encode(data))
-            if len(piece) <= self.longest_kept:
-                # About what the objects take: string, tuple, numbers and the entry.
-                self._held += 200 + 4 * len(piece) + 40 * len(ids)
-                if self._held > self.keep_bytes:
-                    self._pieces.clear()
-                    self._held = 0
-                self._pieces[piece] = ids
-        return ids
+        return self._pieces[piece]
 
     def encode_text(self, pattern: regex.Pattern, text: str) -> list[int]:
         """Each match of the pattern separately."""
-        return list(chain.from_iterable(map(self.encode_piece, pattern.findall(text))))
+        return list(chain.from_iterable(map(self._pieces.__getitem__, pattern.findall(text))))
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
