@@ -16,6 +16,7 @@ many pairs as there are, all vectors are compared block by block instead.
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Iterator
 
@@ -30,20 +31,19 @@ from lakeloom.llm.common import by_slices, dealt_apart, dropped, written
 from lakeloom.llm.components import components
 
 
-def unit_vectors(batch: pa.RecordBatch, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which rows can be compared, and these scaled to length 1 in double precision."""
-    column = batch.column("embedding")
-    good = np.zeros(batch.num_rows, bool)
-    out = []
-    for k, v in enumerate(column.to_pylist()):
-        if v is not None and len(v) == dim and None not in v:
+def unit_vectors(batch: pa.RecordBatch) -> list[np.ndarray | None]:
+    """The rows' vectors scaled to length 1 in double precision; None where there is nothing to compare."""
+    out: list[np.ndarray | None] = []
+    for v in batch.column("embedding").to_pylist():
+        unit = None
+        if v and None not in v:
             x = np.array(v, np.float64)
-            top = np.abs(x).max(initial=0.0)
+            top = np.abs(x).max()
             if np.isfinite(top) and top > 0:
                 x = x / top
-                good[k] = True
-                out.append(x / np.sqrt(x @ x))
-    return good, np.array(out).reshape(len(out), dim)
+                unit = x / np.sqrt(x @ x)
+        out.append(unit)
+    return out
 
 
 def centres_of(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
@@ -253,7 +253,10 @@ def _assigned(units: DataFrame, centres: np.ndarray, overlap: int) -> DataFrame:
         c = shared.value
         for batch in by_slices(batches):
             x = np.array(batch.column("unit").to_pylist())
-            near = np.sort(np.argsort(-(x @ c.T), axis=1, kind="stable")[:, :overlap], axis=1).astype(np.int32)
+            # So many rows at a time that their products with all centres stay small.
+            rows = max(1, (8 << 20) // len(c))
+            near = np.concatenate([np.argpartition(-(x[a : a + rows] @ c.T), min(overlap, len(c)) - 1, axis=1)[:, :overlap] for a in range(0, len(x), rows)])
+            near = np.sort(near, axis=1).astype(np.int32)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(near), pa.list_(pa.int32()))], names=names)
 
     return units.mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in units.schema) + ", shards array<int>")
@@ -265,10 +268,9 @@ def _linked(units: DataFrame, centres: np.ndarray, overlap: int, threshold: floa
     ``exact`` compares all vectors of a shard, part by part, without a graph.
     """
     rows = written(_assigned(units, centres, overlap), "assigned")
-    sizes = {r["shard"]: r["n"] for r in rows.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    # A shard with more than a block of vectors is dealt into parts, and every part of it is searched by all of them.
-    parts = F.element_at(F.create_map(*(F.lit(x) for s, n in sorted(sizes.items()) for x in (s, max(1, math.ceil(n / block))))), F.col("shard"))
-    members = rows.withColumn("shard", F.explode("shards")).withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    # A shard with more than a block of vectors is dealt into parts, and every part of it is searched by all of them.  The table has a row a shard, max_shards at most.
+    sizes = rows.select(F.explode("shards").alias("shard")).groupBy("shard").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    members = rows.withColumn("shard", F.explode("shards")).join(F.broadcast(sizes), "shard").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     kind = units.schema["id"].dataType.simpleString()
 
     def build(group: pd.DataFrame) -> pd.DataFrame:
@@ -369,58 +371,97 @@ def recall(units: DataFrame, counts: DataFrame, joined: DataFrame, threshold: fl
     return float(min(means, default=1.0))
 
 
+def _of_small_lengths(units: DataFrame, threshold: float) -> DataFrame:
+    """The same as ``_linked`` for lengths of ``FEW`` vectors at most (``dim``): there the graph would be complete, and its search a product."""
+    kind = units.schema["id"].dataType.simpleString()
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id")
+        ids, x, copies = group["id"].to_numpy(), np.array(group["unit"].tolist()), group["copies"].to_numpy()
+        n, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        for a in range(0, len(ids), 512):
+            there = x[a : a + 512] @ x.T >= threshold
+            there[np.arange(len(there)), np.arange(a, a + len(there))] = False
+            n[a : a + 512] = there @ copies
+            q, v = np.nonzero(there)
+            tied = np.flatnonzero(label != np.arange(len(ids)))
+            label = _least_labels(len(ids), np.concatenate([q + a, tied]), np.concatenate([v, label[tied]]))
+        return pd.DataFrame({"id": ids, "n": n, "low": ids[label]})[n > 0]
+
+    return units.select("dim", "id", "unit", "copies").groupBy("dim").applyInPandas(run, f"id {kind}, n bigint, low {kind}")
+
+
+#: Fixed value: so many vectors are all neighbours of each other.
+FEW = 24
+#: Fixed value: bytes of vectors that the driver takes to find centres, and of centres that are broadcast.
+CENTRE_BYTES = 128 << 20
+
+
+def _of_one_length(units: DataFrame, dim: int, *, threshold: float, per_shard: int, max_shards: int, overlap: int, block: int, sample: int, audit: int, target: float) -> tuple[DataFrame, DataFrame, float]:
+    """``id, n`` and ``id, component_id`` of vectors of one length, and the recall that was measured (1 where all were compared)."""
+    fit = max(1, CENTRE_BYTES // (8 * dim))
+    shards = max(1, min(max_shards, fit // 2, math.ceil(units.count() / per_shard)))
+    chosen = units.orderBy(F.xxhash64("vec_key"), "vec_key").limit(min(fit, max(sample, 2 * shards))).select("unit").collect()
+    centres = centres_of(np.array([r["unit"] for r in chosen]), shards)
+    exact, measured = False, 1.0
+    while True:
+        wide = min(overlap, len(centres))
+        pairs, tables = _linked(units, centres[:1] if exact else centres, 1 if exact else wide, threshold, block, exact=exact)
+        found = written(pairs, "linked")
+        dropped(*tables)
+        counts = written(found.groupBy("id").agg(F.sum("n").alias("n")), "counts")
+        joined = written(components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b"))), "joined")
+        dropped(found)
+        if exact or (measured := recall(units, counts, joined, threshold, audit)) >= target:
+            return counts, joined, 1.0 if exact else measured
+        dropped(counts, joined)
+        overlap *= 2
+        # Shards have about overlap / centres of the vectors each, and overlap of them hold any one.
+        exact = overlap * overlap >= len(centres)
+
+
 def linked_vectors(vectors: DataFrame, *, threshold: float = 0.9, per_shard: int = 1000, max_shards: int = 65_536, overlap: int = 3, block: int = 4096, sample: int = 16_384, audit: int = 256, target: float = 0.97, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """Links of cosine ``threshold`` or more among all vectors, and their components.
 
     Returns a row per input row: the id column, ``n_links`` (other rows linked
     directly), ``component_id`` (least id that links reach, itself included),
     ``kept`` (whether it is that id).  Null and zero vectors, those with null or
-    non-finite components, those of another length than most, and rows with a null
-    id link with nothing.  Equal directions are one vector with copies, so copies
-    are counted and not compared; an id that has several vectors has as many rows, and
-    links through any of them count.  The centres come from ``sample`` vectors, or two
-    for each centre, and number ``max_shards`` at most; every vector is indexed and every vector is a
-    query.  Recall is measured with ``audit`` queries in every case, and below
-    ``target`` the overlap doubles; where shards would have as many pairs as the
-    whole table has, all vectors are compared instead.
+    non-finite components, and rows with a null id link with nothing; vectors of
+    different lengths have no cosine, and each length is linked by itself, the lengths
+    of at most ``FEW`` vectors all at once.  Equal directions are one
+    vector with copies, so copies are counted and not compared; an id that has several
+    vectors has as many rows, and links through any of them count.  The centres come
+    from ``sample`` vectors, or two for each centre, and number ``max_shards`` at most;
+    both are fewer where they would take more than ``CENTRE_BYTES``.  Every vector is
+    indexed and every vector is a query.  Recall is measured with ``audit`` queries in
+    every case and logged, and below ``target`` the overlap doubles; where shards would
+    have as many pairs as the whole table has, all vectors are compared instead.
     """
-    spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("embedding"))
     kind = rows.schema["id"].dataType.simpleString()
-    dims = rows.filter("size(embedding) > 0").groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
-    dim = dims["d"] if dims else 1
 
     def scaled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_slices(batches):
-            good, x = unit_vectors(batch, dim)
-            units, keys = np.full(len(good), None, object), np.full(len(good), None, object)
-            for k, v in zip(np.flatnonzero(good), x):
-                units[k], keys[k] = v, xxhash.xxh3_128_digest((v + 0.0).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(list(units), pa.list_(pa.float64())), pa.array(list(keys), pa.binary())], names=["id", "unit", "vec_key"])
+            units = unit_vectors(batch)
+            keys = [None if v is None else xxhash.xxh3_128_digest((v + 0.0).tobytes()) for v in units]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(units, pa.list_(pa.float64())), pa.array(keys, pa.binary())], names=["id", "unit", "vec_key"])
 
     scaled_rows = written(rows.mapInArrow(scaled, f"id {kind}, unit array<double>, vec_key binary"), "units")
     able = scaled_rows.filter("id IS NOT NULL AND vec_key IS NOT NULL")
     classes = able.groupBy("vec_key").agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.first("unit").alias("unit"))
     # Ids may have several vectors, so each class gets a number of its own.
-    classes = written(classes.withColumn("rid", F.monotonically_increasing_id()), "classes")
-    units = classes.select(F.col("rid").alias("id"), "unit", "copies")
-    shards = max(1, min(max_shards, math.ceil(units.count() / per_shard)))
-    chosen = classes.orderBy(F.xxhash64("vec_key"), "vec_key").limit(max(sample, 2 * shards)).select("unit").collect()
-    centres = centres_of(np.array([r["unit"] for r in chosen]), shards) if chosen else np.zeros((1, dim))
-    exact, spent = False, []
-    while True:
-        wide = min(overlap, len(centres))
-        pairs, tables = _linked(units, centres[:1] if exact else centres, 1 if exact else wide, threshold, block, exact=exact)
-        found = written(pairs, "linked")
-        dropped(*tables)
-        spent.append(found)
-        counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-        joined = components(found.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-        if exact or recall(units, counts, joined, threshold, audit) >= target:
-            break
-        overlap *= 2
-        # Shards have about overlap / centres of the vectors each, and overlap of them hold any one.
-        exact = overlap * overlap >= len(centres)
+    classes = written(classes.withColumns({"rid": F.monotonically_increasing_id(), "dim": F.size("unit")}), "classes")
+    units = classes.select(F.col("rid").alias("id"), "unit", "copies", "vec_key", "dim")
+    # A row a length.
+    large = [r["dim"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).filter(F.col("n") > FEW).orderBy("dim").collect()]
+    small = written(_of_small_lengths(units.filter(~F.col("dim").isin(large)) if large else units, threshold), "linked")
+    counts, joined = small.groupBy("id").agg(F.sum("n").alias("n")), components(small.filter("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
+    spent = [small]
+    for dim in large:
+        more, further, measured = _of_one_length(units.filter(F.col("dim") == dim), dim, threshold=threshold, per_shard=per_shard, max_shards=max_shards, overlap=overlap, block=block, sample=sample, audit=audit, target=target)
+        logging.getLogger(__name__).info("recall %.4f of vectors of length %d", measured, dim)
+        counts, joined = counts.unionByName(more), joined.unionByName(further)
+        spent += [more, further]
     rooted = (
         classes.join(counts.withColumnRenamed("id", "rid"), "rid", "left").join(joined.withColumnRenamed("id", "rid"), "rid", "left")
         .select(F.col("vec_key").alias("class_key"), "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("component_id", "rid").alias("root"))

@@ -270,3 +270,23 @@ def test_odd_vectors(spark):
     expected = brute_vectors({i: v for i, v in vectors.items() if i != 8} | {8: [1.0, 2.0]})
     assert {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in linked_vectors(df).collect()} == expected
     assert linked_vectors(df.filter("false")).count() == 0
+
+
+def test_vectors_of_every_length_are_linked(spark):
+    """Lengths with many vectors, with a few and with one; links within each and none between them."""
+    rng = np.random.default_rng(8)
+    rows = [(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 0.0]), (3, [1.0, 1e-3, 0.0]), (4, [1.0, 1.0]), (5, [1.0, 1.01]), (6, [1.0]), (7, [5.0]), (8, [1.0, 1.0, 0.0, 0.0]), (9, [-2.0])]
+    for dim, n in ((8, 300), (5, 90), (6, 25)):
+        base = rng.normal(size=(n // 5, dim))
+        rows += [(100 * dim + k, (base[k % len(base)] + 0.05 * rng.normal(size=dim)).tolist()) for k in range(n)]
+    rows = [(i + (10_000 if i >= 500 and len(v) == 5 else 0), v) for i, v in rows]
+    links = set()
+    for a, x in rows:
+        for b, y in rows:
+            if a < b and len(x) == len(y) and np.dot(x, y) >= 0.9 * np.linalg.norm(x) * np.linalg.norm(y):
+                links.add((a, b))
+    of = least_reachable([i for i, _ in rows], links)
+    expected = {i: (sum(i in link for link in links), of[i], of[i] == i) for i, _ in rows}
+    found = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), per_shard=60).collect()}
+    assert (4, 5) in links and (6, 7) in links and len(links) > 300 and len({i for i, _ in rows}) == len(rows)
+    assert found == expected
