@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import paths
 from lakeloom.operators.selection import greatest
+from lakeloom.operators.skew import dealt_apart
 from lakeloom.operators.working import stored
 
 
@@ -46,6 +47,11 @@ def scan_root(diff: DataFrame) -> DataFrame:
     return diff.agg(n("reused", "refreshed").alias("file_count"), n("reused").alias("reused_count"), n("refreshed").alias("refreshed_count"), n("stale").alias("removed_count"))
 
 
+def scan_summary(diff: DataFrame, stored_files: DataFrame, *, force: bool = False) -> DataFrame:
+    """``scan_root`` with ``cache_used``: whether there was anything stored, and it was not passed over."""
+    return scan_root(diff).crossJoin(stored_files.agg(((F.count("*") > 0) & F.lit(not force)).alias("cache_used")))
+
+
 def group_folders(files: DataFrame, *, path: str = "path") -> DataFrame:
     """The group folder of every file: on a branch the first folder that has files of its own."""
     folders = files.select(F.col(path), paths.parent(F.col(path)).alias("folder"))
@@ -53,7 +59,8 @@ def group_folders(files: DataFrame, *, path: str = "path") -> DataFrame:
     up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
     above = folders.withColumn("a", F.explode(up)).select(path, "a.depth", "a.ancestor")
     own = folders.select(F.col("folder").alias("ancestor")).distinct()
-    return above.join(own, "ancestor").groupBy(path).agg(F.min_by("ancestor", "depth").alias("group_folder"))
+    # Every path has the root above it: the distinct folders lie apart, and the join is split where an ancestor is hot.
+    return above.join(dealt_apart(own, "ancestor"), "ancestor").groupBy(path).agg(F.min_by("ancestor", "depth").alias("group_folder"))
 
 
 def content_summaries(files: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:

@@ -60,6 +60,34 @@ def manual_run(runs: DataFrame, marker: str, next_id: Column) -> DataFrame:
     return runs.filter(F.col("last_error") == marker).agg(F.max("run_id").alias("_id")).select(F.coalesce("_id", next_id).alias("run_id"), F.col("_id").isNull().alias("is_new"))
 
 
+def state_with(state: DataFrame, target_url: str, now: Column, *, max_pages: int = 20) -> DataFrame:
+    """The state table (``target_url, resume_cursor, default_max_pages, last_run_id, updated_at``) with a row for the target: the one it has, else one with nothing run yet."""
+    fresh = state.sparkSession.range(1).select(
+        F.lit(target_url).alias("target_url"), F.lit(None).cast("string").alias("resume_cursor"), F.lit(max_pages).alias("default_max_pages"), F.lit(None).cast("bigint").alias("last_run_id"), now.alias("updated_at")
+    )
+    return state.unionByName(fresh.join(state.select("target_url").distinct(), "target_url", "left_anti"))
+
+
+def runs_with_manual(runs: DataFrame, marker: str, target_url: str, now: Column) -> DataFrame:
+    """The runs with one for items made by hand: the last one marked so, else a new row, completed and idle from the start, with the next id."""
+    counts = {c: F.lit(0).cast(runs.schema[c].dataType) for c in ("max_pages", "pages_visited", *COUNTED) if c in runs.columns}
+    new = {"target_url": F.lit(target_url), "status": F.lit("completed"), "phase": F.lit("idle"), "started_at": now, "finished_at": now, "last_error": F.lit(marker), **counts}
+    one = runs.agg((F.coalesce(F.max("run_id"), F.lit(0)) + 1).alias("run_id"), F.count_if(F.col("last_error") == marker).alias("_marked")).filter("_marked = 0")
+    return runs.unionByName(one.select(*((F.col(c) if c == "run_id" else new.get(c, F.lit(None))).cast(runs.schema[c].dataType).alias(c) for c in runs.columns)))
+
+
+def created_items(items: DataFrame, inputs: DataFrame, run_id: Column) -> DataFrame:
+    """The items with those made by hand (what ``checked_input`` lets pass): a code that is there already is refused, of equal codes the first in order of all columns counts."""
+    new = inputs.filter("problem IS NULL").drop("problem").groupBy("code").agg(F.min(F.struct(*(c for c in inputs.columns if c != "problem"))).alias("r")).select("r.*")
+    new = new.join(items.select("code"), "code", "left_anti").withColumn("created_run_id", run_id)
+    return items.unionByName(new.select(*((F.col(c) if c in new.columns else F.lit(None)).cast(items.schema[c].dataType).alias(c) for c in items.columns)))
+
+
+def deleted_items(items: DataFrame, metadata: DataFrame, codes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and their metadata without the given codes."""
+    return items.join(codes.select("code"), "code", "left_anti"), cascaded_delete(metadata, codes.select("code"), "code")
+
+
 def latest_job(jobs: DataFrame, *, key: str = "job_id") -> DataFrame:
     """The job with the greatest id."""
     return jobs.groupBy().agg(F.max_by(F.struct(*jobs.columns), key).alias("j")).filter("j IS NOT NULL").select("j.*")

@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 from lakeloom.functions import paths
 from lakeloom.functions.similarity import SHORTEST, is_strong_merge, merge_confidence, strong_pairs
 from lakeloom.operators.metadata import compatibility
+from lakeloom.operators.skew import dealt_apart
 
 SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
 
@@ -136,7 +137,7 @@ def duplicates(files: DataFrame, store: DataFrame) -> DataFrame:
     own = at.select(F.col("_code").alias("_own_code"), F.col("_at").alias("_own_at"), F.col("_n").alias("_own"))
     taken = held.select(F.col("_at")).distinct().withColumn("_taken", F.lit(True))
     here = paths.comparable(F.col("path"))
-    rows = files.join(by_code, F.col("code") == F.col("_code"), "left").join(own, (F.col("code") == F.col("_own_code")) & (here == F.col("_own_at")), "left").join(taken, paths.comparable(F.col("target_path")) == F.col("_at"), "left")
+    rows = files.join(dealt_apart(by_code, "_code"), F.col("code") == F.col("_code"), "left").join(own, (F.col("code") == F.col("_own_code")) & (here == F.col("_own_at")), "left").join(taken, paths.comparable(F.col("target_path")) == F.col("_at"), "left")
     n = F.coalesce(F.col("_all") - F.coalesce("_own", F.lit(0)), F.lit(0))
     one = F.when(F.col("_one._at") == here, F.col("_two._held")).otherwise(F.col("_one._held"))
     found = duplicate_target(F.col("code"), n, one, F.col("target_path"), F.coalesce("_taken", F.lit(False)) & ~paths.same_path(F.col("path"), F.col("target_path")))

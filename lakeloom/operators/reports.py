@@ -51,6 +51,12 @@ def database_summary(items: DataFrame, official: DataFrame, catalog: DataFrame,
     return rows.agg(n("items"), last, n("official"), n("catalog")).withColumn("missing", F.greatest(F.col("items") - F.col("official") - F.col("catalog"), F.lit(0)))
 
 
+def by_source(items: DataFrame, metadata: DataFrame, *, key: str = "item_id", kind: str = "source_kind") -> DataFrame:
+    """One row: items with official metadata, with the catalogue's, and with none."""
+    m = metadata.select(key, F.col(kind).alias("_kind"))
+    return items.join(m, key, "left").agg(n_where(F.col("_kind") == "official").alias("official"), n_where(F.col("_kind") == "catalog").alias("catalog"), n_where(F.col("_kind").isNull()).alias("none"))
+
+
 def distinct_types(items: DataFrame, *, type_: str = "type") -> DataFrame:
     return items.filter(F.trim(type_) != "").select(type_).distinct().orderBy(type_)
 

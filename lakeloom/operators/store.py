@@ -102,6 +102,14 @@ def dispatched(rows: DataFrame, failures: DataFrame, key: str = "item_id") -> Da
     return rows.join(f, key, "left").select(*(c for c in rows.columns if c not in ("status", "attempts", "last_error")), out.alias("status"), (F.col("attempts") + 1).alias("attempts"), F.col("message").alias("last_error"))
 
 
+def failed(rows: DataFrame, failures: DataFrame, key: str = "item_id") -> DataFrame:
+    """Rows of a batch that could not be sent at all (``key, message``) have failed, and each counts an attempt; the others stay."""
+    f = failures.select(key, F.col("message").alias("_m"), F.lit(True).alias("_f"))
+    hit = F.coalesce("_f", F.lit(False))
+    out = {"status": F.when(hit, "failed").otherwise(F.col("status")), "attempts": F.col("attempts") + hit.cast("int"), "last_error": F.when(hit, F.col("_m")).otherwise(F.col("last_error"))}
+    return rows.join(f, key, "left").withColumns(out).select(rows.columns)
+
+
 def excluded(rows: DataFrame, reasons: DataFrame, key: str = "item_id") -> DataFrame:
     """Rows with a reason are excluded; attempts stay."""
     cols = [c for c in rows.columns if c != "status"]
