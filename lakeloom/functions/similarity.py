@@ -145,14 +145,10 @@ def merge_confidence(value: Column) -> Column:
     return F.least(F.greatest(F.round(80 + 16 * value), F.lit(90)), F.lit(95)).cast("int")
 
 
-@F.pandas_udf(T.StructType([T.StructField("words", T.ArrayType(T.StringType())), T.StructField("pairs", T.ArrayType(T.StringType())), T.StructField("n_pairs", T.IntegerType()), T.StructField("n_chars", T.IntegerType())]))
-def title_parts(title: pd.Series) -> pd.DataFrame:
+def title_parts(title: Column) -> Column:
     """The distinct tokens and bigrams that ``title_score_of`` compares, and how many bigrams and characters there are."""
-    rows = []
-    for t in title:
-        x = "".join(t.split())
-        rows.append((sorted({w for w in t.split() if len(w) >= 2}), sorted({x[k : k + 2] for k in range(len(x) - 1)}), max(0, len(x) - 1), len(t)))
-    return pd.DataFrame(rows, columns=["words", "pairs", "n_pairs", "n_chars"])
+    pairs = bigrams(title)
+    return F.struct(title_tokens(title).alias("words"), F.array_distinct(pairs).alias("pairs"), F.size(pairs).alias("n_pairs"), F.length(title).alias("n_chars"))
 
 
 #: Fixed value: an accepted pair of titles, and the best of a group if any is accepted, scores as much.
@@ -171,7 +167,7 @@ def strong_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     both titles is in no join at all.
     """
     titles = left.select("title").unionByName(right.select("title")).distinct()
-    parts = titles.select("title", title_parts("title").alias("p")).select("title", "p.*")
+    parts = titles.select("title", title_parts(F.col("title")).alias("p")).select("title", "p.*")
     kinds = parts.select("title", "n_pairs", "n_chars", F.explode(F.concat(F.transform("words", lambda w: F.struct(F.lit("w").alias("kind"), w.alias("part"))), F.transform("pairs", lambda b: F.struct(F.lit("b").alias("kind"), b.alias("part"))))).alias("k")).select("title", "n_pairs", "n_chars", "k.*")
     rarity = kinds.groupBy("kind", "part").agg(F.count("*").alias("n"))
     # Arrays of one title's parts.

@@ -370,5 +370,5 @@ def index_rows(parsed: DataFrame, metadata: DataFrame) -> DataFrame:
 
 
 def by_confidence(candidates: DataFrame) -> DataFrame:
-    """Candidates of a list, the surest first, and favourites by file name."""
-    return candidates.orderBy(F.desc("confidence"), F.lower("name"), "name")
+    """Candidates of a list, the surest first, and equally sure ones by file name as a reader sorts names: by the Unicode collation, letters of any script before their variants."""
+    return candidates.orderBy(F.desc("confidence"), F.collate("name", "UNICODE"), "name")

@@ -13,7 +13,8 @@ from pyspark.sql.window import Window
 
 from lakeloom.functions import paths
 from lakeloom.functions.similarity import SHORTEST, is_strong_merge, merge_confidence, strong_pairs
-from lakeloom.operators.metadata import compatibility
+from lakeloom.functions.text import normalize_text
+from lakeloom.functions.values import category_key, origin_key
 from lakeloom.operators.skew import dealt_apart
 
 SETS = ("codes", "fingerprints", "lineage_ids", "sample_hashes", "windows", "actors", "groups", "origins", "categories", "base_titles")
@@ -48,6 +49,28 @@ def group_summaries(members: DataFrame) -> DataFrame:
     return members.groupBy("group_path").agg(F.count("*").alias("file_count")).join(names, "group_path")
 
 
+def _fit(pairs: DataFrame, of_file: DataFrame, values: DataFrame) -> DataFrame:
+    """``path, group_path, fit`` of each pair: ``boost`` for the groups, origins and categories that both have in common, ``mismatch`` where both have some and none in common.
+
+    What ``metadata.compatibility`` says of two lists, by joins: neither side's values are gathered.
+    """
+    kinds = {"groups": (normalize_text, 3), "origins": (origin_key, 2), "categories": (category_key, 1)}
+    key = F.lit(None).cast("string")
+    for kind, (f, _) in kinds.items():
+        key = F.when(F.col("set") == kind, f(F.col("value"))).otherwise(key)
+    keyed = lambda d, side: d.filter(F.col("set").isin(*kinds)).select(side, "set", key.alias("key")).filter("key <> ''").distinct()
+    has = lambda d, side, name: d.filter(F.col("set").isin(*kinds)).groupBy(side).agg(*(F.bool_or(F.col("set") == k).alias(f"{name}_{k}") for k in kinds))
+    met = pairs.select("path", "group_path").distinct()
+    shared = met.join(keyed(of_file, "path"), "path").join(keyed(values, "group_path"), ["group_path", "set", "key"]).groupBy("path", "group_path").agg(*(F.bool_or(F.col("set") == k).alias(f"both_{k}") for k in kinds))
+    rows = met.join(has(of_file, "path", "f"), "path", "left").join(dealt_apart(has(values, "group_path", "g"), "group_path"), "group_path", "left").join(shared, ["path", "group_path"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    boost, mismatch = F.lit(0), F.lit(False)
+    for k, (_, points) in kinds.items():
+        boost = boost + F.when(yes(f"both_{k}"), points).otherwise(0)
+        mismatch = mismatch | (yes(f"f_{k}") & yes(f"g_{k}") & ~yes(f"both_{k}"))
+    return rows.select("path", "group_path", F.struct(boost.alias("boost"), mismatch.alias("mismatch")).alias("fit"))
+
+
 def merge_candidates(files: DataFrame, groups: DataFrame, values: DataFrame, *, least: int = 90) -> DataFrame:
     """The best existing group of each file, with confidence, evidence and whether it needs review.
 
@@ -72,12 +95,7 @@ def merge_candidates(files: DataFrame, groups: DataFrame, values: DataFrame, *,
     fuzzy = best.filter(is_strong_merge(F.col("score"))).select("path", "group_path", F.lit("fuzzy-title").alias("kind"), merge_confidence(F.col("score.value")).alias("base"))
     pairs = sure.unionByName(titled).unionByName(fuzzy)
 
-    side = lambda: F.struct("groups", "origins", "categories")
-    # Folders, origins and categories: a few of each for a group.
-    sides = values.filter(F.col("set").isin("groups", "origins", "categories")).groupBy("group_path").agg(F.struct(*(F.collect_set(F.when(F.col("set") == c, F.col("value"))).alias(c) for c in ("groups", "origins", "categories"))).alias("right_side"))
-    none = F.struct(*(F.array().cast("array<string>").alias(c) for c in ("groups", "origins", "categories")))
-    both = pairs.join(files.select("path", "ord", side().alias("left_side")), "path").join(groups.select("group_path", F.col("ord").alias("group_ord")), "group_path").join(sides, "group_path", "left")
-    judged = both.withColumn("fit", compatibility(F.col("left_side"), F.coalesce("right_side", none)))
+    judged = pairs.join(files.select("path", "ord"), "path").join(groups.select("group_path", F.col("ord").alias("group_ord")), "group_path").join(_fit(pairs, of_file, values), ["path", "group_path"])
     strong = F.col("kind").isin("item-id", "content", "lineage")
     boosted = F.when(strong, F.col("base")).otherwise(F.least(F.lit(99), F.col("base") + F.col("fit.boost")))
     kept = judged.filter(strong | ~F.col("fit.mismatch")).select(

@@ -164,14 +164,14 @@ def dml_created_items(spark, sf_dir):
     return left
 
 
-#: Titles of which some are another one's with a letter behind it; of the words in front only cold and old are near enough.
-_LETTERED = "p_name || ' of the midnight orchard stories river songs' || CASE WHEN p_partkey % 3 = 0 THEN ' x' ELSE '' END"
+#: Titles of which some are another one's with a letter behind it and all others are unlike: no word in front is a letter from another.
+_LETTERED = "replace(p_name, 'cold', 'chilly') || ' of the midnight orchard stories river songs' || CASE WHEN p_partkey % 3 = 0 THEN ' x' ELSE '' END"
 
 
 @query(
     "jn_fuzzy_titles",
     f"""WITH t AS (SELECT DISTINCT p_type || '||' || lower(p_brand) AS bucket, {_LETTERED} AS title FROM part)
-        SELECT a.bucket, a.title AS "left", b.title AS "right", CAST(96 AS INTEGER) AS confidence FROM t a JOIN t b ON a.bucket = b.bucket AND (b.title = a.title || ' x' OR (starts_with(a.title, 'cold ') AND b.title = substr(a.title, 2)))""",
+        SELECT a.bucket, a.title AS "left", b.title AS "right", CAST(96 AS INTEGER) AS confidence FROM t a JOIN t b ON a.bucket = b.bucket AND b.title = a.title || ' x'""",
 )
 def jn_fuzzy_titles(spark, sf_dir):
     nothing = F.array().cast("array<string>")
