@@ -6,7 +6,7 @@ images.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -35,11 +35,6 @@ def _crc(e: Column) -> Column:
     return F.concat_ws(":", e["crc"], e["size"].cast("string"))
 
 
-def ordered_crc(entries: Column) -> Column:
-    """Of the checksums and sizes in natural order of names."""
-    return F.when(F.size(entries) > 0, short_hash(F.array_join(F.transform(in_order(entries), _crc), "|")))
-
-
 def crc_set(entries: Column) -> Column:
     return F.when(F.size(entries) > 0, short_hash(F.array_join(F.array_sort(F.transform(entries, _crc)), "|")))
 
@@ -51,25 +46,28 @@ def window_indexes(n: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(places, lambda k: (k >= 0) & (k < n))))
 
 
-def crc_window(entries: Column) -> Column:
-    ordered = in_order(entries)
-    return F.when(F.size(entries) > 0, short_hash(F.array_join(F.transform(window_indexes(F.size(entries)), lambda k: _crc(F.get(ordered, k))), "|")))
-
-
 def fingerprint(count: Column, total: Column, ordered: Column) -> Column:
     return F.when(count > 0, short_hash(F.concat_ws("|", count.cast("string"), total.cast("string"), ordered)))
 
 
-def summary(entries: Column, scanned: Column, failed: Column) -> Column:
-    """Everything at once: ``status, image_count, total_size, ordered_crc, crc_set, crc_window, fingerprint``."""
+def summarised(rows: DataFrame, entries: str, scanned: Column, failed: Column, out: str = "summary") -> DataFrame:
+    """Rows with everything at once in the column ``out``: ``status, image_count, total_size, ordered_crc, crc_set, crc_window, fingerprint``.
+
+    The entries in order, and what is made of them, are columns of their own on the
+    way, so that they are computed once and not for each signature.
+    """
+    of = rows.withColumn("_in_order", F.transform(in_order(F.col(entries)), _crc))
+    of = of.withColumn("_ordered", F.when(F.size(entries) > 0, short_hash(F.array_join("_in_order", "|"))))
+    places = F.transform(window_indexes(F.size(entries)), lambda k: F.get("_in_order", k))
+    window = F.when(F.size(entries) > 0, short_hash(F.array_join(places, "|")))
     n = F.size(entries)
-    total = F.aggregate(entries, F.lit(0).cast("bigint"), lambda a, e: a + e["size"])
+    total = F.aggregate(F.col(entries), F.lit(0).cast("bigint"), lambda a, e: a + e["size"])
     status = F.when(failed, "failed").when(n.isNull(), "unsupported").when(scanned, "scanned").otherwise("metadata-only")
-    ordered = ordered_crc(entries)
-    return F.struct(
-        status.alias("status"), n.alias("image_count"), total.alias("total_size"), ordered.alias("ordered_crc"), crc_set(entries).alias("crc_set"),
-        crc_window(entries).alias("crc_window"), fingerprint(n, total, ordered).alias("fingerprint"),
+    everything = F.struct(
+        status.alias("status"), n.alias("image_count"), total.alias("total_size"), F.col("_ordered").alias("ordered_crc"), crc_set(F.col(entries)).alias("crc_set"),
+        window.alias("crc_window"), fingerprint(n, total, F.col("_ordered")).alias("fingerprint"),
     )
+    return of.withColumn(out, everything).drop("_in_order", "_ordered")
 
 
 def stable_id(text: Column) -> Column:

@@ -125,15 +125,15 @@ def sig_stable_id(spark, sf_dir):
 @query(
     "sig_content",
     """WITH e AS (SELECT l_orderkey, l_linenumber, CAST(l_partkey AS VARCHAR) || ':' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS c, CAST(l_quantity AS BIGINT) AS q, l_partkey FROM lineitem),
-       o AS (SELECT l_orderkey, count(*) AS n, CAST(sum(q) AS BIGINT) AS total, left(sha256(string_agg(c, '|' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), q)), 24) AS ordered, left(sha256(string_agg(c, '|' ORDER BY c)), 24) AS crc_set FROM e GROUP BY 1)
-       SELECT l_orderkey, CAST(n AS INTEGER) AS n, total, ordered, crc_set, left(sha256(n || '|' || total || '|' || ordered), 24) AS fingerprint FROM o""",
+       p AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), q) AS k, count(*) OVER (PARTITION BY l_orderkey) AS m FROM e),
+       o AS (SELECT l_orderkey, count(*) AS n, CAST(sum(q) AS BIGINT) AS total, left(sha256(string_agg(c, '|' ORDER BY k) FILTER (k <= 3 OR k = m // 2 + 1 OR k > m - 3)), 24) AS crc_window, left(sha256(string_agg(c, '|' ORDER BY l_linenumber, CAST(l_partkey AS VARCHAR), q)), 24) AS ordered, left(sha256(string_agg(c, '|' ORDER BY c)), 24) AS crc_set FROM p GROUP BY 1)
+       SELECT l_orderkey, CAST(n AS INTEGER) AS n, total, ordered, crc_set, crc_window, left(sha256(n || '|' || total || '|' || ordered), 24) AS fingerprint FROM o""",
 )
 def sig_content(spark, sf_dir):
     entry = F.struct(F.format_string("%d", "l_linenumber").alias("name"), F.col("l_partkey").cast("string").alias("crc"), F.col("l_quantity").cast("bigint").alias("size"))
     # The number of lines of an order is bounded by the tables' design, as the entries of an archive are by its directory.
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", entry.alias("e")).groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(F.col("e.name").alias("name"), F.col("e.crc").alias("crc"), F.col("e.size").alias("size")))).alias("entries"))
-    s = signatures.summary(F.col("entries"), F.lit(False), F.lit(False))
-    return rows.select("l_orderkey", s.alias("s")).select("l_orderkey", F.col("s.image_count").alias("n"), F.col("s.total_size").alias("total"), F.col("s.ordered_crc").alias("ordered"), F.col("s.crc_set").alias("crc_set"), F.col("s.fingerprint").alias("fingerprint"))
+    return signatures.summarised(rows, "entries", F.lit(False), F.lit(False), "s").select("l_orderkey", F.col("s.image_count").alias("n"), F.col("s.total_size").alias("total"), F.col("s.ordered_crc").alias("ordered"), F.col("s.crc_set").alias("crc_set"), F.col("s.crc_window").alias("crc_window"), F.col("s.fingerprint").alias("fingerprint"))
 
 
 # --- scans and filters -------------------------------------------------------

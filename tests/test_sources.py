@@ -244,3 +244,22 @@ def test_names_are_parsed(spark):
     assert found == {**NAMES, None: (None,) * 10}
     plain = {r.name: r.p for r in text.parsed_names(df, compose=False).collect()}
     assert plain["ＡＢＣ ｶﾞｲﾄﾞ vol 3.zip"].normalized_title == "ａｂｃ ｶﾞｲﾄﾞ vol 3"
+
+
+def test_signatures_of_archives(spark):
+    """Of no images, one, and more than a window has: from the entries in natural order, whatever order they come in."""
+    import itertools
+
+    entry = lambda k: (f"p{k}.jpg", f"{k:08x}", 10 * k)
+    rows = [("none", []), ("null", None), ("one", [entry(3)]), *(("many", list(p)) for p in itertools.islice(itertools.permutations(map(entry, range(2, 14))), 0, 5_000, 1_700))]
+    df = spark.createDataFrame(rows, "path string, entries array<struct<name:string,crc:string,size:bigint>>")
+    found = {(r.path, *r.s) for r in signatures.summarised(df, "entries", F.lit(True), F.col("path") == "null", "s").collect()}
+    short = lambda parts: hashlib.sha256("|".join(parts).encode()).hexdigest()[:24]
+    part = lambda k: f"{k:08x}:{10 * k}"
+    every = [part(k) for k in range(2, 14)]
+    expected = {
+        ("none", "scanned", 0, 0, None, None, None, None), ("null", "failed", None, None, None, None, None, None),
+        ("one", "scanned", 1, 30, short([part(3)]), short([part(3)]), short([part(3)]), short(["1", "30", short([part(3)])])),
+        ("many", "scanned", 12, 900, short(every), short(sorted(every)), short([*every[:3], every[6], *every[-3:]]), short(["12", "900", short(every)])),
+    }
+    assert found == expected
