@@ -660,7 +660,8 @@ def jn_remaining_groups(spark, sf_dir):
 )
 def flagship_codes(spark, sf_dir):
     """Names to codes, codes to groups, groups with what their items have, in order."""
-    code = F.regexp_extract("c_name", r"#(\d+)\z", 1)
-    n = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n"))
-    rows = table(spark, sf_dir, "customer").join(n, F.col("c_custkey") == F.col("o_custkey"), "left")
-    return rows.groupBy(F.right(code, F.lit(1)).alias("bucket")).agg(F.count("*").alias("customers"), F.sum(F.coalesce("n", F.lit(0))).alias("orders")).filter("customers >= 2").orderBy("bucket")
+    name = F.concat(F.col("c_name"), F.lit(" ("), F.regexp_extract("c_name", r"#(\d+)\z", 1), F.lit(")"))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("path"), F.col("c_custkey").alias("ord"), F.right(text.trailing_code(name), F.lit(1)).alias("code"))
+    n = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("path")).agg(F.count("*").alias("n"))
+    members = grouping.by_key(rows, F.col("code"), "code", 100).join(n, "path", "left")
+    return members.groupBy(F.substring_index("group_key", ":", -1).alias("bucket")).agg(F.count("*").alias("customers"), F.sum(F.coalesce("n", F.lit(0))).alias("orders")).orderBy("bucket")
