@@ -16,7 +16,9 @@ missed (``trees_for``).
 Candidates are compared by 384 four-bit minwise values and by 512 parity bits, and
 what these leave is confirmed on the full sets.  A parity bit tells whether an odd
 number of the set's shingles fall on it, so two records differ in no more parity
-bits than shingles: that filter loses no link.  First every record meets a few
+bits than shingles: that filter loses no link.  The size and 32 of the values go
+with a record into its nodes, and a pair that they rule out is never a row: else
+the pairs of a node, up to its size each, would outgrow the records.  First every record meets a few
 pivots of its nodes, random ones and in the next turn those with the most links so
 far; that joins dense groups without their pairs.  Then leaves that still hold
 several components are compared exhaustively.  Nodes that are large at the last
@@ -45,6 +47,8 @@ _LONGS = VALUES // 16
 #: Parity bits of a record.
 BITS = 512
 _COMPARED = [*(f"s{k}" for k in range(_LONGS)), *(f"p{k}" for k in range(BITS // 64)), "n_shingles"]
+#: What of that goes with a record into the trees, so that most pairs of a node are never made: 32 of the values, and the size.
+_CARRIED = ["s0", "s1", "n_shingles"]
 
 
 def shingles(text: str | None, width: int) -> np.ndarray:
@@ -151,8 +155,8 @@ class _FullSets:
         return pairs.join(one, "a").join(two, "b").filter(100 * shared >= percent * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
 
 
-def _differing(left: str, right: str) -> Column:
-    """How many of the four-bit values differ."""
+def _differing(left: str, right: str, longs: int = _LONGS) -> Column:
+    """How many of the four-bit values of the first ``longs`` words differ."""
 
     def one(k: int) -> Column:
         x = F.col(f"{left}.s{k}").bitwiseXOR(F.col(f"{right}.s{k}"))
@@ -160,7 +164,7 @@ def _differing(left: str, right: str) -> Column:
             x = x.bitwiseOR(F.shiftrightunsigned(x, shift))
         return F.bit_count(x.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return sum((one(k) for k in range(1, _LONGS)), one(0))
+    return sum((one(k) for k in range(1, longs)), one(0))
 
 
 def _may_link(left: str, right: str, percent: int) -> Column:
@@ -175,6 +179,19 @@ def tolerance(percent: int, sigmas: float = 4.3) -> int:
     return math.floor(VALUES * p + sigmas * math.sqrt(VALUES * p * (1 - p)))
 
 
+def carried_tolerance(percent: int, miss: float = 1e-6) -> int:
+    """The most differing ones of the carried values that a pair at the threshold may show: beyond it with a chance of ``miss`` at most."""
+    n, p = 16 * (len(_CARRIED) - 1), (1 - percent / 100) * 15 / 16
+    beyond = lambda most: sum(math.comb(n, k) * p**k * (1 - p) ** (n - k) for k in range(most + 1, n + 1))
+    return next(most for most in range(n + 1) if beyond(most) <= miss)
+
+
+def _worth_a_pair(left: str, right: str, percent: int) -> Column:
+    """Whether the sizes allow a link and the carried values do not rule it out."""
+    x, y = F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")
+    return (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (_differing(left, right, len(_CARRIED) - 1) <= carried_tolerance(percent))
+
+
 def trees_for(percent: int, depth: int, miss: float = 1e-5) -> int:
     """How many trees find a pair at the threshold but for the share ``miss``.
 
@@ -191,31 +208,31 @@ def trees_for(percent: int, depth: int, miss: float = 1e-5) -> int:
 
 
 def _children(level: DataFrame, percent: int, *, roots: bool) -> DataFrame:
-    """``node, rid`` of the nodes below those of ``level`` (``node, rid, path``)."""
+    """``node, rid`` and the carried columns of the nodes below those of ``level`` (which has ``path`` too)."""
     drawn = lambda k, n: F.pmod(F.xxhash64("node", F.lit(k)), F.lit(n)).cast("int")
     one = drawn(1, POSITIONS)
     two = F.pmod(one + 1 + drawn(2, POSITIONS - 1), F.lit(POSITIONS))
     child = lambda at: F.xxhash64("node", at, F.get("path", at))
     both = drawn(3, 1_000_000) < round(1_000_000 * (100 / percent - 1))
     children = F.array(child(one)) if roots else F.when(both, F.array(child(one), child(two))).otherwise(F.array(child(one)))
-    return level.select(F.explode(children).alias("node"), "rid")
+    return level.select(F.explode(children).alias("node"), "rid", *_CARRIED)
 
 
 def _leaves(records: DataFrame, percent: int, trees: int, depth: int, leaf: int) -> DataFrame:
-    """``node, rid, large`` of every node that no longer branches and has two records or more; ``large`` tells that it still has more than ``leaf``."""
-    level, out, spent = records.select("rid", "path", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("node")), None, []
+    """``node, rid, large`` and the carried columns of every node that no longer branches and has two records or more; ``large`` tells that it still has more than ``leaf``."""
+    level, out, spent = records.select("rid", "path", *_CARRIED, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("node")), None, []
     for d in range(1, depth + 1):
         keyed = _children(level, percent, roots=d == 1)
         sizes = keyed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
         shared = written(keyed.join(dealt_apart(sizes, "node"), "node"), f"level{d}")
         spent.append(shared)
         large = F.col("n") > leaf
-        done = shared.filter(F.lit(d == depth) | ~large).select("node", "rid", large.alias("large"))
+        done = shared.filter(F.lit(d == depth) | ~large).select("node", "rid", large.alias("large"), *_CARRIED)
         out = done if out is None else out.unionByName(done)
         more = shared.filter(large).select("rid", "node")
         if d == depth or more.isEmpty():
             break
-        level = more.join(records.select("rid", "path"), "rid")
+        level = more.join(records.select("rid", "path", *_CARRIED), "rid")
     leaves = written(out, "leaves")
     dropped(*spent)
     return leaves
@@ -261,13 +278,17 @@ def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, de
     apart = F.col("component_id") != F.col("pivot_component")
     pair = lambda x, y: (F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
     tried = links = None
+    spent = []
     for turn, few in enumerate(pivots):
         # Drawn by the record alone: a group's nodes in all trees mostly agree on its pivots, so its pairs with them are few.
         drawn = F.xxhash64("rid", F.lit(turn))
         rank = F.pmod(drawn, F.lit(1 << 40)) - F.least("degree", F.lit(1 << 20)) * (1 << 40)
-        chosen = marked.groupBy("node", F.pmod(drawn, F.lit(few)).alias("slot")).agg(F.min_by("rid", rank).alias("pivot"), F.min_by("component_id", rank).alias("pivot_component"), F.min(rank).alias("rank")).drop("slot")
+        chosen = marked.groupBy("node", F.pmod(drawn, F.lit(few)).alias("slot")).agg(F.min_by("rid", rank).alias("pivot"), F.min_by("component_id", rank).alias("pivot_component"), F.min_by(F.struct(*_CARRIED), rank).alias("its"), F.min(rank).alias("rank")).drop("slot")
+        chosen = written(chosen, "pivots")
+        spent.append(chosen)
         used = chosen.select(F.col("pivot").alias("rid")) if turn == 0 else used.unionByName(chosen.select(F.col("pivot").alias("rid")))
-        met = marked.join(dealt_apart(chosen, "node", "pivot"), "node").filter(apart).select("rid", "pivot", "rank")
+        own = marked.select("node", "rid", "component_id", F.struct(*_CARRIED).alias("own"))
+        met = own.join(dealt_apart(chosen, "node", "pivot"), "node").filter(apart & _worth_a_pair("own", "its", percent)).select("rid", "pivot", "rank")
         # Of the pivots of all its nodes a record meets the first few.
         place = F.dense_rank().over(Window.partitionBy("rid").orderBy("rank", "pivot"))
         stars = met.withColumn("place", place).filter(F.col("place") <= few).select(*pair("rid", "pivot")).distinct()
@@ -276,13 +297,16 @@ def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, de
         tried, links = (stars, found) if tried is None else (tried.unionByName(stars), links.unionByName(found))
         joined = components(found if turn == 0 else found.unionByName(reached(joined)))
         # With how many pivots a record links tells how near the middle of its group it is; those that were pivots have met their nodes.
-        ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).join(used.distinct(), "rid", "left_anti").groupBy("rid").agg(F.count("*").alias("degree"))
-        of_rid = joined.withColumnRenamed("id", "rid").join(ends, "rid", "left")
+        of_rid = joined.withColumnRenamed("id", "rid").withColumn("degree", F.lit(0).cast("bigint"))
+        if turn + 1 < len(pivots):
+            ends = links.select(F.col("a").alias("rid")).unionByName(links.select(F.col("b").alias("rid"))).join(used.distinct(), "rid", "left_anti").groupBy("rid").agg(F.count("*").alias("degree"))
+            of_rid = of_rid.drop("degree").join(ends, "rid", "left")
         now = leaves.join(dealt_apart(of_rid, "rid"), "rid", "left").withColumns({"component_id": F.coalesce("component_id", "rid"), "degree": F.coalesce("degree", F.lit(0))})
         open_nodes = now.groupBy("node").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high")).filter("low < high").select("node")
         marked = written(now.join(dealt_apart(open_nodes, "node"), "node"), "open")
+    dropped(*spent)
     x, y = (marked.filter("NOT large").alias(c) for c in "xy")
-    rest = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component_id") > F.col("y.component_id"))).select(*pair("x.rid", "y.rid")).distinct()
+    rest = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component_id") > F.col("y.component_id")) & _worth_a_pair("x", "y", percent)).select(*pair("x.rid", "y.rid")).distinct()
     crowded = marked.filter("large").select("rid", "component_id").distinct()
     if not crowded.isEmpty():
         crowded = written(crowded, "crowded")

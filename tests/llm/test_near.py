@@ -6,6 +6,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from lakeloom.llm import components as components_module
 from lakeloom.llm import near_dups, vector_graph
 from lakeloom.llm.common import dealt_apart
 from lakeloom.llm.components import components
@@ -122,6 +123,38 @@ def test_prefix_pairs_lose_no_link(spark):
     assert links and links <= found and all(of[i] != of[j] for i, j in found)
 
 
+def test_pairs_without_a_chance_are_never_rows(spark, monkeypatch):
+    """Texts that share a third of their shingles meet in every tree and link with none: their pairs must not come to be."""
+    made, similar = [], near_dups._similar
+
+    def counted(pairs, records, percent):
+        made.append(pairs.count())
+        return similar(pairs, records, percent)
+
+    monkeypatch.setattr(near_dups, "_similar", counted)
+    texts = [" ".join([*(f"t{k}" for k in range(60)), *(f"x{d}y{k}" for k in range(60))]) for d in range(45)]
+    texts += made_up(random.Random(5), 5, 6, 3).values()
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert rows_of(near_duplicates(docs, percent=85)) == brute_documents(dict(enumerate(texts)), 85)
+    assert sum(made) <= 2 * len(texts)
+
+
+def test_carried_values_let_pairs_at_the_threshold_pass():
+    rng = np.random.default_rng(2)
+    for percent in (80, 85):
+        differing = rng.binomial(32, (1 - percent / 100) * 15 / 16, 200_000)
+        assert (differing > near_dups.carried_tolerance(percent)).sum() <= 3 and near_dups.carried_tolerance(percent) < 20
+
+
+def test_stars_take_one_round(spark, monkeypatch):
+    """A round after which all are stars is the last one: no further round is there to see that nothing changes."""
+    rounds, star = [], components_module._star
+    monkeypatch.setattr(components_module, "_star", lambda edges, small: rounds.append(small) or star(edges, small))
+    links = spark.createDataFrame([(k, k % 7) for k in range(7, 100)] + [(k, k % 7) for k in range(7, 100)], "a bigint, b bigint")
+    assert {r["id"]: r["component_id"] for r in components(links).collect()} == {k: k % 7 for k in range(100)}
+    assert rounds == [False, True]
+
+
 def test_trees_follow_from_the_threshold():
     assert near_dups.trees_for(85, 1) == 7 and near_dups.trees_for(85, 3) < near_dups.trees_for(80, 3) < near_dups.trees_for(80, 4)
     assert near_dups.trees_for(85, 3, 1e-3) < near_dups.trees_for(85, 3)
