@@ -110,6 +110,23 @@ def test_fit_minimises_the_pairs_loss():
     assert all(loss(model.weights) <= loss(model.weights + rng.normal(size=3) * 0.05) for _ in range(200))
 
 
+def test_ranking_is_fitted_on_all_pairs(spark):
+    """Weights at which the loss over every pair has no slope, and the threshold at the quantile of every labelled row."""
+    far = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{far}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality_ranking.fit_ranking(docs, labels)
+    rows = docs.join(labels, "doc_id").select("text", "quality").collect()
+    x, y = np.array([quality_ranking.features(r["text"] or "") for r in rows]), np.array([r["quality"] for r in rows])
+    assert np.allclose(model.centre, x[y == 1].mean(0)) and np.allclose(model.scale, x[y == 1].std(0) + 0.02)
+    z = np.clip((x - model.centre) / model.scale, -8, 8)
+    d = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, x.shape[1])
+    slope = -(d / (1 + np.exp(np.clip(d @ model.weights, -30, 30)))[:, None]).mean(0) + 1e-3 * model.weights
+    assert np.abs(slope).max() < 1e-4
+    raw = np.sort(model.raw(x))
+    k = int((y == 0).sum())
+    assert raw[k - 1] <= model.threshold + 1e-9 and model.threshold <= raw[k] + 1e-9
+
+
 def test_a_repeated_id_is_one_labelled_row(spark):
     docs = spark.createDataFrame([(1, f"text {k}") for k in range(500)] + [(2, "b"), (3, None)], "doc_id int, text string")
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1)], "doc_id int, quality int")
