@@ -1,8 +1,8 @@
 """Quality rules, and an isolation forest on their statistics.
 
 Two plain rules fail a document outright.  For the rest, trees of random splits
-are grown on small subsets of a sample of rule statistics; a document that few
-splits set apart is an anomaly.  The score above which a document is rejected is
+are grown on rule statistics of labelled rows, all of which are dealt to the trees;
+a document that few splits set apart is an anomaly.  The score above which a document is rejected is
 calibrated on labelled rows of both kinds, within a bound on the good ones that are
 lost.
 """
@@ -16,10 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from lakeloom.llm.common import by_slices, texts_of
-from lakeloom.llm.labelled import labelled_sample
-from lakeloom.llm.text_stats import Stats, shares, stats
+from lakeloom.llm.common import by_slices, dropped, texts_of
+from lakeloom.llm.labelled import labelled_features, matrix
+from lakeloom.llm.text_stats import SHARES, Stats, shares, stats
 
 
 def mean_path(n: float) -> float:
@@ -97,25 +98,71 @@ def failed(s: Stats) -> bool:
     return s.n_words < 10 or 100 * s.n_repeat_words > 20 * s.n_words
 
 
-def fit_forest(docs: DataFrame, labels: DataFrame, *, bound: int = 8192, lost: float = 0.005, **columns: str) -> IsolationForest:
-    """Grow the forest on half of a bounded sample of labelled rows, and calibrate it on the other half's rows that no rule fails.
+#: Candidates for the threshold are the multiples of 1/CUTS.
+CUTS = 1 << 16
 
-    Null ids and labels other than 0 and 1 are left out; without labelled rows no document is an anomaly.
+
+def _grown(usual: DataFrame, n: int, *, trees: int, rows: int, seed: int) -> IsolationForest:
+    """A forest of the ``n`` rows ``usual`` (``id, x``; the last feature is left out): each row goes to some trees, so that a tree has some ``rows`` rows, or its share of all where that is more."""
+    copies = min(trees, math.ceil(trees * rows / n))
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(copies - 1)), lambda j: F.pmod(F.xxhash64("id", j), F.lit(trees)).cast("int"))
+    dealt = usual.select(F.explode(F.sequence(F.lit(0), F.lit(trees - 1)) if copies == trees else F.array_distinct(drawn)).alias("tree"), "x")
+    limit = math.ceil(math.log2(max(min(rows, n), 2)))
+
+    def grow(group: pa.Table) -> pa.Table:
+        x = np.array(group.column("x").to_pylist())[:, :-1]
+        k = group.column("tree")[0].as_py()
+        tree = IsolationForest._tree(x[np.lexsort(x.T)], limit, np.random.default_rng([seed, k]))
+        return pa.table({"tree": pa.array([k], pa.int32()), "nodes": pa.array([[c.astype(float).tolist() for c in tree]], pa.list_(pa.list_(pa.float64())))})
+
+    found = sorted((r["tree"], r["nodes"]) for r in dealt.groupBy("tree").applyInArrow(grow, "tree int, nodes array<array<double>>").collect())
+    whole = lambda c: np.array(c).astype(np.int64)
+    return IsolationForest([(whole(f), np.array(cut), whole(left), whole(right), np.array(depth)) for _, (f, cut, left, right, depth) in found], min(n, max(rows, n * copies // trees)))
+
+
+def _calibrated(forest: IsolationForest, held: DataFrame, lost: float) -> IsolationForest:
+    """As ``calibrated``, by counts of all rows of ``held`` (``y, x``) at each multiple of 1/CUTS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_slices(batches):
+            score = forest.scores(matrix(batch, len(SHARES) + 1)[:, :-1])
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(np.ceil(score * CUTS).astype(np.int64))], names=["y", "cut"])
+
+    counts = np.zeros((2, CUTS + 1))
+    for y, cut, n in held.select("y", "x").mapInArrow(run, "y int, cut bigint").groupBy("y", "cut").count().collect():
+        counts[y, cut] = n
+    n_bad, n_good = counts.sum(axis=1)
+    if n_good:
+        at = np.flatnonzero(counts.sum(axis=0))
+        caught, gone = (1 - np.cumsum(c)[at] / n if n else np.zeros(len(at)) for c, n in zip(counts, (n_bad, n_good)))
+        allowed = np.flatnonzero(gone <= lost)[::-1]
+        forest.threshold = float(at[allowed[np.argmax((caught - gone)[allowed])]] / CUTS)
+    return forest
+
+
+def fit_forest(docs: DataFrame, labels: DataFrame, *, lost: float = 0.005, trees: int = 200, rows: int = 256, seed: int = 7, **columns: str) -> IsolationForest:
+    """Grow the forest on half of the good labelled rows and a few others, and calibrate it on all the other labelled rows that no rule fails.
+
+    No labelled row is left out of both but what a rule fails.  Null ids and labels
+    other than 0 and 1 do not count; without labelled rows no document is an anomaly.
     """
 
     def features(text: str) -> list[float]:
         s = stats(text)
         return [*shares(s), float(failed(s))]
 
-    x, y = labelled_sample(docs, labels, features, bound=bound, **columns)
-    if not len(x):
-        return IsolationForest([], 0)
-    # Anomalies are few: the good rows, and one of the others for eight of them.
-    usual = np.concatenate([np.flatnonzero(y == 1)[::2], np.flatnonzero(y == 0)[::2][: max(1, int((y == 1).sum()) // 16)]])
-    forest = IsolationForest.grown(x[usual, :-1])
-    held = np.setdiff1d(np.arange(len(x)), usual)
-    held = held[x[held, -1] == 0]
-    return forest.calibrated(x[held, :-1], y[held], lost)
+    labelled = labelled_features(docs, labels, features, **columns)
+    n = dict(labelled.groupBy("y").count().collect())
+    # Anomalies are few: half of the good rows, and one of the others for eight of them.
+    share = {1: 0.5, 0: min(0.5, max(1, n.get(1, 0) / 16) / n[0]) if n.get(0) else 0.0}
+    drawn = F.pmod(F.xxhash64("id", F.lit(-1)), F.lit(1_000_000))
+    grows = drawn < F.when(F.col("y") == 1, share[1] * 1_000_000).otherwise(share[0] * 1_000_000)
+    usual = labelled.filter(grows)
+    many = usual.count()
+    forest = _grown(usual, many, trees=trees, rows=rows, seed=seed) if many else IsolationForest([], 0)
+    forest = _calibrated(forest, labelled.filter(~grows & (F.get("x", F.lit(len(SHARES))) == 0)), lost) if many else forest
+    dropped(labelled)
+    return forest
 
 
 def apply_rules(docs: DataFrame, forest: IsolationForest, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

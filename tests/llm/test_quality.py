@@ -69,6 +69,20 @@ def test_forest_sets_anomalies_apart():
     assert one[4][at] >= steps
 
 
+def test_forest_uses_all_labelled_rows(spark):
+    """More rows than the trees' subsets take: each growing row is in a tree, and the threshold is that of all held rows."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abcdefghij") * rng.randint(2, 9) for _ in range(rng.randint(12, 30))) + ("" if k % 10 else " #" * rng.randint(5, 30)) for k in range(1200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame([(k, int(k % 10 > 0)) for k in range(1200)], "doc_id bigint, quality int")
+    forest = quality_rules.fit_forest(docs, labels, trees=4, rows=16)
+    # Half of the good rows and one in sixteen, dealt to four trees.
+    assert len(forest.trees) == 4 and forest.rows == pytest.approx((540 + 67) / 4, rel=0.15)
+    held = [(k % 10 > 0, r["anomaly"]) for k, r in enumerate(sorted(quality_rules.apply_rules(docs, forest).collect(), key=lambda r: r["doc_id"])) if not r["base_failed"]]
+    assert sum(s > forest.threshold for good, s in held if good) <= 0.02 * len(held)
+    assert forest.threshold * quality_rules.CUTS == int(forest.threshold * quality_rules.CUTS) < quality_rules.CUTS
+
+
 def test_ranking_on_held_out_rows(spark):
     far = "/root/testdata/sf0.01"
     rows = Q.op8_quality_ranking(spark, far).join(spark.read.parquet(f"{far}/labels.parquet"), "doc_id").filter("held_out").collect()
