@@ -95,12 +95,15 @@ def _sums(rows: DataFrame, ranking: Ranking) -> dict[int, np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(keys[0], pa.int32()), pa.array(keys[1], pa.int64()), *(pa.array(c) for c in total.T)], names=["y", "bin", *names])
 
     names = [f"v{k}" for k in range(size + 2)]
-    found = rows.select("y", "x").mapInArrow(run, "y int, bin bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("y", "bin").agg(*(F.sum(n).alias(n) for n in names)).orderBy("y", "bin").collect()
-    return {y: np.array([r[1:] for r in found if r["y"] == y]) for y in (0, 1)}
+    found = rows.select("y", "x").mapInArrow(run, "y int, bin bigint, " + ", ".join(f"{n} double" for n in names)).groupBy("y", "bin").agg(*(F.sum(n).alias(n) for n in names)).collect()
+    return {y: np.array(sorted(r[1:] for r in found if r["y"] == y)) for y in (0, 1)}
 
 
 def _second_moments(rows: DataFrame, ranking: Ranking, factors: dict[int, tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The sum of the features' products, each document by its bin's factor; ``factors`` has the bins and theirs by label."""
+    """The sum of the features' products, each document by its bin's factor; ``factors`` has the bins and theirs by label.
+
+    One job: a matrix (5 KB) of each task reaches the driver.
+    """
     size = len(ranking.weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def _second_moments(rows: DataFrame, ranking: Ranking, factors: dict[int, tuple[
             total += (z * f[:, None]).T @ z
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], names=["m"])
 
-    return sum(np.array(r["m"]).reshape(size, size) for r in rows.select("y", "x").mapInArrow(run, "m array<double>").toLocalIterator())
+    return sum(np.array(r["m"]).reshape(size, size) for r in rows.select("y", "x").mapInArrow(run, "m array<double>").collect())
 
 
 def _quantile(scored: DataFrame, counts: dict[int, int], share: float) -> float:
@@ -124,7 +127,7 @@ def _quantile(scored: DataFrame, counts: dict[int, int], share: float) -> float:
     below, lower = 0.0, low
     while low < high:
         place = F.least(F.floor((F.col("raw") - low) / (high - low) * 1024), F.lit(1023))
-        bins = scored.filter(F.col("raw").between(low, high)).groupBy(place.alias("bin")).agg(F.sum((F.col("y") == 1).cast("long")), F.sum((F.col("y") == 0).cast("long")), F.min("raw"), F.max("raw")).orderBy("bin").collect()
+        bins = sorted(scored.filter(F.col("raw").between(low, high)).groupBy(place.alias("bin")).agg(F.sum((F.col("y") == 1).cast("long")), F.sum((F.col("y") == 0).cast("long")), F.min("raw"), F.max("raw")).collect())
         for k, (_, good, bad, first, last) in enumerate(bins):
             here = good * weight[1] + bad * weight[0]
             if below + here > share or k == len(bins) - 1:

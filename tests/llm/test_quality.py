@@ -124,6 +124,22 @@ def test_fit_minimises_the_pairs_loss():
     assert all(loss(model.weights) <= loss(model.weights + rng.normal(size=3) * 0.05) for _ in range(200))
 
 
+def test_jobs_of_the_ranking_do_not_grow_with_partitions(spark):
+    """The same rows in 2 and in 16 partitions: the same weights by about as many jobs."""
+    rng = np.random.default_rng(8)
+    rows = [(int(y), (rng.normal(size=len(quality_ranking.features(""))) + y).tolist()) for y in rng.integers(2, size=400)]
+    sc, jobs, found = spark.sparkContext, [], []
+    for n in (2, 16):
+        df = spark.createDataFrame(sc.parallelize(rows, n), "y int, x array<double>")
+        group = f"ranking-{n}"
+        sc.setJobGroup(group, group)
+        found.append(quality_ranking.fit_all_pairs(df, 0.5, steps=2))
+        jobs.append(len(sc.statusTracker().getJobIdsForGroup(group)))
+    sc.setJobGroup("", "")
+    assert np.allclose(found[0].weights, found[1].weights) and abs(found[0].threshold - found[1].threshold) < 1e-9
+    assert 0 < jobs[1] <= 1.5 * jobs[0]
+
+
 def test_ranking_is_fitted_on_all_pairs(spark):
     """Weights at which the loss over every pair has no slope, and the threshold at the quantile of every labelled row."""
     far = "/root/testdata/sf0.01"
