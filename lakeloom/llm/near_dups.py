@@ -247,25 +247,32 @@ def _similar(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
 def prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     """Pairs ``(a, b)`` of records of different components that may link: all that do are among them.
 
-    ``sets`` has ``rid, component_id, shingles``.  Shingles are ordered by how many
-    records have them, those of one component only in front; two sets that link share
+    ``sets`` has ``rid, component_id, shingles`` and may have the carried columns.
+    Shingles are ordered by how many records have them, those of one component only in front; two sets that link share
     one among the first ``size - ceil(percent/100 * size) + 1`` of either, and behind
     the first that they share enough of both is left for a link.  Of the records under
     a shingle those outside its largest component meet all others, so a group that is
-    joined already makes no pairs.
+    joined already makes no pairs.  Parity bits and the carried values go with each
+    prefix, so what they rule out (as ``_similar`` would) is never a row: else a pair
+    came once for every shingle that its prefixes share.
     """
-    each = sets.select("rid", "component_id", F.size("shingles").alias("size"), F.explode("shingles").alias("shingle"))
+    carried = [c for c in _CARRIED[:-1] if c in sets.columns]
+    each = sets.select("rid", "component_id", F.size("shingles").alias("size"), *carried, F.explode("shingles").alias("shingle"))
     counts = each.groupBy("shingle", "component_id").agg(F.count("*").alias("n"))
     usual = counts.groupBy("shingle").agg(F.sum("n").alias("n"), F.max_by("component_id", "n").alias("largest"), F.count("*").alias("held")).filter("held > 1").select("shingle", "n", "largest")
     met = each.join(dealt_apart(usual, "shingle"), "shingle", "left")
     # Arrays of one text's shingles.
-    ordered = met.groupBy("rid", "component_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "largest"))).alias("all"))
+    mask = F.expr("shiftleft(1L, cast(shingle & 63 AS int))")
+    parities = [F.coalesce(F.bit_xor(F.when(F.expr(f"shingle & {BITS - 1} BETWEEN {64 * k} AND {64 * k + 63}"), mask)), F.lit(0)).alias(f"p{k}") for k in range(BITS // 64)]
+    ordered = met.groupBy("rid", "component_id", "size").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "largest"))).alias("all"), *parities, *(F.first(c).alias(c) for c in carried))
+    held = ["rid", "component_id", "size", *carried, *(f"p{k}" for k in range(BITS // 64))]
     first = (F.col("size") - F.ceil(F.col("size") * F.lit(percent) / 100) + 1).cast("int")
-    placed = ordered.select("rid", "component_id", "size", F.posexplode(F.slice("all", F.lit(1), first)).alias("place", "s")).filter("s.n > 0")
-    kept = written(placed.select("rid", "component_id", "size", (F.col("size") - F.col("place")).alias("left"), "s.shingle", "s.largest"), "prefixes")
+    placed = ordered.select(*held, F.posexplode(F.slice("all", F.lit(1), first)).alias("place", "s")).filter("s.n > 0")
+    kept = written(placed.select(*held, F.col("size").alias("n_shingles"), (F.col("size") - F.col("place")).alias("left"), "s.shingle", "s.largest"), "prefixes")
     x, y = kept.filter("component_id <> largest").alias("x"), kept.alias("y")
     enough = (100 + percent) * F.least("x.left", "y.left") >= percent * (F.col("x.size") + F.col("y.size"))
-    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component_id") != F.col("y.component_id")) & enough)
+    worth = _may_link("x", "y", percent) & (_worth_a_pair("x", "y", percent) if carried else F.lit(True))
+    pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.component_id") != F.col("y.component_id")) & enough & worth)
     return pairs.select(F.greatest("x.rid", "y.rid").alias("a"), F.least("x.rid", "y.rid").alias("b")).distinct()
 
 
@@ -307,7 +314,7 @@ def _linked(records: DataFrame, full: _FullSets, percent: int, *, trees: int, de
     dropped(*spent)
     x, y = (marked.filter("NOT large").alias(c) for c in "xy")
     rest = x.join(y, (F.col("x.node") == F.col("y.node")) & (F.col("x.component_id") > F.col("y.component_id")) & _worth_a_pair("x", "y", percent)).select(*pair("x.rid", "y.rid")).distinct()
-    crowded = marked.filter("large").select("rid", "component_id").distinct()
+    crowded = marked.filter("large").select("rid", "component_id", "s0", "s1").distinct()
     if not crowded.isEmpty():
         crowded = written(crowded, "crowded")
         sets = full.of(crowded.select("rid")).join(crowded, "rid")
