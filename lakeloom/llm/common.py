@@ -25,15 +25,25 @@ def working_folder(spark: SparkSession) -> str:
     return f"{folder.rstrip('/')}/lakeloom-{spark.sparkContext.applicationId}"
 
 
+#: Spark's setting by which a query deletes its own shuffle files when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the working folder: lineage ends there.
 
     A lost executor then costs a reread, and what the tasks numbered (partition
-    and place in it) stays as written.
+    and place in it) stays as written.  The shuffles that made it are deleted at
+    once; else they stay until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{working_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     return spark.read.schema(df.schema).parquet(path)
 
 
