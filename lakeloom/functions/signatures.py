@@ -70,19 +70,59 @@ def summarised(rows: DataFrame, entries: str, scanned: Column, failed: Column, o
     return of.withColumn(out, everything).drop("_in_order", "_ordered")
 
 
-def stable_id(text: Column) -> Column:
-    """``g-`` and the base-36 magnitude of the 32-bit hash h*31 + code unit; characters beyond U+FFFF count as their two units."""
-    hexed = F.hex(F.encode(text, "UTF-16BE"))
-    units = F.transform(F.sequence(F.lit(0), (F.length(hexed) / 4).cast("int") - 1), lambda k: F.conv(F.substring(hexed, (k * 4 + 1).cast("int"), F.lit(4)), 16, 10).cast("bigint"))
-    wrapped = F.aggregate(F.when(F.length(text) > 0, units).otherwise(F.array().cast("array<bigint>")), F.lit(0).cast("bigint"), lambda h, u: (h * 31 + u).bitwiseAND(F.lit(0xFFFFFFFF)))
-    signed = F.when(wrapped >= 0x80000000, wrapped - 0x100000000).otherwise(wrapped)
+#: Text hashes are below 2^32; 31 to the powers 2^k by the bit of k, of which 27 count, as 31 to 2^27 is 1 there.
+_WORD = 0xFFFFFFFF
+_POWERS = [(1 << k, pow(31, 1 << k, 1 << 32)) for k in range(27)]
+
+
+def text_hash(text: Column) -> Column:
+    """The hash h*31 + code unit below 2^32; characters beyond U+FFFF count as their two units, null as the empty text.
+
+    The text is computed once and taken apart in one pass.
+    """
+    units = F.regexp_extract_all(F.hex(F.encode(F.coalesce(text, F.lit("")), "UTF-16BE")), F.lit("...."), F.lit(0))
+    return F.aggregate(units, F.lit(0).cast("bigint"), lambda h, u: (h * 31 + F.conv(u, 16, 10).cast("bigint")).bitwiseAND(F.lit(_WORD)))
+
+
+def code_units(text: Column) -> Column:
+    return F.floor(F.octet_length(F.encode(text, "UTF-16BE")) / 2)
+
+
+def followed(text_hash: Column, n: Column) -> Column:
+    """The hash times 31^n below 2^32: what a text adds to the hash of a longer one that has ``n`` code units behind it."""
+    powers = F.array(*(F.struct(F.lit(bit).cast("bigint").alias("bit"), F.lit(power).cast("bigint").alias("power")) for bit, power in _POWERS))
+
+    def times(h: Column, power: Column) -> Column:
+        high = (h * F.shiftright(power, 16)).bitwiseAND(F.lit(0xFFFF)) * 65536
+        return (h * power.bitwiseAND(F.lit(0xFFFF)) + high).bitwiseAND(F.lit(_WORD))
+
+    return F.aggregate(powers, text_hash.cast("bigint"), lambda h, p: F.when(n.bitwiseAND(p["bit"]) != 0, times(h, p["power"])).otherwise(h))
+
+
+def hash_id(text_hash: Column) -> Column:
+    """``g-`` and the base-36 magnitude of the hash as a signed number."""
+    signed = F.when(text_hash >= 0x80000000, text_hash - 0x100000000).otherwise(text_hash)
     return F.concat(F.lit("g-"), F.lower(F.conv(F.abs(signed).cast("string"), 10, 36)))
 
 
+def stable_id(text: Column) -> Column:
+    """``g-`` and the base-36 magnitude of the text's 32-bit hash."""
+    return hash_id(text_hash(text))
+
+
+def file_text(relative_path: Column, size: Column, modified_ms: Column) -> Column:
+    return F.concat_ws(":", relative_path, size.cast("string"), F.round(modified_ms).cast("bigint").cast("string"))
+
+
 def group_signature(files: Column) -> Column:
-    """Of a group's files (``relative_path, size, modified_ms``) in any order."""
-    parts = F.array_sort(F.transform(files, lambda f: F.concat_ws(":", f["relative_path"], f["size"].cast("string"), F.round(f["modified_ms"]).cast("bigint").cast("string"))))
-    return stable_id(F.array_join(parts, "|"))
+    """Of a group's files (``relative_path, size, modified_ms``) in any order; ``grouping.group_signatures`` for groups of any size."""
+    return stable_id(F.array_join(F.array_sort(F.transform(files, lambda f: file_text(f["relative_path"], f["size"], f["modified_ms"]))), "|"))
+
+
+def joined_id(led_hash: Column, led_units: Column) -> Column:
+    """``stable_id`` of parts joined by ``|``, from the hash and the code units of the text in which each part has a ``|`` in front."""
+    lead = followed(F.lit(ord("|")), led_units - 1)
+    return hash_id((led_hash - lead).bitwiseAND(F.lit(_WORD)))
 
 
 def review_key(queue: Column, first_file: Column, key: Column) -> Column:

@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from lakeloom.functions.paths import UNKNOWN, legacy_group, structure
-from lakeloom.functions.signatures import review_key
+from lakeloom.functions.signatures import code_units, file_text, followed, joined_id, review_key, text_hash
 from lakeloom.functions.similarity import block_keys, fuzzy_confidence, is_strong_fuzzy, title_score
 from lakeloom.functions.text import normalize_text, safe_segment
 from lakeloom.functions.values import category_key, origin_key
 from lakeloom.operators.metadata import evidence
-from lakeloom.operators.numbering import numbered
+from lakeloom.operators.numbering import in_blocks, numbered
 from lakeloom.operators.skew import dealt_apart
 
 #: Stages in the order in which they claim a set of files.
@@ -286,6 +286,28 @@ def materialised(members: DataFrame, files: DataFrame, *, values: DataFrame, iss
     )
 
 
+def group_signatures(files: DataFrame, key: str) -> DataFrame:
+    """``key, n, signature``: the number of each group's files, and what ``signatures.group_signature`` makes of them.
+
+    ``files`` has ``relative_path, size, modified_ms``.  No group is gathered: the hash
+    of a joined text is the sum of its parts' hashes, each times 31 to the number of
+    code units behind the part.  These are summed within blocks of the ordered files,
+    and then over the blocks of each group, a small table.
+    """
+
+    def behind(by: list[str], order: str) -> Column:
+        after = Window.partitionBy(*by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+        return F.coalesce(F.sum("_units").over(after), F.lit(0))
+
+    texts = files.select(key, file_text(F.col("relative_path"), F.col("size"), F.col("modified_ms")).alias("_text"))
+    led = F.concat(F.lit("|"), "_text")
+    parts = in_blocks(texts, [key], ["_text"]).select(key, "_block", "_at", text_hash(led).alias("_hash"), code_units(led).alias("_units"), F.lit(1).alias("_n"))
+    for by, order in (([key, "_block"], "_at"), ([key], "_block")):
+        added = F.sum(followed(F.col("_hash"), F.col("_behind"))).bitwiseAND(F.lit(0xFFFFFFFF))
+        parts = parts.withColumn("_behind", behind(by, order)).groupBy(*by).agg(added.alias("_hash"), F.sum("_units").alias("_units"), F.sum("_n").alias("_n"))
+    return parts.select(key, F.col("_n").alias("n"), joined_id(F.col("_hash"), F.col("_units")).alias("signature"))
+
+
 def representatives(members: DataFrame, files: DataFrame) -> DataFrame:
     """The file of each group with the shortest title, then the first name."""
     return members.join(files.select("path", "title", "name"), "path").groupBy("group_key").agg(F.min_by("path", F.struct(F.length("title"), "name", "path")).alias("representative"))

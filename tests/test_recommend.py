@@ -1,12 +1,14 @@
 """Which file is preferred, against every comparison of two files; numbers and neighbours in blocks; cuts and samples."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from lakeloom.operators import catalog, numbering, recommend, selection
+from lakeloom.functions import signatures
+from lakeloom.operators import catalog, grouping, numbering, recommend, selection
 from lakeloom.plans import moves
 
 SCHEMA = "group_key string, path string, name string, code string, fingerprint string, series_key string, pages int, volume bigint, edition_score int, modified_ms bigint, metadata_score int"
@@ -131,6 +133,44 @@ def test_the_next_to_select_lies_in_another_block(spark, in_many_blocks):
     assert {r["path"]: r["next"] for r in recommend.next_selected(df, removed.unionByName(removed)).collect()} == expected and None in expected.values()
 
 
+def _stable_id(text):
+    raw, h = text.encode("utf-16-be"), 0
+    for k in range(0, len(raw), 2):
+        h = (h * 31 + int.from_bytes(raw[k : k + 2])) % 2**32
+    h, out = 2**32 - h if h >= 2**31 else h, ""
+    while h or not out:
+        h, out = h // 36, "0123456789abcdefghijklmnopqrstuvwxyz"[h % 36] + out
+    return f"g-{out}"
+
+
+def test_ids_of_long_texts(spark):
+    rng = random.Random(7)
+    texts = ["", None, "a", "\0", "\U0001f600|é"] + ["".join(rng.choice("ab/한\U0001f600") for _ in range(n)) for n in (100, 300_000)]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "k int, text string")
+    began = time.time()
+    found = {r["k"]: r["id"] for r in df.select("k", signatures.stable_id(F.col("text")).alias("id")).collect()}
+    assert found == {k: _stable_id(t or "") for k, t in enumerate(texts)}
+    # Linear in the text: looked up unit by unit, it took minutes.
+    assert time.time() - began < 30
+
+
+def test_signatures_of_groups_in_many_blocks(spark, in_many_blocks):
+    rng = random.Random(8)
+    names = [f"{rng.choice(['a', 'é', '한'])}/{k % 1_900} \U0001f600" if k % 50 else None for k in range(4_000)]
+    rows = [("hot" if k % 2 else rng.choice(["a", "b", None, "", f"g{k}"]), name, rng.choice([None, k % 7]), rng.random() * 1e12) for k, name in enumerate(names)]
+    rows += rows[:40]  # a file that is listed twice counts twice
+    df = spark.createDataFrame(rows, "key string, relative_path string, size bigint, modified_ms double")
+    of = {}
+    for key, *file in rows:
+        path, size, ms = file
+        of.setdefault(key, []).append(":".join([*([] if path is None else [path]), *([] if size is None else [str(size)]), str(int(ms + 0.5))]))
+    expected = {k: (len(parts), _stable_id("|".join(sorted(parts)))) for k, parts in of.items()}
+    assert {r["key"]: (r["n"], r["signature"]) for r in grouping.group_signatures(df, "key").collect()} == expected
+    small = df.filter("key IS NULL OR key <> 'hot'").groupBy("key").agg(F.collect_list(F.struct("relative_path", "size", "modified_ms")).alias("f")).select("key", signatures.group_signature(F.col("f")).alias("signature"))
+    assert {r["key"]: r["signature"] for r in small.collect()} == {k: s for k, (_, s) in expected.items() if k != "hot"}
+    assert grouping.group_signatures(df.limit(0), "key").count() == 0
+
+
 def test_clashing_targets_of_a_hot_key(spark, in_many_blocks):
     rows = [(f"/in/{k:04}.zip", "/out/a.zip" if k % 2 else f"/out/{k}.zip") for k in range(2_000)]
     taken = spark.createDataFrame([("/out/A.zip",), ("/out/a_3.zip",), ("/out/4_1.zip",)], "path string")
