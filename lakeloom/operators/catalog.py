@@ -55,12 +55,16 @@ def scan_summary(diff: DataFrame, stored_files: DataFrame, *, force: bool = Fals
 def group_folders(files: DataFrame, *, path: str = "path") -> DataFrame:
     """The group folder of every file: on a branch the first folder that has files of its own."""
     folders = files.select(F.col(path), paths.parent(F.col(path)).alias("folder"))
+    own = folders.select("folder").distinct()
     parts = F.split("folder", "/")
-    up = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
-    above = folders.withColumn("a", F.explode(up)).select(path, "a.depth", "a.ancestor")
-    own = folders.select(F.col("folder").alias("ancestor")).distinct()
+    up = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda k: F.struct(k.alias("depth"), F.array_join(F.slice(parts, F.lit(1), k), "/").alias("ancestor")))
+    # A folder of one part has nothing above it; a sequence from 1 to 0 would go down.
+    above = own.filter(F.size(parts) > 1).withColumn("a", F.explode(up)).select("folder", "a.depth", "a.ancestor")
     # Every path has the root above it: the distinct folders lie apart, and the join is split where an ancestor is hot.
-    return above.join(dealt_apart(own, "ancestor"), "ancestor").groupBy(path).agg(F.min_by("ancestor", "depth").alias("group_folder"))
+    # Merges, as folders take many times their files' compressed size, by which the driver would gather and broadcast them.
+    held = dealt_apart(own.withColumnRenamed("folder", "ancestor"), "ancestor").hint("merge")
+    first = above.join(held, "ancestor").groupBy("folder").agg(F.min_by("ancestor", "depth").alias("_first"))
+    return folders.join(dealt_apart(first, "folder").hint("merge"), "folder", "left").select(path, F.coalesce("_first", "folder").alias("group_folder"))
 
 
 def content_summaries(files: DataFrame, cache: DataFrame, fresh: DataFrame) -> DataFrame:

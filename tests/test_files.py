@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from lakeloom.functions import paths
-from lakeloom.operators import grouping
+from lakeloom.operators import catalog, grouping
 from lakeloom.sources import files
 from lakeloom.streaming import ingest
 
@@ -24,6 +24,20 @@ def test_a_tree_of_files_is_scanned(spark, tmp_path):
     assert {r.name for r in files.scan_files(spark, root, predicate=paths.is_zip).collect()} == {"a.zip", "e.zip"}
 
 
+def test_group_folders_are_not_gathered_by_the_driver(spark, tmp_path):
+    found = ["/a.zip", "/s/t/b.zip", "r/b.zip", "x/y/z/c.zip", "x/y/d.zip", "x/yy/e.zip", "x/y/z/w/f.zip", "x/y/z/w/f.zip", "u/v/g.zip", "u/v/h.zip"]
+    spark.createDataFrame([(p,) for p in found], "path string").coalesce(1).write.parquet(str(tmp_path / "files"))
+    files = spark.read.parquet(str(tmp_path / "files"))
+    own = {p.rsplit("/", 1)[0] for p in found}
+    first = lambda folder: next(up for k in range(len(folder.split("/"))) if (up := "/".join(folder.split("/")[: k + 1])) in own)
+    below_root = [p for p in found if p[0] != "/"]
+    for rows, expected in ((files, found), (files.filter("path NOT LIKE '/%'"), below_root)):
+        df = catalog.group_folders(rows)
+        # The small files of a list tell nothing of the folders' size in memory.
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == sorted((p, first(p.rsplit("/", 1)[0])) for p in expected)
+
+
 def test_a_json_store_that_is_missing_or_broken(spark, tmp_path):
     schema = "key string, n int"
     assert files.read_json_store(spark, str(tmp_path / "none"), schema).count() == 0
