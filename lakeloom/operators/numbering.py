@@ -43,18 +43,20 @@ def numbered(rows: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 
 
 def neighbours(rows: DataFrame, key: str, order: Sequence[Column | str], value: Column) -> DataFrame:
-    """Rows with ``after`` and ``before``: the nearest ``value`` that is not null behind and in front of each in its key's order."""
+    """Rows with ``after`` and ``before``: the nearest ``value`` that is not null behind and in front of each in its key's order.
+
+    What lies behind is looked for in the opposite order: a frame that ends at the
+    last row would be gone through anew for each row.
+    """
     placed = in_blocks(rows.withColumn("_value", value), [key], order)
-    here = Window.partitionBy(key, "_block").orderBy("_at")
-    inner = placed.withColumns({
-        "_after": F.first("_value", ignorenulls=True).over(here.rowsBetween(1, Window.unboundedFollowing)), "_before": F.last("_value", ignorenulls=True).over(here.rowsBetween(Window.unboundedPreceding, -1)),
-    })
+
+    def nearest(of: str, by: list[str], at: Column) -> Column:
+        return F.last(of, ignorenulls=True).over(Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, -1))
+
+    block = [key, "_block"]
+    inner = placed.withColumns({"_after": nearest("_value", block, F.desc("_at")), "_before": nearest("_value", block, F.asc("_at"))})
     has = F.col("_value").isNotNull()
-    blocks = placed.groupBy(key, "_block").agg(F.min_by("_value", F.when(has, F.col("_at"))).alias("_head"), F.max_by("_value", F.when(has, F.col("_at"))).alias("_tail"))
-    of_key = Window.partitionBy(key).orderBy("_block")
-    around = blocks.select(
-        F.col(key).alias("_k"), F.col("_block").alias("_b"),
-        F.first("_head", ignorenulls=True).over(of_key.rowsBetween(1, Window.unboundedFollowing)).alias("_later"), F.last("_tail", ignorenulls=True).over(of_key.rowsBetween(Window.unboundedPreceding, -1)).alias("_earlier"),
-    )
+    blocks = placed.groupBy(*block).agg(F.min_by("_value", F.when(has, F.col("_at"))).alias("_head"), F.max_by("_value", F.when(has, F.col("_at"))).alias("_tail"))
+    around = blocks.select(F.col(key).alias("_k"), F.col("_block").alias("_b"), nearest("_head", [key], F.desc("_block")).alias("_later"), nearest("_tail", [key], F.asc("_block")).alias("_earlier"))
     joined = inner.join(around, F.col(key).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b")))
     return joined.select(*rows.columns, F.coalesce("_after", "_later").alias("after"), F.coalesce("_before", "_earlier").alias("before"))

@@ -202,6 +202,8 @@ def next_selected(rows: DataFrame, removed: DataFrame, *, part: str = "group_key
 
     A group with very many rows is looked at in blocks.
     """
-    marked = rows.join(removed.select("path").distinct().withColumn("_gone", F.lit(True)), "path", "left")
+    # A merge, as many removed paths take far more memory than their files' compressed size, by which they would be broadcast.
+    gone = removed.select("path").distinct().withColumn("_gone", F.lit(True)).hint("merge")
+    marked = rows.join(gone, "path", "left")
     around = neighbours(marked, part, [order], F.when(F.col("_gone").isNull(), F.col("path")))
     return around.filter("_gone").select(part, "path", F.coalesce("after", "before").alias("next"))

@@ -133,6 +133,22 @@ def test_the_next_to_select_lies_in_another_block(spark, in_many_blocks):
     assert {r["path"]: r["next"] for r in recommend.next_selected(df, removed.unionByName(removed)).collect()} == expected and None in expected.values()
 
 
+def test_what_comes_next_in_a_long_block(spark):
+    rows = spark.range(20_000).select(F.lit(1).alias("group_key"), F.col("id").alias("path"), (-F.col("id")).alias("ord"))
+    df = recommend.next_selected(rows, rows.filter("path % 3 = 0 OR path < 10 OR path BETWEEN 5000 AND 9000"))
+    # A frame up to the last row is gone through anew for each row, in quadratic time.
+    assert "unboundedfollowing" not in df._jdf.queryExecution().optimizedPlan().toString().lower()
+    gone = [k % 3 == 0 or k < 10 or 5_000 <= k <= 9_000 for k in range(20_000)]
+    expected, last = {}, None
+    for k in range(20_000):
+        if gone[k]:
+            expected[k] = last
+        else:
+            last = k
+    expected |= {k: 10 for k in range(10)}
+    assert {r["path"]: r["next"] for r in df.collect()} == expected
+
+
 def _stable_id(text):
     raw, h = text.encode("utf-16-be"), 0
     for k in range(0, len(raw), 2):
